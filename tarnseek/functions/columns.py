@@ -38,7 +38,7 @@ def spread(df: DataFrame) -> DataFrame:
     size. Past one full split per core the scan is parallel by itself and the
     input is left alone, so no large table is shuffled here.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = df.sparkSession.sparkContext.defaultParallelism
     parts = min(cores, size // MIN_TASK_BYTES)
     if parts < 2 or size >= cores * SPLIT_BYTES:

@@ -37,18 +37,18 @@ def value_kind(value: Column, path: str) -> Column:
     variant = F.try_variant_get(F.try_parse_json(value), path, "variant")
 
     def classify(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        whole = F.try_variant_get(v, "$", "bigint")
-        fits_int = whole.between(-(2**31), 2**31 - 1)
-        return (
-            F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(kind == "BIGINT", F.when(fits_int, "int").otherwise("long"))
-            .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "double")
-            .when(kind.startswith("ARRAY"), "array")
-            .when(kind.startswith("OBJECT"), "object")
-            .when(kind == "VOID", "null")
-            .otherwise(F.lower(kind))
-        )
+        def named(kind: Column) -> Column:
+            fits_int = F.try_variant_get(v, "$", "bigint").between(-(2**31), 2**31 - 1)
+            return (
+                F.when(kind == "BIGINT", F.when(fits_int, "int").otherwise("long"))
+                .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "double")
+                .when(kind.startswith("ARRAY"), "array")
+                .when(kind.startswith("OBJECT"), "object")
+                .when(kind == "VOID", "null")
+                .otherwise(F.lower(kind))
+            )
+
+        return F.when(v.isNotNull(), let(F.schema_of_variant(v), named))
 
     return let(variant, classify)
 

@@ -126,45 +126,7 @@ class CorpusFigures:
         return self._row[self.names[field, term]].cast("double")
 
 
-def score(view: TableView, where: Clause, figures: CorpusFigures, rounded: bool = False) -> Column:
-    """Score of a row that matches ``where``."""
-    if isinstance(where, And):
-        return score(view, where.left, figures, rounded) + score(view, where.right, figures, rounded)
-    if isinstance(where, Or):
-        sides = [
-            F.when(side.condition(view), score(view, side, figures, rounded)).otherwise(0.0)
-            for side in (where.left, where.right)
-        ]
-        return sides[0] + sides[1]
-    terms = _scored_terms(view, where)
-    if not terms:
-        return F.lit(1.0)
-    field = terms[0][0]
-    rarities = {t: idf(figures.rows(field), figures.rows_with(field, t)) for _, t in terms}
-    if view.spec.field(field).kind is Kind.STRING:
-        return rarities[terms[0][1]]
-
-    def of_text(slots: Column) -> Column:
-        length = slot_count(slots)
-        length = rounded_length(length) if rounded else length
-        mean = figures.mean_length(field)
-        if isinstance(where, Phrase):
-            # A phrase counts as one term: its occurrences, and its words' rarities added up.
-            total = sum(rarities.values())
-            return let(length, lambda n: bm25(phrase_frequency(slots, where, view), n, mean, total))
-
-        def added(n: Column) -> Column:
-            return sum(
-                bm25(term_frequency(slots, t), n, mean, rarity) for t, rarity in rarities.items()
-            )
-
-        return let(length, added)
-
-    return let(view.token_slots(field), of_text)
-
-
-def phrase_frequency(slots: Column, phrase: Phrase, view: TableView) -> Column:
-    placed = phrase.positions(view)
+def phrase_frequency(slots: Column, placed: list[tuple[int, str]]) -> Column:
     first, head = placed[0]
 
     def at(token: Column, i: Column) -> Column:
@@ -176,8 +138,61 @@ def phrase_frequency(slots: Column, phrase: Phrase, view: TableView) -> Column:
     return F.size(F.filter(F.transform(slots, at), lambda hit: hit))
 
 
+class Scorer:
+    """Per-row measures (lengths, frequencies) and the score made from them."""
+
+    def __init__(self, view: TableView, figures: CorpusFigures, rounded: bool):
+        self.view, self.figures, self.rounded = view, figures, rounded
+        self.measures: dict[str, Column] = {}
+        self._names: dict[tuple, str] = {}
+
+    def _measure(self, what: tuple, column: Column) -> Column:
+        name = self._names.setdefault(what, f"_m{len(self._names)}")
+        self.measures[name] = column
+        return F.col(name)
+
+    def _length(self, field: str) -> Column:
+        length = slot_count(self.view.token_slots(field))
+        if self.rounded:
+            length = let(length, rounded_length)
+        return self._measure(("length", field), length)
+
+    def score(self, where: Clause) -> Column:
+        """Score of a row that matches ``where``."""
+        if isinstance(where, And):
+            return self.score(where.left) + self.score(where.right)
+        if isinstance(where, Or):
+            return self._if_matching(where.left) + self._if_matching(where.right)
+        terms = _scored_terms(self.view, where)
+        if not terms:
+            return F.lit(1.0)
+        field = terms[0][0]
+        rarity = {
+            t: idf(self.figures.rows(field), self.figures.rows_with(field, t)) for _, t in terms
+        }
+        if self.view.spec.field(field).kind is Kind.STRING:
+            return rarity[terms[0][1]]
+        slots, length, mean = self.view.token_slots(field), self._length(field), self.figures.mean_length(field)
+        if isinstance(where, Phrase):
+            # A phrase counts as one term: its occurrences, and its words' rarities added up.
+            times = phrase_frequency(slots, where.positions(self.view))
+            tf = self._measure(("phrase", field, where.text), times)
+            return bm25(tf, length, mean, sum(rarity.values()))
+        return sum(
+            bm25(self._measure(("tf", field, t), term_frequency(slots, t)), length, mean, r)
+            for t, r in rarity.items()
+        )
+
+    def _if_matching(self, side: Clause) -> Column:
+        matches = self._measure(("matches", id(side)), side.condition(self.view))
+        return F.when(matches, self.score(side)).otherwise(0.0)
+
+
 def scored(view: TableView, where: Clause, rounded: bool = False) -> TableView:
     """Matching rows with their score in ``_score``."""
-    figures = CorpusFigures(view, where)
     hits = matching(view, where)
-    return replace(hits, df=hits.df.withColumn("_score", score(hits, where, figures, rounded)))
+    scorer = Scorer(hits, CorpusFigures(view, where), rounded)
+    score = scorer.score(where)
+    measured = hits.df.withColumns(scorer.measures) if scorer.measures else hits.df
+    df = measured.withColumn("_score", score).drop(*scorer.measures)
+    return replace(hits, df=df)
