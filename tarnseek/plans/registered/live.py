@@ -1 +1,162 @@
-"""Placeholder."""
+"""Streaming tables: ingest, resume, live reads and snapshots.
+
+Each query feeds a whole table through a stream into a new work folder, in one
+or several arrivals, and returns what the streamed table then answers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tarnseek.operators.clauses import Compare, Equals, MatchAny
+from tarnseek.plans.catalog import Catalog
+from tarnseek.plans.registered.registry import query
+from tarnseek.plans.registered.tables import SPECS, event_records, table
+from tarnseek.plans.registered.text import _BM25_CTE
+from tarnseek.plans.search import page_with_total
+from tarnseek.schema import RecordSource
+from tarnseek.sources.records import to_records
+from tarnseek.sources.storage import work_folder
+
+# Events arrive in three lots, by day of the month.
+_LOTS = (0, 10, 20, 31)
+_TOKEN_LIFETIME = 3600
+
+
+class _Feed:
+    """A catalog with one table ``events`` fed by lots of events."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, purpose: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.folder = work_folder(spark, purpose)
+        self.catalog = Catalog(spark, f"{self.folder}/tables", search_expired=_TOKEN_LIFETIME)
+
+    def arrive(self, lot: int) -> None:
+        day = F.dayofmonth(F.to_timestamp_ntz(F.get_json_object("value", "$.ts"), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
+        records = event_records(self.spark, self.sf_dir)
+        chosen = records.where((day > _LOTS[lot]) & (day <= _LOTS[lot + 1]))
+        chosen.write.mode("append").parquet(f"{self.folder}/source")
+
+    def create(self, start: bool = True) -> Catalog:
+        source = RecordSource("list", f"{self.folder}/source", "list_*")
+        self.catalog.create_table("events", SPECS["events"][0], source, start=start, refresh="100 milliseconds")
+        return self.catalog
+
+    def drain(self) -> None:
+        self.catalog.start("events", refresh=None).awaitTermination()
+
+
+_EVENTS = (
+    "SELECT 'list_' || event_type AS _name, CAST(event_id AS VARCHAR) AS _key, "
+    "event_id, ts, user_id, event_type, value FROM events"
+)
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("_name", "_key", "event_id", "ts", "user_id", "event_type", "value")
+
+
+@query("stream_ingest", _EVENTS)
+def stream_ingest(spark, sf_dir):
+    """One arrival, one stream run that takes what is there."""
+    feed = _Feed(spark, sf_dir, "stream_ingest")
+    event_records(spark, sf_dir).write.parquet(f"{feed.folder}/source")
+    feed.create(start=False)
+    feed.drain()
+    return _shown(feed.catalog.store("events").rows())
+
+
+@query("ingest_resume", _EVENTS)
+def ingest_resume(spark, sf_dir):
+    """Three arrivals, the stream stopped and started again between them."""
+    feed = _Feed(spark, sf_dir, "ingest_resume")
+    for lot in range(3):
+        feed.arrive(lot)
+        if lot == 0:
+            feed.create(start=False)
+        feed.drain()
+    return _shown(feed.catalog.store("events").rows())
+
+
+@query("live_scan", 'SELECT event_type, count(*) AS "count" FROM events GROUP BY event_type')
+def live_scan(spark, sf_dir):
+    """Group counts asked of a running table as soon as the last lot has arrived."""
+    feed = _Feed(spark, sf_dir, "live_scan")
+    feed.arrive(0)
+    catalog = feed.create()
+    try:
+        feed.arrive(1)
+        feed.arrive(2)
+        return catalog.search("events", group_by="event_type", wait=True).rows
+    finally:
+        catalog.stop("events")
+
+
+@query(
+    "snapshot_page",
+    """
+    WITH seen AS (SELECT * FROM events WHERE day(ts) <= 20 AND value > 10)
+    SELECT event_id, value, (SELECT count(*) FROM seen) AS total FROM seen
+    ORDER BY value DESC, event_id LIMIT 15 OFFSET 15
+    """,
+)
+def snapshot_page(spark, sf_dir):
+    """Page 2 under the token of a search made before the last lot arrived."""
+    feed = _Feed(spark, sf_dir, "snapshot_page")
+    feed.arrive(0)
+    feed.arrive(1)
+    catalog = feed.create()
+    try:
+        where, asked = Compare("value", ">", 10), {"select": ["event_id", "value"], "order_by": ["value desc", "event_id"]}
+        first = catalog.search("events", where, **asked)
+        feed.arrive(2)
+        catalog.search("events", where, **asked)
+        again = catalog.search("events", where, token=first.snapshot, page=2, **asked)
+        return page_with_total(again)
+    finally:
+        catalog.stop("events")
+
+
+@query(
+    "stream_dynamic_page",
+    "SELECT CAST(event_id AS VARCHAR) AS event_id, value AS score, 'null' AS nowhere FROM events "
+    "WHERE event_type = 'view' ORDER BY score DESC, event_id LIMIT 40",
+)
+def stream_dynamic_page(spark, sf_dir):
+    """A page of a streamed table with undeclared members, fetched for the page alone."""
+    feed = _Feed(spark, sf_dir, "stream_dynamic_page")
+    event_records(spark, sf_dir).write.parquet(f"{feed.folder}/source")
+    feed.create(start=False)
+    feed.drain()
+    found = feed.catalog.search(
+        "events",
+        Equals("event_type", "view"),
+        select=["event_id", "value", "nowhere"],
+        order_by=["value desc", "event_id"],
+        size=40,
+        missing_as_text=True,
+    )
+    return found.rows.select("event_id", F.col("value").cast("double").alias("score"), "nowhere")
+
+
+@query(
+    "stream_text_search",
+    f"""
+    WITH {_BM25_CTE}
+    SELECT doc_id, lang, (SELECT count(DISTINCT doc_id) FROM part WHERE t IN ('from', 'ha')) AS total
+    FROM part JOIN documents USING (doc_id)
+    WHERE t IN ('from', 'ha') GROUP BY doc_id, lang ORDER BY sum(s) DESC, doc_id LIMIT 15
+    """,
+)
+def stream_text_search(spark, sf_dir):
+    """Relevance page of a streamed table, whose token arrays were stored at ingest."""
+    folder = work_folder(spark, "stream_text_search")
+    docs = table(spark, sf_dir, "documents")
+    records = to_records(docs, F.lit("docs"), F.col("doc_id"), "doc_id", "text", "lang", "source", "n_chars")
+    records.repartitionByRange(8, F.col("_key").cast("long")).write.parquet(f"{folder}/source")
+    catalog = Catalog(spark, f"{folder}/tables")
+    source = RecordSource("list", f"{folder}/source", "docs")
+    catalog.create_table("documents", SPECS["documents"][0], source, start=False)
+    catalog.start("documents", refresh=None).awaitTermination()
+    found = catalog.search("documents", MatchAny("text", "from ha"), select=["doc_id", "lang"])
+    return page_with_total(found)

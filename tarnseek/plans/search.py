@@ -24,6 +24,7 @@ from tarnseek.operators.ordering import (
 )
 from tarnseek.operators.relevance import ranks_by_score, scored
 from tarnseek.operators.view import TableView
+from tarnseek.schema import KEY_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -106,18 +107,19 @@ def search_view(
 def _fetched_page(hits, keys, page, size, names, records, missing_as_text) -> DataFrame:
     """Sort narrow rows first, then fetch the JSON values of the page alone."""
     if records is None:
-        if "value" not in hits.df.columns:
+        if "_value" not in hits.df.columns:
             raise TarnseekError("the table keeps no JSON values, so only declared fields can be read")
-        records, on = hits.df.select(*hits.tie, "value"), list(hits.tie)
+        raw, on = hits.df.select(*hits.tie, "_value"), list(hits.tie)
     else:
-        on = [c for c in ("_name", "_key") if c in records.columns]
+        on = [c for c in KEY_COLUMNS if c in records.columns]
+        raw = records.select(*on, F.col("value").alias("_value"))
     declared = [] if missing_as_text else [n for n in names if hits.spec.has(n)]
     narrow = dict.fromkeys([*on, *declared])
     sorting = [k.column.alias(f"_k{i}") for i, k in enumerate(keys)]
     order = [SortKey(F.col(f"_k{i}"), k.descending) for i, k in enumerate(keys)]
     one_page = page_rows(hits.df.select(*narrow, *sorting), order, page, size)
-    found = fetch_records(one_page, records.select(*on, "value"), on, at_most=size)
-    members = decode_object(F.col("value"))
+    found = fetch_records(one_page, raw, on, at_most=size)
+    members = decode_object(F.col("_value"))
     read = member_or_null_text if missing_as_text else member
     shown = [F.col(n) if n in declared else read(members, n).alias(n) for n in names]
     return ordered(found, order).select(*shown)

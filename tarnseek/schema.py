@@ -138,7 +138,7 @@ class TableSpec:
         cols = [
             T.StructField("_name", T.StringType()),
             T.StructField("_key", T.StringType()),
-            T.StructField("value", T.StringType()),
+            T.StructField("_value", T.StringType()),
             T.StructField("_error", T.StringType()),
             T.StructField("_row", T.LongType()),
         ]

@@ -1,6 +1,6 @@
 """Records → typed rows: lenient JSON, typed fields, token arrays, quarantine.
 
-Everything is one projection, so ingest needs no shuffle and reads each record
+The record's text is kept as ``_value``. Everything is one projection, so ingest needs no shuffle and reads each record
 once. A row that can't be used is kept with the reason in ``_error``.
 """
 
@@ -61,7 +61,8 @@ def decode_records(records: DataFrame, spec: TableSpec, on_bad_value: str = "qua
     elif on_bad_value == "fail":
         reasons += [F.when(m.isNotNull(), F.raise_error(m).cast("string")) for m in misfits]
     error = F.coalesce(*reasons)
-    rows = parsed.select("_name", "_key", "value", error.alias("_error"), *columns)
+    raw = F.col("value").alias("_value")
+    rows = parsed.select("_name", "_key", raw, error.alias("_error"), *columns)
     return rows.withColumn("_status", F.when(F.col("_error").isNull(), OK).otherwise(BAD))
 
 
@@ -70,4 +71,4 @@ def usable(decoded: DataFrame) -> DataFrame:
 
 
 def quarantined(decoded: DataFrame) -> DataFrame:
-    return decoded.where(F.col("_error").isNotNull()).select("_name", "_key", "value", "_error")
+    return decoded.where(F.col("_error").isNotNull()).select("_name", "_key", "_value", "_error")

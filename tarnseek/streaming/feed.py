@@ -60,7 +60,7 @@ class TableStore:
 
     def quarantine(self, up_to: int | None = None) -> DataFrame:
         """Records that couldn't be used, with the reason."""
-        return self._read(up_to, BAD).select("_name", "_key", "value", "_error", "_batch_id")
+        return self._read(up_to, BAD).select("_name", "_key", "_value", "_error", "_batch_id")
 
     def _read(self, up_to: int | None, status: str) -> DataFrame:
         schema = self.spec.stored_struct()
