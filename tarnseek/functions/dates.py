@@ -23,7 +23,14 @@ def micros_to_ntz(micros: Column) -> Column:
 
 
 def ntz_to_micros(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), ts)
+    """Microseconds since 1970, from the parts of an interval: no time zone is involved."""
+    since = ts - F.expr(_EPOCH)
+
+    def part(unit: str) -> Column:
+        return F.date_part(F.lit(unit), since)
+
+    whole = part("DAY").cast("long") * 86_400 + part("HOUR") * 3_600 + part("MINUTE") * 60
+    return whole * 1_000_000 + (part("SECOND") * 1_000_000).cast("long")
 
 
 def parse_date(text: Column, pattern: str) -> Column:

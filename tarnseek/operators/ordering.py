@@ -20,7 +20,7 @@ from tarnseek.schema import Kind
 DEFAULT_PAGE_SIZE = 15
 # Up to here a page is one top-k; beyond, sorted ranges are skipped by counting.
 SHALLOW_ROWS = 50_000
-_SPLITTERS = 31
+_SPLITS = 31
 _SAMPLE_ROWS = 2_000
 
 
@@ -49,6 +49,9 @@ class SortKey:
             return F.coalesce(self.column < plain_literal(value), F.lit(True))
         return F.coalesce(self.column > plain_literal(value), F.lit(False))
 
+    def before(self, value: object) -> Column:
+        return ~(self.after(value) | self.same(value))
+
     def same(self, value: object) -> Column:
         return self.column.eqNullSafe(plain_literal(value))
 
@@ -119,7 +122,7 @@ def page_rows(
     start = range_holding(df, keys, skip)
     if start is None:
         return df.limit(0)
-    rest = df if start.low is None else df.where(after_row(keys, start.low))
+    rest = start.onwards(df, keys)
     if size <= SHALLOW_ROWS:
         return ordered(rest, keys).offset(skip - start.before).limit(size)
     return _long_page(rest, df, keys, skip, size, start)
@@ -127,68 +130,83 @@ def page_rows(
 
 @dataclass(frozen=True)
 class SortedRange:
-    """Rows after ``low`` and not after ``high``; ``before`` rows come earlier."""
+    """Neighbouring rows of the sort order.
+
+    The first keys equal ``prefix``; the next one lies between ``low`` and
+    ``high``, each a one-value tuple or empty for no bound, ends excluded.
+    ``before`` rows come earlier.
+    """
 
-    low: tuple | None
-    high: tuple | None
+    prefix: tuple
+    low: tuple
+    high: tuple
     before: int
     rows: int
     total: int
 
     def select(self, df: DataFrame, keys: Sequence[SortKey]) -> DataFrame:
-        if self.low is not None:
-            df = df.where(after_row(keys, self.low))
-        return df if self.high is None else df.where(~after_row(keys, self.high))
+        """The rows of the range."""
+        for key, value in zip(keys, self.prefix):
+            df = df.where(key.same(value))
+        for value in self.low:
+            df = df.where(keys[len(self.prefix)].after(value))
+        for value in self.high:
+            df = df.where(keys[len(self.prefix)].before(value))
+        return df
+
+    def onwards(self, df: DataFrame, keys: Sequence[SortKey]) -> DataFrame:
+        """The rows of the range and all later ones."""
+        start = (*self.prefix, *self.low)
+        if not start:
+            return df
+        later = after_row(keys[: len(start)], start)
+        return df.where(later if self.low else later | _same_row(keys, self.prefix))
 
 
 def range_holding(df: DataFrame, keys: Sequence[SortKey], rank: int) -> SortedRange | None:
     """A sorted range of few rows that holds the row of this rank (from 0).
 
-    Each round picks split rows from a sample, counts the rows between them
-    exactly in one pass and keeps the range with the rank. The sample decides
-    only where ranges end; counts and rows are whole. Only split rows and one
-    count per range come to the driver.
+    Each round takes split values of one key from a sample, counts the rows
+    before, at and between them exactly in one pass, and keeps the part with
+    the rank. A value that many rows share becomes fixed and the next key is
+    split. The sample decides only where parts end; counts and rows are whole.
+    Only split values and one count per part come to the driver.
     """
     total = df.count()
     if rank >= total:
         return None
-    found = SortedRange(None, None, 0, total, total)
-    seed = 0
-    while found.rows > SHALLOW_ROWS:
-        part = found.select(df, keys)
-        splits = _split_rows(part, keys, found.rows, seed)
-        seed += 1
-        if found.high in splits:
-            splits.remove(found.high)
-        if not splits:
-            break
-        slot = sum(after_row(keys, s).cast("int") for s in splits)
+    found = SortedRange((), (), (), 0, total, total)
+    while found.rows > SHALLOW_ROWS and len(found.prefix) < len(keys):
+        part, key = found.select(df, keys), keys[len(found.prefix)]
+        splits = _split_values(part, key, found.rows)
+        # Slots: 0 before the first split, 1 at it, 2 between the first two, and so on.
+        slot = sum(
+            F.when(key.after(s), 2).when(key.same(s), 1).otherwise(0) for s in splits
+        )
         counts = {r["slot"]: r["count"] for r in part.groupBy(slot.alias("slot")).count().collect()}
         before, i = found.before, 0
         while before + counts.get(i, 0) <= rank:
             before += counts.get(i, 0)
             i += 1
-        narrowed = SortedRange(
-            splits[i - 1] if i else found.low,
-            splits[i] if i < len(splits) else found.high,
-            before,
-            counts[i],
-            total,
-        )
-        if narrowed.rows == found.rows:
-            break
-        found = narrowed
+        if i % 2:
+            bounds = ((*found.prefix, splits[i // 2]), (), ())
+        else:
+            low = (splits[i // 2 - 1],) if i else found.low
+            high = (splits[i // 2],) if i // 2 < len(splits) else found.high
+            bounds = (found.prefix, low, high)
+        found = SortedRange(*bounds, before, counts[i], total)
     return found
 
 
-def _split_rows(part: DataFrame, keys: Sequence[SortKey], rows: int, seed: int) -> list[tuple]:
-    values = [k.column.alias(f"k{i}") for i, k in enumerate(keys)]
+def _split_values(part: DataFrame, key: SortKey, rows: int) -> list:
+    """A few values of one key, in its order, that cut the rows about evenly."""
     share = min(1.0, _SAMPLE_ROWS / rows)
-    sample = part.select(*values).sample(fraction=share, seed=seed).limit(2 * _SAMPLE_ROWS)
-    order = [SortKey(F.col(f"k{i}"), k.descending) for i, k in enumerate(keys)]
-    picked = [tuple(r) for r in ordered(sample, order).collect()]
-    step = max(1, len(picked) // (_SPLITTERS + 1))
-    return list(dict.fromkeys(picked[step::step][:_SPLITTERS]))
+    sample = part.select(key.column.alias("k")).sample(fraction=share, seed=rows)
+    picked = ordered(sample.limit(2 * _SAMPLE_ROWS), [SortKey(F.col("k"), key.descending)]).collect()
+    if not picked:
+        picked = part.select(key.column.alias("k")).take(1)
+    step = max(1, len(picked) // (_SPLITS + 1))
+    return list(dict.fromkeys(r["k"] for r in picked[step // 2 :: step]))
 
 
 def _key_at(df: DataFrame, keys: Sequence[SortKey], rank: int, held: SortedRange) -> tuple:
@@ -211,11 +229,15 @@ def _long_page(rest, df, keys, skip: int, size: int, start: SortedRange) -> Data
     return ordered(between, keys)
 
 
-def _before_row(keys: Sequence[SortKey], values: Sequence) -> Column:
+def _same_row(keys: Sequence[SortKey], values: Sequence) -> Column:
     same = F.lit(True)
-    for key, value in zip(keys, values, strict=True):
+    for key, value in zip(keys, values):
         same = same & key.same(value)
-    return ~(after_row(keys, values) | same)
+    return same
+
+
+def _before_row(keys: Sequence[SortKey], values: Sequence) -> Column:
+    return ~(after_row(keys, values) | _same_row(keys, values))
 
 
 def page_after(df: DataFrame, keys: Sequence[SortKey], last: Sequence, size: int) -> DataFrame:

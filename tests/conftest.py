@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 import pytest
 
@@ -12,6 +13,7 @@ def new_session():
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tarnseek-tests-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
