@@ -89,8 +89,12 @@ class Analyzer:
 
     def analyze_literal(self, spark: SparkSession, text: str) -> list[tuple[int, str]]:
         """(position, token) of a query literal, by the same expression as table text."""
-        row = spark.range(1).select(self.slots(F.lit(text)).alias("slots")).first()
-        return [(i, w) for i, w in enumerate(row["slots"]) if w is not None]
+        if (self, text) not in _literals:
+            row = spark.range(1).select(self.slots(F.lit(text)).alias("slots")).first()
+            if len(_literals) >= _KEPT_LITERALS:
+                _literals.clear()
+            _literals[self, text] = [(i, w) for i, w in enumerate(row["slots"]) if w is not None]
+        return list(_literals[self, text])
 
     def with_stop_words(self, stop_words: Iterable[str]) -> Analyzer:
         return replace(self, name=f"{self.name}+stop", stop_words=tuple(sorted(set(stop_words))))
@@ -103,6 +107,10 @@ class Analyzer:
         return Analyzer(**{**raw, "stop_words": tuple(raw["stop_words"])})
 
 
+# Analysed query literals, so that building one query doesn't analyse them repeatedly.
+_literals: dict[tuple[Analyzer, str], list[tuple[int, str]]] = {}
+_KEPT_LITERALS = 1_000
+
 STANDARD = Analyzer("standard")
 CASE_PRESERVING = Analyzer("case_preserving", lowercase=False)
 

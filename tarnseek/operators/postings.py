@@ -22,11 +22,11 @@ from tarnseek.operators.view import TableView
 MAX_TERMS = 62
 
 
-def _runs(slots: Column, positions: bool) -> Column:
+def _runs(slots: Column, positions: bool, terms: Sequence[str] | None) -> Column:
     """Token slots → array of (term, tf[, positions]), in time n·log n for n tokens."""
     placed = F.filter(
         F.transform(slots, lambda w, i: F.struct(w.alias("w"), i.alias("p"))),
-        lambda x: x["w"].isNotNull(),
+        lambda x: x["w"].isNotNull() if terms is None else x["w"].isin(list(terms)),
     )
 
     def cut(s: Column) -> Column:
@@ -52,11 +52,18 @@ def _runs(slots: Column, positions: bool) -> Column:
     return let(F.array_sort(placed), cut)
 
 
-def build_postings(view: TableView, field: str, positions: bool = True) -> DataFrame:
-    """One row per table row and distinct term: tie columns, term, tf, length[, positions]."""
+def build_postings(
+    view: TableView, field: str, positions: bool = True, terms: Sequence[str] | None = None
+) -> DataFrame:
+    """One row per table row and distinct term: tie columns, term, tf, length[, positions].
+
+    With ``terms`` only their postings are made; the length still counts all tokens.
+    """
     held = view.with_tokens(field)
     slots = held.token_slots(field)
-    return held.df.select(*view.tie, slot_count(slots).alias("length"), F.inline(_runs(slots, positions)))
+    # The length is set before the explode, or it would be counted again for each posting.
+    counted = held.df.select(*view.tie, slots, slot_count(slots).alias("length"))
+    return counted.select(*view.tie, "length", F.inline(_runs(slots, positions, terms)))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:

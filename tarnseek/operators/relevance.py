@@ -101,29 +101,33 @@ class CorpusFigures:
         fields = list(dict.fromkeys(f for f, _ in pairs))
         texts = [f for f in fields if view.spec.field(f).kind is Kind.TEXT]
         whole = view.with_tokens(*texts)
-        figures = []
+        # What each row adds to the figures, then the sums: one pass, one row out.
+        parts = {}
         for i, name in enumerate(fields):
-            self.names[name] = f"rows{i}"
-            if name in texts:
-                length = slot_count(whole.token_slots(name))
-                figures.append(F.count_if(length > 0).alias(f"rows{i}"))
-                figures.append(F.sum(length).alias(f"length{i}"))
-                self.names[name, None] = f"length{i}"
-            else:
-                figures.append(F.count(F.col(name)).alias(f"rows{i}"))
-        for (name, term), alias in [(k, v) for k, v in self.names.items() if v.startswith("df")]:
-            has = has_slot(whole.token_slots(name), term) if name in texts else F.col(name) == term
-            figures.append(F.count_if(has).alias(alias))
-        self._row = whole.df.agg(F.struct(*figures).alias("figures")).scalar() if figures else None
+            self.names[name], self.names[name, None] = f"rows{i}", f"length{i}"
+            in_text = name in texts
+            length = slot_count(whole.token_slots(name)) if in_text else F.lit(1)
+            parts[f"length{i}"] = F.when(F.col(name).isNotNull(), length)
+        for name, term in pairs:
+            in_text = name in texts
+            parts[self.names[name, term]] = (
+                has_slot(whole.token_slots(name), term) if in_text else F.col(name) == term
+            )
+        added = whole.df.select(*[part.alias(alias) for alias, part in parts.items()])
+        figures = [F.count_if(F.col(self.names[pair])).alias(self.names[pair]) for pair in pairs]
+        for i in range(len(fields)):
+            figures.append(F.count_if(F.col(f"length{i}") > 0).alias(f"rows{i}"))
+            figures.append(F.sum(f"length{i}").alias(f"length{i}"))
+        self.row = added.agg(F.struct(*figures).alias("figures")).scalar() if pairs else None
 
     def rows(self, field: str) -> Column:
-        return self._row[self.names[field]].cast("double")
+        return F.col("_figures")[self.names[field]].cast("double")
 
     def mean_length(self, field: str) -> Column:
-        return self._row[self.names[field, None]] / self.rows(field)
+        return F.col("_figures")[self.names[field, None]] / self.rows(field)
 
     def rows_with(self, field: str, term: str) -> Column:
-        return self._row[self.names[field, term]].cast("double")
+        return F.col("_figures")[self.names[field, term]].cast("double")
 
 
 def phrase_frequency(slots: Column, placed: list[tuple[int, str]]) -> Column:
@@ -191,8 +195,11 @@ class Scorer:
 def scored(view: TableView, where: Clause, rounded: bool = False) -> TableView:
     """Matching rows with their score in ``_score``."""
     hits = matching(view, where)
-    scorer = Scorer(hits, CorpusFigures(view, where), rounded)
+    figures = CorpusFigures(view, where)
+    scorer = Scorer(hits, figures, rounded)
     score = scorer.score(where)
-    measured = hits.df.withColumns(scorer.measures) if scorer.measures else hits.df
-    df = measured.withColumn("_score", score).drop(*scorer.measures)
+    measures = {**scorer.measures}
+    if figures.row is not None:
+        measures["_figures"] = figures.row
+    df = hits.df.withColumns(measures).withColumn("_score", score).drop(*measures)
     return replace(hits, df=df)

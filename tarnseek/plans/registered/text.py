@@ -225,14 +225,16 @@ def stats_of_terms(spark, sf_dir):
 
 @query("text_postings_and", f"{_POSTINGS} SELECT doc_id FROM documents WHERE {_has('from')} AND {_has('ha')} AND {_has('er')}")
 def text_postings_and(spark, sf_dir):
-    postings = build_postings(view(spark, sf_dir, "documents"), "text", positions=False)
-    return rows_with_all(postings, ["doc_id"], ["from", "ha", "er"])
+    terms = ["from", "ha", "er"]
+    postings = build_postings(view(spark, sf_dir, "documents"), "text", positions=False, terms=terms)
+    return rows_with_all(postings, ["doc_id"], terms)
 
 
 @query("text_postings_or", f"{_POSTINGS} SELECT doc_id FROM documents WHERE {_has('von')} OR {_has('les')}")
 def text_postings_or(spark, sf_dir):
-    postings = build_postings(view(spark, sf_dir, "documents"), "text", positions=False)
-    return rows_with_any(postings, ["doc_id"], ["von", "les"])
+    terms = ["von", "les"]
+    postings = build_postings(view(spark, sf_dir, "documents"), "text", positions=False, terms=terms)
+    return rows_with_any(postings, ["doc_id"], terms)
 
 
 @query(
@@ -248,7 +250,8 @@ def text_postings_wildcard(spark, sf_dir):
 def text_postings_phrase(spark, sf_dir):
     docs = view(spark, sf_dir, "documents")
     placed = docs.spec.analyzer.analyze_literal(spark, "attion to thanedble")
-    return rows_with_phrase(build_postings(docs, "text"), ["doc_id"], placed)
+    postings = build_postings(docs, "text", terms=[term for _, term in placed])
+    return rows_with_phrase(postings, ["doc_id"], placed)
 
 
 # --- relevance -----------------------------------------------------------------------
@@ -302,8 +305,9 @@ _scores(
 def bm25_from_postings(spark, sf_dir):
     docs = view(spark, sf_dir, "documents")
     size = corpus_size(docs, "text").select(F.struct("docs", "tokens").alias("size")).scalar()
-    postings = build_postings(docs, "text", positions=False)
-    found = score_postings(postings, ["doc_id"], ["from", "ha"], size["docs"], size["tokens"])
+    terms = ["from", "ha"]
+    postings = build_postings(docs, "text", positions=False, terms=terms)
+    found = score_postings(postings, ["doc_id"], terms, size["docs"], size["tokens"])
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
