@@ -103,7 +103,8 @@ class Equals(Clause):
         literal = exact_literal(field, self.value)
         if field.kind is not Kind.TEXT:
             return F.col(self.field) == literal
-        return has_slot(view.token_slots(self.field), self.value)
+        times = view.measure("tf", self.field, self.value)
+        return has_slot(view.token_slots(self.field), self.value) if times is None else times > 0
 
     def necessary(self, view):
         if view.spec.field(self.field).kind is Kind.TEXT:
@@ -165,6 +166,9 @@ class Like(Clause):
             return glob_match(F.col(self.field), self.glob)
         if field.kind is not Kind.TEXT:
             raise TarnseekError(f"column[{self.field}] of type {field.kind.value} has no wildcard match")
+        times = view.measure("glob", self.field, self.glob)
+        if times is not None:
+            return times > 0
         return F.exists(
             view.token_slots(self.field),
             lambda token: F.coalesce(glob_match(token, self.glob), F.lit(False)),
@@ -213,6 +217,8 @@ class MatchAll(_Analyzed):
         terms = self.terms(view)
         if not terms:
             return F.lit(False)
+        if view.measured is not None:
+            return reduce(and_, [view.measure("tf", self.field, t) > 0 for t in terms])
         shared = F.array_intersect(view.token_slots(self.field), F.array(*map(F.lit, terms)))
         return F.size(shared) == len(terms)
 
@@ -225,6 +231,8 @@ class MatchAny(_Analyzed):
         terms = self.terms(view)
         if not terms:
             return F.lit(False)
+        if view.measured is not None:
+            return reduce(or_, [view.measure("tf", self.field, t) > 0 for t in terms])
         overlap = F.arrays_overlap(view.token_slots(self.field), F.array(*map(F.lit, terms)))
         return F.coalesce(overlap, F.lit(False))
 
@@ -240,6 +248,9 @@ class Phrase(_Analyzed):
         placed = self.positions(view)
         if not placed:
             return F.lit(False)
+        times = view.measure("phrase", self.field, self.text)
+        if times is not None:
+            return times > 0
         first, head = placed[0]
 
         def stands(slots: Column) -> Column:
@@ -288,7 +299,7 @@ def matching(view: TableView, where: Clause | None) -> TableView:
     """Rows that satisfy the clause; no clause keeps all."""
     if where is None or isinstance(where, Everything):
         return view
-    reads = where.text_fields(view)
+    reads = [] if view.measured is not None else where.text_fields(view)
     if any(not view.has_token_column(view.spec.field(f)) for f in reads):
         view = view.where(where.necessary(view)).with_tokens(*reads)
     return view.where(where.condition(view))

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tarnseek.errors import TarnseekError
 from tarnseek.operators.ordering import SortKey, ordered, page_rows, parse_order, sort_keys
 from tarnseek.operators.view import TableView
-from tarnseek.schema import Field
+from tarnseek.schema import ROW_ID, Field
 
 
 def group_field(view: TableView, group_by: str | Sequence[str]) -> Field:
@@ -54,11 +54,20 @@ def ordered_groups(view: TableView, group_by: str, order_by: Sequence = ()) -> D
         return ordered(group_counts(view, name), _group_keys(view, name, groups))
     count = F.count(F.lit(1)).alias(count_name([name]))
     best = F.max("_score") if "_score" in view.df.columns else F.lit(1.0)
-    first_row = F.min(F.struct(*view.tie))
+    first_row = F.min(_arrival(view))
     ranked = view.df.groupBy(name).agg(count, best.alias("_best"), first_row.alias("_first"))
     return ranked.orderBy(F.desc("_best"), "_first").drop("_best", "_first")
 
 
+def _arrival(view: TableView) -> Column:
+    """When a row came, as one value; a number where it can be, so that groups are hashed."""
+    if view.tie == ROW_ID:
+        batch, row = (F.col(c) for c in view.tie)
+        rows_per_batch = F.lit(str(2**63)).cast("decimal(19,0)")
+        return (batch.cast("decimal(18,0)") * rows_per_batch + row).cast("decimal(38,0)")
+    return F.col(view.tie[0]) if len(view.tie) == 1 else F.struct(*view.tie)
+
+
 def _group_keys(view: TableView, name: str, groups: list) -> list[SortKey]:
     """Sort groups by value; a missing number sorts like 0 yet stays apart from real zeros."""
     return [*sort_keys(view, groups[-1:], tie=False), SortKey(F.col(name).isNotNull())]

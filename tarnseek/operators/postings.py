@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -99,14 +101,14 @@ def rows_with_glob(postings: DataFrame, keys: Sequence[str], glob: str) -> DataF
     return postings.where(glob_match(F.col("term"), glob)).select(*keys).distinct()
 
 
-def rows_with_phrase(
+def phrase_counts(
     postings: DataFrame, keys: Sequence[str], placed: Sequence[tuple[int, str]]
 ) -> DataFrame:
-    """Row keys where the terms stand at the given distances.
+    """Row keys that hold the terms at the given distances, with how often (``tf``).
 
-    Each occurrence names the place its phrase would start; a row with all
-    parts naming one start holds the phrase. This is one grouping by (row,
-    start), linear in the occurrences, with no self-join.
+    Each occurrence names the place its phrase would start; a start named by
+    all parts is a phrase. This is one grouping by (row, start), linear in the
+    occurrences, with no self-join.
     """
     if not 0 < len(placed) <= MAX_TERMS:
         raise TarnseekError(f"a phrase has 1 to {MAX_TERMS} tokens")
@@ -116,15 +118,22 @@ def rows_with_phrase(
             for i, (p, t) in enumerate(placed)
         ]
     )
-    terms = sorted({t for _, t in placed})
+    own = F.filter(parts, lambda x: x["t"] == F.col("term")).alias("parts")
     starts = (
-        postings.where(F.col("term").isin(terms))
-        .select(*keys, F.explode("positions").alias("at"), F.filter(parts, lambda x: x["t"] == F.col("term")).alias("parts"))
+        postings.where(F.col("term").isin(sorted({t for _, t in placed})))
+        .select(*keys, F.explode("positions").alias("at"), own)
         .select(*keys, "at", F.inline("parts"))
         .groupBy(*keys, (F.col("at") - F.col("off")).alias("start"))
         .agg(F.bit_or("bit").alias("_seen"))
     )
-    return starts.where(F.col("_seen") == (1 << len(placed)) - 1).select(*keys).distinct()
+    whole = starts.where(F.col("_seen") == (1 << len(placed)) - 1)
+    return whole.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+
+def rows_with_phrase(
+    postings: DataFrame, keys: Sequence[str], placed: Sequence[tuple[int, str]]
+) -> DataFrame:
+    return phrase_counts(postings, keys, placed).select(*keys)
 
 
 def corpus_size(view: TableView, field: str) -> DataFrame:
@@ -163,25 +172,22 @@ class PostingsTable:
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def write(self, postings: DataFrame, keys: Sequence[str], mode: str = "append") -> None:
-        """Add postings of new rows; a hot term is spread over ``salts`` tasks of its bucket."""
+    def write(self, postings: DataFrame, keys: Sequence[str], part: str = "") -> None:
+        """Write one part, replacing what it held; a hot term is spread over ``salts`` tasks."""
         salt = F.pmod(F.xxhash64(*keys), F.lit(self.salts))
         (
             postings.withColumn("_bucket", self._bucket(F.col("term")))
             .repartition("_bucket", salt)
             .sortWithinPartitions("_bucket", "term")
-            .write.mode(mode)
+            .write.mode("overwrite")
             .partitionBy("_bucket")
-            .parquet(self.path)
+            .parquet(f"{self.path}/{part}" if part else self.path)
         )
 
     def read(self, spark: SparkSession, terms: Sequence[str] | None = None) -> DataFrame:
-        """All postings, or those of some terms: only their buckets are listed and read."""
-        df = spark.read.parquet(self.path)
+        """All postings, or those of some terms: only their buckets are read."""
+        df = spark.read.option("basePath", self.path).parquet(self.path)
         if terms is not None:
-            wanted = [F.col("_bucket") == self._bucket(F.lit(t)) for t in terms]
-            bucket = wanted[0]
-            for w in wanted[1:]:
-                bucket = bucket | w
-            df = df.where(bucket & F.col("term").isin(list(terms)))
+            buckets = [F.col("_bucket") == self._bucket(F.lit(t)) for t in terms]
+            df = df.where(reduce(or_, buckets) & F.col("term").isin(list(terms)))
         return df.drop("_bucket")

@@ -11,9 +11,10 @@ nothing but one row of numbers is shared.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tarnseek.functions.columns import let
 from tarnseek.operators.clauses import (
@@ -93,41 +94,58 @@ def _nodes(clause: Clause):
 
 
 class CorpusFigures:
-    """Figures of the whole table (not just the hits) for the terms of a search."""
+    """Figures of the whole table (not just the hits) for the terms of a search.
+
+    ``scalars`` are one-row subqueries to be added to the hits as columns; the
+    methods read those columns.
+    """
 
     def __init__(self, view: TableView, where: Clause):
-        pairs = dict.fromkeys(p for leaf in where.leaves() for p in _scored_terms(view, leaf))
-        self.names = {pair: f"df{i}" for i, pair in enumerate(pairs)}
-        fields = list(dict.fromkeys(f for f, _ in pairs))
-        texts = [f for f in fields if view.spec.field(f).kind is Kind.TEXT]
-        whole = view.with_tokens(*texts)
-        # What each row adds to the figures, then the sums: one pass, one row out.
-        parts = {}
-        for i, name in enumerate(fields):
-            self.names[name], self.names[name, None] = f"rows{i}", f"length{i}"
-            in_text = name in texts
-            length = slot_count(whole.token_slots(name)) if in_text else F.lit(1)
-            parts[f"length{i}"] = F.when(F.col(name).isNotNull(), length)
-        for name, term in pairs:
-            in_text = name in texts
-            parts[self.names[name, term]] = (
-                has_slot(whole.token_slots(name), term) if in_text else F.col(name) == term
-            )
-        added = whole.df.select(*[part.alias(alias) for alias, part in parts.items()])
-        figures = [F.count_if(F.col(self.names[pair])).alias(self.names[pair]) for pair in pairs]
-        for i in range(len(fields)):
-            figures.append(F.count_if(F.col(f"length{i}") > 0).alias(f"rows{i}"))
-            figures.append(F.sum(f"length{i}").alias(f"length{i}"))
-        self.row = added.agg(F.struct(*figures).alias("figures")).scalar() if pairs else None
+        pairs = list(dict.fromkeys(p for leaf in where.leaves() for p in _scored_terms(view, leaf)))
+        self.scalars: dict[str, Column] = {}
+        self._places: dict[tuple, tuple[str, str]] = {}
+        for name in dict.fromkeys(f for f, _ in pairs):
+            terms = [t for f, t in pairs if f == name]
+            self._add(name, terms, self.figures_of(view, name, terms))
+
+    def _add(self, name: str, terms: list[str], figures: DataFrame) -> None:
+        holder = f"_figures{len(self.scalars)}"
+        self.scalars[holder] = figures.select(F.struct("*").alias("figures")).scalar()
+        self._places[name, "docs"] = holder, "docs"
+        self._places[name, "tokens"] = holder, "tokens"
+        for i, term in enumerate(terms):
+            self._places[name, "term", term] = holder, f"df{i}"
+
+    def figures_of(self, view: TableView, name: str, terms: list[str]) -> DataFrame:
+        """One row: rows that have the field, their tokens, and rows with each term.
+
+        Each row's part is worked out first, then added up in one pass.
+        """
+        if view.spec.field(name).kind is Kind.TEXT:
+            whole = view.with_tokens(name)
+            slots = whole.token_slots(name)
+            parts = [slot_count(slots).alias("n")]
+            parts += [has_slot(slots, t).alias(f"has{i}") for i, t in enumerate(terms)]
+        else:
+            whole = view
+            parts = [F.when(F.col(name).isNotNull(), 1).otherwise(0).alias("n")]
+            parts += [(F.col(name) == t).alias(f"has{i}") for i, t in enumerate(terms)]
+        sums = [F.count_if(F.col("n") > 0).alias("docs"), F.sum("n").alias("tokens")]
+        sums += [F.count_if(F.col(f"has{i}")).alias(f"df{i}") for i in range(len(terms))]
+        return whole.df.select(*parts).agg(*sums)
+
+    def _at(self, *what: str) -> Column:
+        holder, name = self._places[what]
+        return F.col(holder)[name].cast("double")
 
     def rows(self, field: str) -> Column:
-        return F.col("_figures")[self.names[field]].cast("double")
+        return self._at(field, "docs")
 
     def mean_length(self, field: str) -> Column:
-        return F.col("_figures")[self.names[field, None]] / self.rows(field)
+        return self._at(field, "tokens") / self.rows(field)
 
     def rows_with(self, field: str, term: str) -> Column:
-        return F.col("_figures")[self.names[field, term]].cast("double")
+        return self._at(field, "term", term)
 
 
 def phrase_frequency(slots: Column, placed: list[tuple[int, str]]) -> Column:
@@ -150,16 +168,21 @@ class Scorer:
         self.measures: dict[str, Column] = {}
         self._names: dict[tuple, str] = {}
 
-    def _measure(self, what: tuple, column: Column) -> Column:
+    def _measure(self, what: tuple, column: Callable[[], Column]) -> Column:
+        if self.view.measured is not None and what in self.view.measured:
+            return self.view.measure(*what)
         name = self._names.setdefault(what, f"_m{len(self._names)}")
-        self.measures[name] = column
+        self.measures[name] = column()
         return F.col(name)
 
     def _length(self, field: str) -> Column:
+        stored = self.view.measure("length", field)
+        if stored is not None:
+            return rounded_length(stored) if self.rounded else stored
         length = slot_count(self.view.token_slots(field))
         if self.rounded:
             length = let(length, rounded_length)
-        return self._measure(("length", field), length)
+        return self._measure(("length", field), lambda: length)
 
     def score(self, where: Clause) -> Column:
         """Score of a row that matches ``where``."""
@@ -176,30 +199,34 @@ class Scorer:
         }
         if self.view.spec.field(field).kind is Kind.STRING:
             return rarity[terms[0][1]]
-        slots, length, mean = self.view.token_slots(field), self._length(field), self.figures.mean_length(field)
+        length, mean = self._length(field), self.figures.mean_length(field)
         if isinstance(where, Phrase):
             # A phrase counts as one term: its occurrences, and its words' rarities added up.
-            times = phrase_frequency(slots, where.positions(self.view))
-            tf = self._measure(("phrase", field, where.text), times)
+            tf = self._measure(
+                ("phrase", field, where.text),
+                lambda: phrase_frequency(self.view.token_slots(field), where.positions(self.view)),
+            )
             return bm25(tf, length, mean, sum(rarity.values()))
         return sum(
-            bm25(self._measure(("tf", field, t), term_frequency(slots, t)), length, mean, r)
-            for t, r in rarity.items()
+            bm25(self._frequency(field, t), length, mean, r) for t, r in rarity.items()
         )
 
+    def _frequency(self, field: str, term: str) -> Column:
+        return self._measure(("tf", field, term), lambda: term_frequency(self.view.token_slots(field), term))
+
     def _if_matching(self, side: Clause) -> Column:
-        matches = self._measure(("matches", id(side)), side.condition(self.view))
+        matches = self._measure(("matches", id(side)), lambda: side.condition(self.view))
         return F.when(matches, self.score(side)).otherwise(0.0)
 
 
-def scored(view: TableView, where: Clause, rounded: bool = False) -> TableView:
+def scored(
+    view: TableView, where: Clause, rounded: bool = False, figures: CorpusFigures | None = None
+) -> TableView:
     """Matching rows with their score in ``_score``."""
     hits = matching(view, where)
-    figures = CorpusFigures(view, where)
+    figures = figures or CorpusFigures(view, where)
     scorer = Scorer(hits, figures, rounded)
     score = scorer.score(where)
-    measures = {**scorer.measures}
-    if figures.row is not None:
-        measures["_figures"] = figures.row
+    measures = {**scorer.measures, **figures.scalars}
     df = hits.df.withColumns(measures).withColumn("_score", score).drop(*measures)
     return replace(hits, df=df)

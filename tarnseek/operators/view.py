@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,6 +22,8 @@ class TableView:
     df: DataFrame
     spec: TableSpec
     tie: tuple[str, ...]
+    # Text measures the rows carry from an index: what is measured → column name.
+    measured: Mapping[tuple, str] | None = None
 
     def text_field(self, name: str) -> Field:
         field = self.spec.field(name)
@@ -38,6 +41,12 @@ class TableView:
             raise TarnseekError(f"the tokens of column[{name}] haven't been worked out")
         return F.col(field.token_column)
 
+    def measure(self, *what: str) -> Column | None:
+        """A measure taken from an index: a count (0 if absent), or None without an index."""
+        if self.measured is None:
+            return None
+        return F.coalesce(F.col(self.measured[what]), F.lit(0))
+
     def with_tokens(self, *names: str) -> TableView:
         """The view with token columns for these TEXT fields, each worked out once per row."""
         df = self.df

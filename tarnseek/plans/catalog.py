@@ -12,14 +12,14 @@ from tarnseek.functions.analyzers import Analyzer, analyzer_named
 from tarnseek.operators.clauses import Clause
 from tarnseek.operators.view import TableView
 from tarnseek.plans.search import SearchResult, search_view
-from tarnseek.schema import Field, RecordSource, TableSpec
+from tarnseek.schema import ROW_ID, Field, Kind, RecordSource, TableSpec
 from tarnseek.sources.records import FILES_PER_BATCH, stream_records
 from tarnseek.sources.storage import Folder
 from tarnseek.streaming.feed import REFRESH, TableStore
 from tarnseek.streaming.snapshots import NO_TOKEN
+from tarnseek.streaming.text_index import TextIndex
 
 SPEC_FILE = "spec.json"
-TIE = ("_batch_id", "_row")
 
 
 class Catalog:
@@ -128,15 +128,37 @@ class Catalog:
         query.processAllAvailable()
         query.stop()
 
+    def index_text(self, name: str, field: str, buckets: int = 256) -> int:
+        """Store postings of a TEXT field, or bring them up to date; returns the last batch covered.
+
+        Searches then read the postings of their terms instead of all token arrays.
+        """
+        store = self.store(name)
+        if store.spec.field(field).kind is not Kind.TEXT:
+            raise TarnseekError(f"column[{field}] is not a text column")
+        folder = store.folder.child(f"index/{field}")
+        folder.put_new("buckets", str(buckets))
+        return TextIndex(store, field, int(folder.text("buckets"))).update()
+
+    def _indexes(self, store: TableStore, where: Clause | None, view: TableView, up_to: int) -> dict:
+        found = {}
+        for field in where.text_fields(view) if where is not None else ():
+            folder = store.folder.child(f"index/{field}")
+            if folder.exists("updates"):
+                index = TextIndex(store, field, int(folder.text("buckets")))
+                found[field] = index.source(up_to)
+        return found
+
     # --- reading ----------------------------------------------------------------
     def view(self, name: str, up_to: int | None = None) -> TableView:
         store = self.store(name)
-        return TableView(store.rows(up_to), store.spec, TIE)
+        return TableView(store.rows(up_to), store.spec, ROW_ID)
 
     def search(
         self,
         name: str,
         where: Clause | None = None,
+        select: Sequence[str] | None = None,
         token: int = NO_TOKEN,
         wait: bool = True,
         **options,
@@ -158,5 +180,7 @@ class Catalog:
                 if wait:
                     query.processAllAvailable()
                 up_to, snapshot = store.snapshots.record()
-        view = TableView(store.rows(up_to), store.spec, TIE)
-        return search_view(view, where, snapshot=snapshot, **options)
+        up_to = store.snapshots.latest() if up_to is None else up_to
+        view = TableView(store.rows(up_to), store.spec, ROW_ID)
+        indexes = self._indexes(store, where, view, up_to)
+        return search_view(view, where, select, snapshot=snapshot, indexes=indexes, **options)

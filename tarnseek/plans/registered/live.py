@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tarnseek.functions.columns import spread
 from tarnseek.operators.clauses import Compare, Equals, MatchAny
 from tarnseek.plans.catalog import Catalog
 from tarnseek.plans.registered.registry import query
 from tarnseek.plans.registered.tables import SPECS, event_records, table
-from tarnseek.plans.registered.text import _BM25_CTE
+from tarnseek.plans.registered.text import BM25_CTE
 from tarnseek.plans.search import page_with_total
 from tarnseek.schema import RecordSource
 from tarnseek.sources.records import to_records
@@ -21,6 +22,8 @@ from tarnseek.sources.storage import work_folder
 # Events arrive in three lots, by day of the month.
 _LOTS = (0, 10, 20, 31)
 _TOKEN_LIFETIME = 3600
+# Equal scores rank by arrival, which SQL doesn't know; a long page isn't cut through them.
+_LONG_PAGE = 20_000
 
 
 class _Feed:
@@ -139,24 +142,47 @@ def stream_dynamic_page(spark, sf_dir):
     return found.rows.select("event_id", F.col("value").cast("double").alias("score"), "nowhere")
 
 
+def _document_table(spark: SparkSession, sf_dir: str, purpose: str) -> Catalog:
+    folder = work_folder(spark, purpose)
+    docs = spread(table(spark, sf_dir, "documents"))
+    records = to_records(docs, F.lit("docs"), F.col("doc_id"), "doc_id", "text", "lang", "source", "n_chars")
+    records.write.parquet(f"{folder}/source")
+    catalog = Catalog(spark, f"{folder}/tables")
+    source = RecordSource("list", f"{folder}/source", "docs")
+    catalog.create_table("documents", SPECS["documents"][0], source, start=False)
+    catalog.start("documents", refresh=None).awaitTermination()
+    return catalog
+
+
 @query(
     "stream_text_search",
     f"""
-    WITH {_BM25_CTE}
+    WITH {BM25_CTE}
     SELECT doc_id, lang, (SELECT count(DISTINCT doc_id) FROM part WHERE t IN ('from', 'ha')) AS total
     FROM part JOIN documents USING (doc_id)
-    WHERE t IN ('from', 'ha') GROUP BY doc_id, lang ORDER BY sum(s) DESC, doc_id LIMIT 15
+    WHERE t IN ('from', 'ha') GROUP BY doc_id, lang ORDER BY sum(s) DESC, doc_id LIMIT {_LONG_PAGE}
     """,
 )
 def stream_text_search(spark, sf_dir):
     """Relevance page of a streamed table, whose token arrays were stored at ingest."""
-    folder = work_folder(spark, "stream_text_search")
-    docs = table(spark, sf_dir, "documents")
-    records = to_records(docs, F.lit("docs"), F.col("doc_id"), "doc_id", "text", "lang", "source", "n_chars")
-    records.repartitionByRange(8, F.col("_key").cast("long")).write.parquet(f"{folder}/source")
-    catalog = Catalog(spark, f"{folder}/tables")
-    source = RecordSource("list", f"{folder}/source", "docs")
-    catalog.create_table("documents", SPECS["documents"][0], source, start=False)
-    catalog.start("documents", refresh=None).awaitTermination()
-    found = catalog.search("documents", MatchAny("text", "from ha"), select=["doc_id", "lang"])
-    return page_with_total(found)
+    catalog = _document_table(spark, sf_dir, "stream_text_search")
+    return page_with_total(catalog.search("documents", MatchAny("text", "from ha"), ["doc_id", "lang"], size=_LONG_PAGE))
+
+
+@query(
+    "stream_indexed_search",
+    f"""
+    WITH {BM25_CTE},
+    hit AS (
+        SELECT doc_id, lang, sum(s) AS s FROM part JOIN documents USING (doc_id)
+        WHERE t IN ('from', 'ha') AND n_chars > 300 GROUP BY doc_id, lang
+    )
+    SELECT doc_id, lang, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY s DESC, doc_id LIMIT {_LONG_PAGE}
+    """,
+)
+def stream_indexed_search(spark, sf_dir):
+    """The same kind of page read from stored postings of the searched terms."""
+    catalog = _document_table(spark, sf_dir, "stream_indexed_search")
+    catalog.index_text("documents", "text", buckets=64)
+    where = MatchAny("text", "from ha") & Compare("n_chars", ">", 300)
+    return page_with_total(catalog.search("documents", where, ["doc_id", "lang"], size=_LONG_PAGE))

@@ -49,7 +49,7 @@ _WORD_CTE = f"""
     ),
     token AS (SELECT * FROM word WHERE t NOT IN ({_STOP}))
 """
-_BM25_CTE = f"""
+BM25_CTE = f"""
     {_WORD_CTE},
     doc AS (SELECT doc_id, count(*) AS dl FROM token GROUP BY doc_id),
     corpus AS (SELECT count(*)::DOUBLE AS n, sum(dl)::DOUBLE / count(*) AS avgdl FROM doc),
@@ -256,7 +256,7 @@ def text_postings_phrase(spark, sf_dir):
 
 # --- relevance -----------------------------------------------------------------------
 def _scores(name: str, where, sql: str, rounded: bool = False) -> None:
-    @query(name, f"WITH {_BM25_CTE} {sql}")
+    @query(name, f"WITH {BM25_CTE} {sql}")
     def run(spark, sf_dir):
         hits = scored(view(spark, sf_dir, "documents"), where, rounded)
         return hits.df.select("doc_id", F.round("_score", 6).alias("score"))
@@ -300,7 +300,7 @@ _scores(
 
 @query(
     "bm25_from_postings",
-    f"WITH {_BM25_CTE} SELECT doc_id, round(sum(s), 6) AS score FROM part WHERE t IN ('from', 'ha') GROUP BY doc_id",
+    f"WITH {BM25_CTE} SELECT doc_id, round(sum(s), 6) AS score FROM part WHERE t IN ('from', 'ha') GROUP BY doc_id",
 )
 def bm25_from_postings(spark, sf_dir):
     docs = view(spark, sf_dir, "documents")
@@ -313,7 +313,7 @@ def bm25_from_postings(spark, sf_dir):
 
 @query(
     "relevance_page",
-    f"WITH {_BM25_CTE} SELECT doc_id, lang FROM part JOIN documents USING (doc_id) "
+    f"WITH {BM25_CTE} SELECT doc_id, lang FROM part JOIN documents USING (doc_id) "
     "WHERE t IN ('from', 'ha') GROUP BY doc_id, lang ORDER BY sum(s) DESC, doc_id LIMIT 15",
 )
 def relevance_page(spark, sf_dir):
@@ -326,7 +326,7 @@ def relevance_page(spark, sf_dir):
 @query(
     "group_count_by_relevance",
     f"""
-    WITH {_BM25_CTE}
+    WITH {BM25_CTE}
     SELECT lang, count(*) AS "count" FROM part JOIN documents USING (doc_id)
     WHERE t = 'from' GROUP BY lang ORDER BY max(s) DESC
     """,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from tarnseek.errors import TarnseekError
 from tarnseek.functions.jsonvals import decode_object, member, member_or_null_text, result_json
 from tarnseek.operators.clauses import Clause, matching
+from tarnseek.operators.indexed import IndexFigures, PostingsSource, measured, needs_token
 from tarnseek.operators.grouping import group_field, group_total, ordered_groups
 from tarnseek.operators.lookup import BROADCAST_ROWS, fetch_records
 from tarnseek.operators.ordering import (
@@ -73,6 +74,7 @@ def search_view(
     missing_as_text: bool = False,
     rounded_lengths: bool = False,
     snapshot: int | None = None,
+    indexes: Mapping[str, PostingsSource] | None = None,
 ) -> SearchResult:
     """Search one table.
 
@@ -80,12 +82,17 @@ def search_view(
     means all declared fields. Without ``order_by`` hits are ranked by score.
     ``records`` is the current record store: values are then fetched from it by
     key, and hits whose record is gone are left out of the rows, not of the
-    total.
+    total. ``indexes`` are stored postings by TEXT field; they're used where
+    they can drive the search.
     """
     check_page(page, size)
     ranked = not order_by and ranks_by_score(view, where)
-    hits = scored(view, where, rounded_lengths) if ranked else matching(view, where)
-    counted_hits = matching(view, where)
+    rows, figures = view, None
+    if where is not None and set(where.text_fields(view)) <= set(indexes or ()) and needs_token(where, view):
+        rows = measured(view, where, indexes)
+        figures = IndexFigures(view, where, indexes) if ranked else None
+    hits = scored(rows, where, rounded_lengths, figures) if ranked else matching(rows, where)
+    counted_hits = matching(rows, where)
     if group_by is not None:
         group_field(view, group_by)
         return SearchResult(
@@ -98,10 +105,10 @@ def search_view(
     names = list(dict.fromkeys(select or view.spec.field_names))
     dynamic = [n for n in names if not view.spec.has(n)]
     if records is None and not dynamic and not missing_as_text:
-        rows = page_rows(hits.df, keys, page, size).select(*names)
+        found = page_rows(hits.df, keys, page, size).select(*names)
     else:
-        rows = _fetched_page(hits, keys, page, size, names, records, missing_as_text)
-    return SearchResult(rows, counted, snapshot, size)
+        found = _fetched_page(hits, keys, page, size, names, records, missing_as_text)
+    return SearchResult(found, counted, snapshot, size)
 
 
 def _fetched_page(hits, keys, page, size, names, records, missing_as_text) -> DataFrame:

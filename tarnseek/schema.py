@@ -16,6 +16,8 @@ from tarnseek.errors import TarnseekError
 from tarnseek.functions.analyzers import Analyzer, analyzer_named
 
 KEY_COLUMNS = ("_name", "_key")
+# What tells a stored row from all others, in order of arrival.
+ROW_ID = ("_batch_id", "_row")
 TOKEN_SUFFIX = "__tokens"
 
 

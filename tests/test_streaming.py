@@ -6,7 +6,21 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from tarnseek import Catalog, Compare, Equals, Field, Kind, MatchAny, RecordSource, TableSpec, TarnseekError
+from tarnseek import (
+    Catalog,
+    Compare,
+    Equals,
+    Field,
+    Kind,
+    Like,
+    MatchAll,
+    MatchAny,
+    Phrase,
+    RecordSource,
+    TableSpec,
+    TarnseekError,
+    search_view,
+)
 from tarnseek.functions.analyzers import Analyzer, STANDARD, register_analyzer, reset_analyzers
 from tarnseek.sources.decode import decode_records
 from tarnseek.sources.records import hash_range, list_range, name_matches
@@ -250,6 +264,16 @@ def test_stored_tokens_answer_text_searches(spark, made):
     assert "regexp_extract_all" not in plan
 
 
+def test_groups_of_a_stored_table_are_hashed(spark, made):
+    catalog, source, folder = made
+    arrive(spark, folder, [record(30, city="aa"), record(31)])
+    catalog.create_table("t", FIELDS, source, start=False)
+    drain(catalog)
+    found = catalog.search("t", group_by="city")
+    assert [tuple(r) for r in found.rows.collect()] == [("hangzhou", 21), ("aa", 1)]
+    assert "SortAggregate" not in found.rows._jdf.queryExecution().executedPlan().toString()
+
+
 # --- sources -------------------------------------------------------------------------------
 def test_source_scans(spark):
     rows = [("list1", str(i), "{}") for i in range(12)] + [("h1", f"key_{i}", "{}") for i in range(12)]
@@ -285,3 +309,64 @@ def test_small_files_are_written_once(spark, tmp_path):
 
 def test_kinds():
     assert Field("a", "TEXT").kind is Kind.TEXT
+
+
+# --- stored postings -------------------------------------------------------------------------
+WORDS = ["red", "cat", "sat", "on", "the", "mat", "dog", "power"]
+
+
+def story(i):
+    text = " ".join(WORDS[(i * k + k * k) % len(WORDS)] for k in range(1, 4 + i % 9))
+    return record(i, city="hz" if i % 3 else "bj", company=text)
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    """60 records in three batches: two indexed, the last one not yet."""
+    tmp_path = tmp_path_factory.mktemp("indexed")
+    catalog = Catalog(spark, f"{tmp_path}/tables", search_expired=60)
+    arrive(spark, tmp_path, [story(i) for i in range(20)])
+    catalog.create_table("t", FIELDS, RecordSource("list", f"{tmp_path}/source", "list*"), start=False)
+    for lot in range(3):
+        if lot:
+            arrive(spark, tmp_path, [story(i) for i in range(20 * lot, 20 * lot + 20)])
+        drain(catalog)
+        if lot < 2:
+            assert catalog.index_text("t", "company", buckets=4) == lot
+    return catalog
+
+
+@pytest.mark.parametrize(
+    "where",
+    [
+        Equals("company", "cat"),
+        Equals("company", "nowhere"),
+        MatchAny("company", "Cat the POWER"),
+        MatchAll("company", "cat dog"),
+        Phrase("company", "red cat"),
+        Phrase("company", "sat on the mat"),
+        Like("company", "?at"),
+        Equals("company", "cat") & Equals("city", "hz") & Compare("index", ">", 7),
+        (Equals("company", "cat") & MatchAny("company", "dog")) | Equals("company", "power"),
+        Equals("company", "cat") | Equals("city", "bj"),
+    ],
+)
+def test_index_gives_the_same_answers(spark, indexed, where):
+    store = indexed.store("t")
+    asked = dict(select=["index", "city", "company"], size=100)
+    for up_to in (0, 2):
+        plain = search_view(indexed.view("t", up_to), where, **asked)
+        view = indexed.view("t", up_to)
+        with_index = search_view(view, where, indexes=indexed._indexes(store, where, view, up_to), **asked)
+        assert [tuple(r) for r in with_index.rows.collect()] == [tuple(r) for r in plain.rows.collect()]
+        assert with_index.total == plain.total
+
+
+def test_index_spares_the_token_arrays(spark, indexed):
+    assert indexed.index_text("t", "company") == 2
+    found = indexed.search("t", MatchAny("company", "cat power"), ["index"])
+    plan = found.rows._jdf.queryExecution().executedPlan().toString()
+    assert "company__tokens" not in plan
+    assert found.total > 0
+    with pytest.raises(TarnseekError):
+        indexed.index_text("t", "city")
