@@ -96,10 +96,6 @@ def after_row(keys: Sequence[SortKey], values: Sequence) -> Column:
     return condition
 
 
-def top(df: DataFrame, keys: Sequence[SortKey], k: int) -> DataFrame:
-    return ordered(df, keys).limit(k)
-
-
 def check_page(page: int, size: int) -> None:
     for what, n in (("page", page), ("size", size)):
         if isinstance(n, bool) or not isinstance(n, int) or n < 1:
@@ -242,8 +238,11 @@ def _before_row(keys: Sequence[SortKey], values: Sequence) -> Column:
 
 def page_after(df: DataFrame, keys: Sequence[SortKey], last: Sequence, size: int) -> DataFrame:
     """The ``size`` rows after the last row seen, given that row's key values."""
-    check_page(1, size)
-    return ordered(df.where(after_row(keys, last)), keys).limit(size)
+    return page_rows(df.where(after_row(keys, last)), keys, 1, size)
+
+
+def top(df: DataFrame, keys: Sequence[SortKey], k: int) -> DataFrame:
+    return page_rows(df, keys, 1, k)
 
 
 def total_hits(df: DataFrame) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnseek.functions.columns import spread
 from tarnseek.functions.dates import format_date, from_nanos, to_nanos
 from tarnseek.functions.jsonvals import decode_object, member, member_or_null_text, value_kind
 from tarnseek.operators.clauses import Between, Compare, Equals, HasField, Like, matching
@@ -190,7 +191,7 @@ def date_format_out(spark, sf_dir):
     """,
 )
 def json_number_types(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     made = F.to_json(
         F.struct(
             F.get_json_object("props", "$.k").cast("int").alias("k"),

@@ -35,10 +35,9 @@ class _Feed:
         self.catalog = Catalog(spark, f"{self.folder}/tables", search_expired=_TOKEN_LIFETIME)
 
     def arrive(self, lot: int) -> None:
-        day = F.dayofmonth(F.to_timestamp_ntz(F.get_json_object("value", "$.ts"), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
-        records = event_records(self.spark, self.sf_dir)
-        chosen = records.where((day > _LOTS[lot]) & (day <= _LOTS[lot + 1]))
-        chosen.write.mode("append").parquet(f"{self.folder}/source")
+        day = F.dayofmonth("ts")
+        in_lot = (day > _LOTS[lot]) & (day <= _LOTS[lot + 1])
+        event_records(self.spark, self.sf_dir, where=in_lot).write.mode("append").parquet(f"{self.folder}/source")
 
     def create(self, start: bool = True) -> Catalog:
         source = RecordSource("list", f"{self.folder}/source", "list_*")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tarnseek.functions.columns import spread
 from tarnseek.operators.view import TableView
 from tarnseek.schema import Field, Kind, TableSpec
 from tarnseek.sources.records import to_records
@@ -121,11 +122,15 @@ def labelled(spark: SparkSession, sf_dir: str) -> TableView:
     return TableView(df, TableSpec("labelled", fields), ("doc_id",))
 
 
-def event_records(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def event_records(
+    spark: SparkSession, sf_dir: str, *columns: str, where: Column | None = None
+) -> DataFrame:
     """Events as keyed JSON records, one list per event type."""
     columns = columns or ("event_id", "ts", "user_id", "event_type", "value", "props")
     name = F.concat(F.lit("list_"), F.col("event_type"))
-    return to_records(table(spark, sf_dir, "events"), name, F.col("event_id"), *columns)
+    events = table(spark, sf_dir, "events")
+    events = spread(events if where is None else events.where(where))
+    return to_records(events, name, F.col("event_id"), *columns)
 
 
 EVENT_SPEC = TableSpec("events", tuple(SPECS["events"][0]))

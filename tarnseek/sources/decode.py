@@ -20,15 +20,11 @@ BAD_VALUE_CHOICES = ("quarantine", "null", "fail")
 
 def typed(text: Column, field: Field) -> Column:
     """A member's text as the field's type; NULL if it isn't one. Quoted numbers are fine."""
-    if field.kind in (Kind.INT, Kind.LONG):
-        return F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast(field.spark_type))
-    if field.kind is Kind.DOUBLE:
-        return text.try_cast(field.spark_type)
-    if field.kind is Kind.DATE:
-        if field.pattern is None:
-            return text.try_cast(field.spark_type)
+    if field.kind in (Kind.STRING, Kind.TEXT):
+        return text
+    if field.kind is Kind.DATE and field.pattern is not None:
         return parse_date(text, field.pattern)
-    return text
+    return text.try_cast(field.spark_type)
 
 
 def decode_records(records: DataFrame, spec: TableSpec, on_bad_value: str = "quarantine") -> DataFrame:

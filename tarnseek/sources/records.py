@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tarnseek.errors import TarnseekError
+from tarnseek.operators.ordering import SortKey, page_rows
 from tarnseek.schema import RecordSource
 
 RECORD_SCHEMA = T.StructType(
@@ -60,7 +61,8 @@ def hash_range(records: DataFrame, name: str, after: str, count: int) -> DataFra
     """The next ``count`` pairs of a hash with keys greater than ``after``, in key order."""
     if count < 1:
         raise TarnseekError(f"bad hash range size ({count})")
-    return records.where(name_matches(name) & (F.col("_key") > after)).orderBy("_key").limit(count)
+    pairs = records.where(name_matches(name) & (F.col("_key") > after))
+    return page_rows(pairs, [SortKey(F.col("_key"))], 1, count)
 
 
 def to_records(df: DataFrame, name: Column, key: Column, *columns: str) -> DataFrame:

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tarnseek.errors import TarnseekError
 from tarnseek.functions import dates, globs, jsonvals
+from tarnseek.schema import Field
+from tarnseek.sources.decode import typed
 from tarnseek.functions.analyzers import (
     CASE_PRESERVING,
     STANDARD,
@@ -150,6 +152,15 @@ def test_bad_date_literal(value):
         dates.date_literal(value, MICROS)
 
 
+def test_typed_fields(spark):
+    cases = [("7", 7, 7), ("-7", -7, -7), ("3000000000", None, 3000000000), ("7.0", None, None), ("1e2", None, None),
+             ("x", None, None), ("", None, None), (None, None, None)]
+    df = spark.createDataFrame([(c[0],) for c in cases], "t string")
+    small, big = Field("a", "int"), Field("a", "long")
+    got = df.select("t", typed(F.col("t"), small).alias("i"), typed(F.col("t"), big).alias("l")).collect()
+    assert [tuple(r) for r in got] == cases
+
+
 def test_json_kinds(spark):
     cases = {
         '{"a":1}': "int",
