@@ -51,7 +51,7 @@ def _runs(slots: Column, positions: bool, terms: Sequence[str] | None) -> Column
 
         return F.when(n > 0, let(starts, rows))
 
-    return let(F.array_sort(placed), cut)
+    return let(F.sort_array(placed), cut)
 
 
 def build_postings(
