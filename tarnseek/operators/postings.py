@@ -180,6 +180,7 @@ class PostingsTable:
             .repartition("_bucket", salt)
             .sortWithinPartitions("_bucket", "term")
             .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
             .partitionBy("_bucket")
             .parquet(f"{self.path}/{part}" if part else self.path)
         )

@@ -13,7 +13,7 @@ from tarnseek.errors import TarnseekError
 from tarnseek.functions.jsonvals import decode_object, member, member_or_null_text, result_json
 from tarnseek.operators.clauses import Clause, matching
 from tarnseek.operators.indexed import IndexFigures, PostingsSource, measured, needs_token
-from tarnseek.operators.grouping import group_field, group_total, ordered_groups
+from tarnseek.operators.grouping import group_field, group_total, ordered_groups, split_order
 from tarnseek.operators.lookup import BROADCAST_ROWS, fetch_records
 from tarnseek.operators.ordering import (
     DEFAULT_PAGE_SIZE,
@@ -86,7 +86,11 @@ def search_view(
     they can drive the search.
     """
     check_page(page, size)
-    ranked = not order_by and ranks_by_score(view, where)
+    if group_by is None:
+        in_order = bool(order_by)
+    else:
+        in_order = bool(split_order(group_field(view, group_by).name, order_by)[0])
+    ranked = not in_order and ranks_by_score(view, where)
     rows, figures = view, None
     if where is not None and set(where.text_fields(view)) <= set(indexes or ()) and needs_token(where, view):
         rows = measured(view, where, indexes)
@@ -94,7 +98,6 @@ def search_view(
     hits = scored(rows, where, rounded_lengths, figures) if ranked else matching(rows, where)
     counted_hits = matching(rows, where)
     if group_by is not None:
-        group_field(view, group_by)
         return SearchResult(
             ordered_groups(hits, group_by, order_by), group_total(counted_hits, group_by), snapshot
         )

@@ -57,7 +57,12 @@ class Folder:
         return False
 
     def text(self, name: str) -> str:
-        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()["value"]
+        fs, path = self._at(name)
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def remove(self) -> None:
         fs, path = self._at()

@@ -34,8 +34,8 @@ class TableStore:
             return
         rows = decode_records(records, self.spec, on_bad_value)
         rows = rows.withColumn("_row", F.monotonically_increasing_id())
-        writer = rows.write.mode("overwrite").partitionBy("_status")
-        writer.parquet(f"{self._data}/_batch_id={batch}")
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.partitionBy("_status").parquet(f"{self._data}/_batch_id={batch}")
         self.snapshots.commit(batch)
 
     def start(

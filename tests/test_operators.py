@@ -266,6 +266,15 @@ def test_groups(view):
     assert [r["city"] for r in found.rows.collect()] == ["hz", "bj", None, "sh"]
 
 
+def test_groups_by_relevance(view):
+    where = MatchAny("note", "dog cat")
+    for order in ([], ["id desc"]):
+        rows = search_view(view, where, group_by="city", order_by=order).rows.collect()
+        assert [tuple(r) for r in rows] == [("bj", 1), ("sh", 1), (None, 1), ("hz", 1)]
+    rows = search_view(view, where, group_by="city", order_by=["city"]).rows.collect()
+    assert [r["city"] for r in rows] == [None, "bj", "hz", "sh"]
+
+
 def test_group_heads_and_members(view):
     heads = {r["city"]: r["id"] for r in group_heads(view, "city", ["id desc"]).collect()}
     assert heads == {"hz": 4, "bj": 2, "sh": 5, None: 3}

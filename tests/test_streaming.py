@@ -168,7 +168,11 @@ def test_replayed_batches_land_once(spark, tmp_path):
         f"{tmp_path}/t/data/_batch_id=1"
     )
     assert keys(store.rows()) == [1, 2]
-    store.append(spark.createDataFrame([record(3)], first.schema), 1)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        store.append(spark.createDataFrame([record(3)], first.schema), 1)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
     assert keys(store.rows()) == [1, 2, 3]
     assert keys(store.rows(up_to=0)) == [1, 2]
 
