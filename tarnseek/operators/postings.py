@@ -163,7 +163,7 @@ def score_postings(
 
 @dataclass(frozen=True)
 class PostingsTable:
-    """Postings on disk, in one directory per term bucket."""
+    """Postings on disk, in one directory per term bucket, sorted by term inside files."""
 
     path: str
     buckets: int = 256
@@ -173,11 +173,18 @@ class PostingsTable:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def write(self, postings: DataFrame, keys: Sequence[str], part: str = "") -> None:
-        """Write one part, replacing what it held; a hot term is spread over ``salts`` tasks."""
-        salt = F.pmod(F.xxhash64(*keys), F.lit(self.salts))
+        """Write one part, replacing what it held.
+
+        The adaptive planner splits the task of a bucket that gets too much,
+        such as that of a hot term, and merges small ones. Where it is turned
+        off, each bucket is spread over ``salts`` tasks instead.
+        """
+        adaptive = postings.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+        salt = F.lit(0) if adaptive else F.pmod(F.xxhash64(*keys), F.lit(self.salts))
         (
-            postings.withColumn("_bucket", self._bucket(F.col("term")))
-            .repartition("_bucket", salt)
+            postings.withColumns({"_bucket": self._bucket(F.col("term")), "_salt": salt})
+            .hint("rebalance", "_bucket", "_salt")
+            .drop("_salt")
             .sortWithinPartitions("_bucket", "term")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")

@@ -308,6 +308,21 @@ def test_postings_match_brute_force(view):
     assert got == expected
 
 
+def test_hot_buckets_are_split(spark, tmp_path):
+    hot = spark.range(400_000).select("id", F.md5(F.col("id").cast("string")).alias("positions"), F.lit("hot").alias("term"))
+    files = {}
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        try:
+            PostingsTable(f"{tmp_path}/{adaptive}", buckets=8, salts=4).write(hot, ["id"])
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+            spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        files[adaptive] = len(list(tmp_path.glob(f"{adaptive}/_bucket=*/*.parquet")))
+    assert files["true"] > 1 and files["false"] > 1, files
+
+
 def test_postings_table_reads_only_its_buckets(spark, view, tmp_path):
     table = PostingsTable(f"{tmp_path}/postings", buckets=16, salts=2)
     table.write(build_postings(view, "note"), ["id"])
