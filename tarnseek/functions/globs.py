@@ -46,4 +46,7 @@ def glob_match(value: Column, glob: str) -> Column:
         return "".join("\\" + c if c in "\\%_" else c for c in text)
 
     wild = {"any": "%", "one": "_"}
-    return value.like("".join(wild.get(kind) or escaped(text) for kind, text in parts))
+    like = value.like("".join(wild.get(kind) or escaped(text) for kind, text in parts))
+    # A pattern of several wildcards isn't pushed to the scan; its prefix is.
+    has_prefix = parts[0][0] == "text" and len(parts) > 2
+    return value.startswith(parts[0][1]) & like if has_prefix else like

@@ -96,12 +96,12 @@ def search_view(
         rows = measured(view, where, indexes)
         figures = IndexFigures(view, where, indexes) if ranked else None
     hits = scored(rows, where, rounded_lengths, figures) if ranked else matching(rows, where)
-    counted_hits = matching(rows, where)
     if group_by is not None:
         return SearchResult(
-            ordered_groups(hits, group_by, order_by), group_total(counted_hits, group_by), snapshot
+            ordered_groups(hits, group_by, order_by), group_total(hits, group_by), snapshot
         )
-    counted = counted_hits.df.agg(F.count(F.lit(1)).alias("total"))
+    # Scores and projected columns are pruned from the count.
+    counted = hits.df.agg(F.count(F.lit(1)).alias("total"))
     keys = sort_keys(hits, order_by)
     if ranked:
         keys = [SortKey(F.col("_score"), True), *keys]
