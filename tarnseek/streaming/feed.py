@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tarnseek.errors import TarnseekError
 from tarnseek.schema import TableSpec
 from tarnseek.sources.decode import BAD, OK, decode_records
 from tarnseek.sources.storage import Folder
@@ -46,6 +47,9 @@ class TableStore:
         on_bad_value: str = "quarantine",
     ) -> StreamingQuery:
         """Run the stream; ``refresh=None`` takes what is there and ends."""
+        if self.snapshots.latest() >= 0 and not self.folder.exists("checkpoint"):
+            # A new checkpoint counts batches from 0, and those are committed already.
+            raise TarnseekError(f"table[{self.spec.name}] has rows but its checkpoint is gone, drop it first")
         writer = (
             records.writeStream.queryName(query_name)
             .option("checkpointLocation", f"{self.folder.path}/checkpoint")

@@ -41,21 +41,23 @@ class SnapshotLog:
         batch = self.latest()
         if self.lifetime <= 0:
             return batch, NO_TOKEN
-        if batch >= 0 and not self._tokens.put_new(str(batch)):
-            if self._age(batch) > self.lifetime + 1:
-                self._tokens.child(str(batch)).remove()
-                self._tokens.put_new(str(batch))
+        self._prune()
+        if batch >= 0:
+            self._tokens.put_new(str(batch))
         return batch, batch
 
     def acquire(self, token: int) -> int:
         """The batch a token stands for, or an error if it isn't valid any more."""
         if self.lifetime <= 0:
             raise TarnseekError(f"snapshots are off, so token[{token}] can't be used")
-        age = self._age(token)
-        if age is None or age > self.lifetime + 1:
+        self._prune()
+        if not self._tokens.exists(str(token)):
             raise TarnseekError(f"token[{token}] has expired, search again without it")
         return token
 
-    def _age(self, token: int) -> float | None:
-        times = dict(self._tokens.entries())
-        return time.time() - times[str(token)] if str(token) in times else None
+    def _prune(self) -> None:
+        """Forget tokens handed out too long ago."""
+        oldest = time.time() - (self.lifetime + 1)
+        for token, handed_out in self._tokens.entries():
+            if handed_out < oldest:
+                self._tokens.child(token).remove()

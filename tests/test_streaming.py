@@ -177,6 +177,15 @@ def test_replayed_batches_land_once(spark, tmp_path):
     assert keys(store.rows(up_to=0)) == [1, 2]
 
 
+def test_a_lost_checkpoint_is_noticed(spark, made):
+    catalog, source, _ = made
+    catalog.create_table("t", FIELDS, source, start=False)
+    drain(catalog)
+    catalog.store("t").folder.child("checkpoint").remove()
+    with pytest.raises(TarnseekError):
+        catalog.start("t")
+
+
 def test_append_keeps_rows_with_the_same_key(spark, made):
     catalog, source, folder = made
     arrive(spark, folder, [record(3), record(3)])
