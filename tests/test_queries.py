@@ -4,7 +4,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tarnseek.plans.registered import all_queries as queries
+from tarnseek.plans.registered import all_sql as oracle_sql
 from tests.compare import TESTDATA, connect, differences
 
 SF = os.environ.get("TEST_SF", "sf0.001")
