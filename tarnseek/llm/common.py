@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return work_folder(spark, f"llm-{purpose}")
 
 
+def shared_uri(spark: SparkSession, purpose: str) -> str:
+    """``shared_folder`` with its scheme, for files that tasks read and write themselves."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark, purpose))
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read again.
 

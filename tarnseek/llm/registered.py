@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnseek.llm import simhash
+from tarnseek.llm import pieces, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document and the text they decode to, as digests."""
+    model = _vocabulary("piece_bpe_32k.model")
+    tokens = pieces.encode(_table(spark, sf_dir, "documents"), model)
+    rows = pieces.decode(tokens, model)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return rows.select(
+        "doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256")
+    )
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of each document."""
     rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -23,8 +40,18 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids start in the token files, how many there are, and their checksum as read back."""
+    index = token_files.write_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    rows = token_files.document_starts(index, token_files.read_tokens(index))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return rows.select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 SQL: dict[str, str] = {}
