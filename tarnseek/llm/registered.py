@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnseek.llm import pieces, simhash, token_files
+from tarnseek.llm import decontamination, pieces, quality, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each document, whether it fails the base rules, and whether it is kept."""
+    return quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document and the text they decode to, as digests."""
     model = _vocabulary("piece_bpe_32k.model")
@@ -33,6 +38,15 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document within benchmark windows, and the items they come from."""
+    rows = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_items = F.size("item_ids").cast("long")
+    return rows.select(
+        "doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of each document."""
     rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -49,9 +63,33 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_decontamination": op4_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {}
+_ITEM_WORDS = r"""[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"""
+
+SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+win AS (
+  SELECT item_id, least(len(w), 10) AS n, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') AS t
+  FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS u(p) WHERE len(w) > 0),
+dw AS (
+  SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS t
+  FROM d, (SELECT DISTINCT n FROM win), unnest(range(1, greatest(len(w) - n + 2, 1))) AS u(p)),
+hit AS (SELECT * FROM dw WHERE (n, t) IN (SELECT n, t FROM win)),
+words AS (SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM hit, unnest(range(n)) AS u(k) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit JOIN win USING (n, t)) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+}
