@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnseek.llm import decontamination, pieces, quality, simhash, token_files
+from tarnseek.llm import decontamination, line_spread, pieces, quality, simhash, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's record as read back from the archives."""
+    rows = warc.read_records(warc.write_archives(_table(spark, sf_dir, "pages")))
+    digest = F.coalesce(F.sha2("payload", 256), F.col("payload_digest"))
+    return rows.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document and the text they decode to, as digests."""
     model = _vocabulary("piece_bpe_32k.model")
@@ -47,6 +54,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a word of each document, how many of them went as boilerplate, and a digest of what is left."""
+    rows = line_spread.without_boilerplate(_table(spark, sf_dir, "documents"))
+    left = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)
+    return rows.select("doc_id", F.col("_tsk_lines").alias("n_lines"), F.col("_tsk_removed").alias("n_removed"), left.alias("text_sha256"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of each document."""
     rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -64,8 +78,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontamination": op4_decontamination,
+    "op5_line_dedup": op5_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
 }
@@ -74,6 +90,26 @@ _ITEM_WORDS = r"""[x for x in regexp_split_to_array(translate(coalesce(text, '')
     'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"""
 
 SQL: dict[str, str] = {
+    "op2_warc": """
+SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM (
+  SELECT *, strlen(coalesce(html, '')) >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again
+  FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))
+""",
+    "op5_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+  FROM (SELECT doc_id, coalesce(source, '') AS source, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+w AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word FROM l),
+drops AS (SELECT line FROM w WHERE has_word GROUP BY line HAVING count(DISTINCT source) >= 10),
+m AS (
+  SELECT w.*, has_word AND line IN (SELECT line FROM drops) AND row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS gone
+  FROM w)
+SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+FROM m GROUP BY doc_id
+""",
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
