@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnseek.llm import decontamination, line_spread, pieces, quality, simhash, token_files, warc
+from tarnseek.llm import chat, decontamination, licences, line_spread, pieces, quality, simhash, token_files, warc
+from tarnseek.llm.licence_texts import EQUIVALENTS, NOTICES, TEXTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +62,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_tsk_lines").alias("n_lines"), F.col("_tsk_removed").alias("n_removed"), left.alias("text_sha256"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each document is a copy of, and those that its lines name."""
+    rows = licences.scan(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "licence", F.array_join("notices", ",").alias("notices"), "n_notices")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a canonical JSON message: users' turns as tool calls, the turns after them as their results."""
+    rows = chat.link(chat.turns_as_calls(_table(spark, sf_dir, "conversations")), chat.ANSWER_TOOL)
+    whole = [F.col(c).cast("long").alias(c) for c in ("level", "block", "step")]
+    return rows.select("conv_id", "turn", "kind", "call_id", "status", "valid", *whole, "json")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of each document."""
     rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -82,6 +96,8 @@ QUERIES: dict[str, Query] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op6_licence_scan": op6_licence_scan,
+    "op7_chat_format": op7_chat_format,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
 }
@@ -89,6 +105,20 @@ QUERIES: dict[str, Query] = {
 _ITEM_WORDS = r"""[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"""
 
+
+
+def _sql_canonical(text: str) -> str:
+    out = f"regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licences.COPYRIGHT_LINE}', '\\1', 'g')"
+    out = rf"trim(regexp_replace({out}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+    for other, usual in EQUIVALENTS:
+        out = f"replace({out}, '{other}', '{usual}')"
+    return out
+
+
+def _sql_values(known: dict[str, list[str]]) -> str:
+    return ", ".join("('{}', '{}')".format(name, t.replace("'", "''")) for name, texts in known.items() for t in texts)
+
+
 SQL: dict[str, str] = {
     "op2_warc": """
 SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
@@ -96,6 +126,37 @@ SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(htm
 FROM (
   SELECT *, strlen(coalesce(html, '')) >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again
   FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages))
+""",
+    "op6_licence_scan": rf"""
+WITH whole AS (SELECT c, min(name) AS name FROM (SELECT name, {_sql_canonical("t")} AS c FROM (VALUES {_sql_values(TEXTS)}) AS v(name, t)) GROUP BY c),
+part AS (SELECT c, min(name) AS name FROM (SELECT name, {_sql_canonical("t")} AS c FROM (VALUES {_sql_values(NOTICES)}) AS v(name, t)) GROUP BY c),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+found AS (SELECT doc_id, name FROM (SELECT doc_id, {_sql_canonical("line")} AS c FROM lines WHERE regexp_matches(line, '[A-Za-z]')) JOIN part USING (c)),
+named AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices, count(*) AS n_notices FROM found GROUP BY doc_id)
+SELECT doc_id, whole.name AS licence, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
+FROM (SELECT doc_id, {_sql_canonical("text")} AS c FROM d) LEFT JOIN whole USING (c) LEFT JOIN named USING (doc_id)
+""",
+    "op7_chat_format": """
+WITH e AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, to_json(text) AS text,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN 'c' || turn WHEN 'assistant' THEN 'c' || (turn - 1) END AS call_id
+  FROM conversations),
+chains AS (SELECT conv_id, call_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain FROM e WHERE kind = 'call'),
+levels AS (SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id, turn % 2, chain ORDER BY turn) - 1 AS level FROM chains),
+answered AS (SELECT conv_id, call_id FROM e WHERE kind = 'result')
+SELECT e.conv_id, e.turn, kind, e.call_id,
+  CASE kind WHEN 'call' THEN CASE WHEN a.call_id IS NULL THEN 'unanswered' ELSE 'linked' END
+    WHEN 'result' THEN CASE WHEN l.call_id IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'message' END AS status,
+  CASE WHEN kind = 'call' THEN true END AS valid, coalesce(level, 0) AS level,
+  CASE WHEN kind = 'result' AND l.call_id IS NOT NULL THEN e.turn - 1 ELSE e.turn END AS block,
+  CAST(CASE kind WHEN 'call' THEN 1 WHEN 'result' THEN 2 ELSE 0 END AS BIGINT) AS step,
+  CASE kind
+    WHEN 'call' THEN '{"arguments":{"prompt":' || text || ',"turn":' || e.turn || '},"call_id":"' || e.call_id || '","name":"answer","role":"user"}'
+    WHEN 'result' THEN '{"call_id":"' || e.call_id || '","content":' || text || ',"role":"assistant"}'
+    ELSE '{"content":' || text || ',"role":' || to_json(role) || '}' END AS json
+FROM e LEFT JOIN levels l USING (conv_id, call_id) LEFT JOIN answered a USING (conv_id, call_id)
 """,
     "op5_line_dedup": r"""
 WITH l AS (
