@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnseek.llm import chat, decontamination, licences, line_spread, pieces, quality, simhash, token_files, warc
+from tarnseek.llm import chat, decontamination, licences, line_spread, pieces, quality, simhash, token_files, toxicity, warc
 from tarnseek.llm.licence_texts import EQUIVALENTS, NOTICES, TEXTS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "kind", "call_id", "status", "valid", *whole, "json")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each document, learned from the labelled ones that aren't held out."""
+    return toxicity.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of each document."""
     rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_licence_scan": op6_licence_scan,
     "op7_chat_format": op7_chat_format,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
 }
