@@ -90,7 +90,7 @@ class Analyzer:
     def analyze_literal(self, spark: SparkSession, text: str) -> list[tuple[int, str]]:
         """(position, token) of a query literal, by the same expression as table text."""
         if (self, text) not in _literals:
-            row = spark.range(1).select(self.slots(F.lit(text)).alias("slots")).first()
+            row = spark.sql("SELECT 1").select(self.slots(F.lit(text)).alias("slots")).first()
             if len(_literals) >= _KEPT_LITERALS:
                 _literals.clear()
             _literals[self, text] = [(i, w) for i, w in enumerate(row["slots"]) if w is not None]

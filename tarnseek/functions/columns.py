@@ -6,11 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A task worth starting for CPU-heavy text work reads at least this much.
-MIN_TASK_BYTES = 256 * 1024
-# Default size of a file split; bigger inputs are already spread by the scan.
-SPLIT_BYTES = 128 * 1024 * 1024
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
@@ -30,17 +25,3 @@ def pin(df: DataFrame, value: Column, name: str) -> DataFrame:
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before CPU-heavy work.
-
-    A table of a few row groups is read by a few tasks whatever the cluster
-    size. Past one full split per core the scan is parallel by itself and the
-    input is left alone, so no large table is shuffled here.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = min(cores, size // MIN_TASK_BYTES)
-    if parts < 2 or size >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(parts)

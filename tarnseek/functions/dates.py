@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, functions as F
+from pyspark.errors import SparkUpgradeException
+from pyspark.sql import Column, SparkSession, functions as F
 
 from tarnseek.errors import TarnseekError
 
@@ -57,19 +58,11 @@ def format_date(ts: Column, pattern: str) -> Column:
 
 
 # --- literals in predicates ---------------------------------------------------
-_PATTERN_LETTERS = {
-    "y": ("year", r"\d{4}"),
-    "u": ("year", r"\d{4}"),
-    "M": ("month", r"\d{2}"),
-    "d": ("day", r"\d{2}"),
-    "H": ("hour", r"\d{2}"),
-    "m": ("minute", r"\d{2}"),
-    "s": ("second", r"\d{2}"),
-}
-
-
 def date_literal(value: object, pattern: str | None) -> datetime:
-    """A predicate's date: text in the field's pattern, encoded nanos, or a datetime."""
+    """A predicate's date: text in the field's pattern, encoded nanos, or a datetime.
+
+    Text is read by the same expression as the column, so it fits whatever ingest accepts.
+    """
     if isinstance(value, datetime):
         return value
     if isinstance(value, date):
@@ -83,27 +76,12 @@ def date_literal(value: object, pattern: str | None) -> datetime:
             return datetime.fromisoformat(value)
         except ValueError:
             raise TarnseekError(f"[{value}] is not an ISO date") from None
-    regex = ""
-    for piece in re.finditer(r"'([^']*)'|(([A-Za-z])\3*)|([^A-Za-z'])", pattern):
-        quoted, letters, other = piece.group(1), piece.group(2), piece.group(4)
-        if quoted is not None:
-            regex += re.escape(quoted)
-        elif other is not None:
-            regex += re.escape(other)
-        elif letters[0] == "S":
-            regex += rf"(?P<fraction>\d{{{len(letters)}}})"
-        elif letters[0] in _PATTERN_LETTERS:
-            part, digits = _PATTERN_LETTERS[letters[0]]
-            regex += f"(?P<{part}>{digits})"
-        else:
-            raise TarnseekError(f"date pattern letter [{letters[0]}] is not supported")
-    found = re.fullmatch(regex, value)
-    if not found:
-        raise TarnseekError(f"[{value}] does not fit the date pattern [{pattern}]")
-    parts = found.groupdict()
-    fraction = (parts.pop("fraction", None) or "0").ljust(6, "0")[:6]
+    # One row that the optimizer works out itself: no job runs.
+    one = SparkSession.active().sql("SELECT 1")
     try:
-        return datetime(**{"month": 1, "day": 1, **{k: int(v) for k, v in parts.items()}},
-                        microsecond=int(fraction))
-    except (TypeError, ValueError) as e:
-        raise TarnseekError(f"[{value}] is not a date: {e}") from None
+        found = one.select(parse_date(F.lit(value), pattern)).first()[0]
+    except SparkUpgradeException:
+        found = None
+    if found is None:
+        raise TarnseekError(f"[{value}] does not fit the date pattern [{pattern}]")
+    return found

@@ -6,25 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# A side known to have at most this many rows is sent to every task.
-BROADCAST_ROWS = 10_000
 
-
-def fetch_records(
-    hits: DataFrame, records: DataFrame, on: Sequence[str], at_most: int | None = None
-) -> DataFrame:
+def fetch_records(hits: DataFrame, records: DataFrame, on: Sequence[str]) -> DataFrame:
     """Hits joined to their records; a hit whose record is gone is left out.
 
-    ``at_most`` is a proven bound on the hits (a page size). A small page is
-    broadcast, so the record table isn't shuffled; without a bound the join
-    strategy is left to the optimizer.
+    How they are joined is left to the planner, which knows how many bytes the
+    hits have; a page of wide rows may be many.
     """
-    small = at_most is not None and at_most <= BROADCAST_ROWS
-    return records.join(F.broadcast(hits) if small else hits, list(on), "inner")
+    return records.join(hits, list(on), "inner")
 
 
 def latest_records(records: DataFrame, on: Sequence[str], version: str) -> DataFrame:
-    """The newest version of each record of a log that keeps old ones."""
-    rest = [c for c in records.columns if c not in on]
-    newest = F.max_by(F.struct(*rest), F.col(version)).alias("_newest")
-    return records.groupBy(*on).agg(newest).select(*on, "_newest.*")
+    """The newest version of each record of a log that keeps old ones.
+
+    The newest version number per key is a hash aggregate over the keys alone; values
+    are read by the join. Rows that share key and newest version are all kept.
+    """
+    newest = records.groupBy(*on).agg(F.max(version).alias(version))
+    return records.join(newest, [*on, version], "left_semi")

@@ -7,6 +7,7 @@ columns.
 
 from __future__ import annotations
 
+import os.path
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -18,10 +19,9 @@ from tarnseek.operators.view import TableView
 from tarnseek.schema import Kind
 
 DEFAULT_PAGE_SIZE = 15
-# Up to here a page is one top-k; beyond, sorted ranges are skipped by counting.
-SHALLOW_ROWS = 50_000
+# A counted range is split until it has at most this many rows.
+RANGE_ROWS = 50_000
 _SPLITS = 31
-_SAMPLE_ROWS = 2_000
 
 
 def plain_literal(value: object) -> Column:
@@ -33,27 +33,51 @@ def plain_literal(value: object) -> Column:
 
 @dataclass(frozen=True)
 class SortKey:
-    """One resolved key: a column whose NULLs come first ascending, last descending."""
+    """One resolved key: a column whose NULLs come first ascending, last descending.
 
-    column: Column
+    With ``missing`` NULLs sort as that value instead. Tests compare the bare column, so that
+    they reach the scan.
+    """
+
+    bare: Column
     descending: bool = False
+    missing: object = None
+
+    @property
+    def column(self) -> Column:
+        """What rows are sorted by."""
+        if self.missing is None:
+            return self.bare
+        return F.coalesce(self.bare, plain_literal(self.missing))
 
     def order(self) -> Column:
         return self.column.desc_nulls_last() if self.descending else self.column.asc_nulls_first()
 
+    def _side(self, value: object, later: bool) -> Column:
+        """Rows strictly on one side of a value; NULL counts as false."""
+        up = later != self.descending
+        nulls_first = not self.descending
+        if value is None:
+            return F.lit(False) if later != nulls_first else self.bare.isNotNull()
+        beyond = self.bare > plain_literal(value) if up else self.bare < plain_literal(value)
+        if self.missing is not None:
+            nulls = self.missing > value if up else self.missing < value
+        else:
+            nulls = later != nulls_first
+        return beyond | self.bare.isNull() if nulls else beyond
+
     def after(self, value: object) -> Column:
         """Does a row come strictly after this value?"""
-        if value is None:
-            return F.lit(False) if self.descending else self.column.isNotNull()
-        if self.descending:
-            return F.coalesce(self.column < plain_literal(value), F.lit(True))
-        return F.coalesce(self.column > plain_literal(value), F.lit(False))
+        return self._side(value, True)
 
     def before(self, value: object) -> Column:
-        return ~(self.after(value) | self.same(value))
+        return self._side(value, False)
 
     def same(self, value: object) -> Column:
-        return self.column.eqNullSafe(plain_literal(value))
+        if value is None:
+            return self.bare.isNull()
+        equal = self.bare == plain_literal(value)
+        return equal | self.bare.isNull() if self.missing is not None and self.missing == value else equal
 
 
 def parse_order(term: str | tuple[str, str] | tuple[str, bool]) -> tuple[str, bool]:
@@ -73,12 +97,8 @@ def sort_keys(view: TableView, order_by: Sequence = (), tie: bool = True) -> lis
         field = view.spec.field(name)
         if not field.kind.is_sortable:
             raise TarnseekError(f"column[{name}] is not supported in an order")
-        column = F.col(name)
-        if field.kind.is_number:
-            column = F.coalesce(column, F.lit(0).cast(field.spark_type))
-        elif field.kind is Kind.DATE:
-            column = F.coalesce(column, F.lit("1970-01-01").cast("timestamp_ntz"))
-        keys.append(SortKey(column, descending))
+        missing = 0 if field.kind.is_number else datetime(1970, 1, 1) if field.kind is Kind.DATE else None
+        keys.append(SortKey(F.col(name), descending, missing))
     if tie:
         keys += [SortKey(F.col(c)) for c in view.tie]
     return keys
@@ -103,25 +123,28 @@ def check_page(page: int, size: int) -> None:
 
 
 def page_rows(
-    df: DataFrame, keys: Sequence[SortKey], page: int = 1, size: int = DEFAULT_PAGE_SIZE
+    df: DataFrame,
+    keys: Sequence[SortKey],
+    page: int = 1,
+    size: int = DEFAULT_PAGE_SIZE,
+    counted_ranges: bool = False,
 ) -> DataFrame:
     """Page ``page`` (from 1) of ``size`` rows; past the end it is empty.
 
-    A shallow page is one top-k. For a deep one the rows before it are counted
-    in sorted ranges, so no task sorts or carries more than the page itself
-    and a bounded remainder.
+    A page is one top-k of all rows up to its end. The caller may ask for ``counted_ranges``
+    for pages far in or long: rows are then counted in sorted ranges of exact sizes when the
+    page is asked for, and only those between the ranges of its first and last row are sorted.
     """
     check_page(page, size)
     skip = (page - 1) * size
-    if skip + size <= SHALLOW_ROWS:
+    if not counted_ranges:
         return ordered(df, keys).offset(skip).limit(size)
     start = range_holding(df, keys, skip)
     if start is None:
         return df.limit(0)
-    rest = start.onwards(df, keys)
-    if size <= SHALLOW_ROWS:
-        return ordered(rest, keys).offset(skip - start.before).limit(size)
-    return _long_page(rest, df, keys, skip, size, start)
+    end = range_holding(df, keys, min(skip + size, start.total) - 1)
+    between = end.upto(start.onwards(df, keys), keys)
+    return ordered(between, keys).offset(skip - start.before).limit(size)
 
 
 @dataclass(frozen=True)
@@ -158,23 +181,31 @@ class SortedRange:
         later = after_row(keys[: len(start)], start)
         return df.where(later if self.low else later | _same_row(keys, self.prefix))
 
+    def upto(self, df: DataFrame, keys: Sequence[SortKey]) -> DataFrame:
+        """The rows of the range and all earlier ones."""
+        end = (*self.prefix, *self.high)
+        if not end:
+            return df
+        earlier = before_row(keys[: len(end)], end)
+        return df.where(earlier if self.high else earlier | _same_row(keys, self.prefix))
+
 
 def range_holding(df: DataFrame, keys: Sequence[SortKey], rank: int) -> SortedRange | None:
     """A sorted range of few rows that holds the row of this rank (from 0).
 
-    Each round takes split values of one key from a sample, counts the rows
-    before, at and between them exactly in one pass, and keeps the part with
+    Each round sketches one key over all rows of the part, counts the rows before, at and
+    between the sketch's values exactly in one pass, and keeps the part with
     the rank. A value that many rows share becomes fixed and the next key is
-    split. The sample decides only where parts end; counts and rows are whole.
+    split. The sketch decides only where parts end; counts and rows are whole.
     Only split values and one count per part come to the driver.
     """
     total = df.count()
     if rank >= total:
         return None
     found = SortedRange((), (), (), 0, total, total)
-    while found.rows > SHALLOW_ROWS and len(found.prefix) < len(keys):
+    while found.rows > RANGE_ROWS and len(found.prefix) < len(keys):
         part, key = found.select(df, keys), keys[len(found.prefix)]
-        splits = _split_values(part, key, found.rows)
+        splits = _split_values(part, key)
         # Slots: 0 before the first split, 1 at it, 2 between the first two, and so on.
         slot = sum(
             F.when(key.after(s), 2).when(key.same(s), 1).otherwise(0) for s in splits
@@ -194,35 +225,39 @@ def range_holding(df: DataFrame, keys: Sequence[SortKey], rank: int) -> SortedRa
     return found
 
 
-def _split_values(part: DataFrame, key: SortKey, rows: int) -> list:
-    """A few values of one key, in its order, that cut the rows about evenly."""
-    share = min(1.0, _SAMPLE_ROWS / rows)
-    sample = part.select(key.column.alias("k")).sample(fraction=share, seed=rows)
-    picked = ordered(sample.limit(2 * _SAMPLE_ROWS), [SortKey(F.col("k"), key.descending)]).collect()
-    if not picked:
-        picked = part.select(key.column.alias("k")).take(1)
-    step = max(1, len(picked) // (_SPLITS + 1))
-    return list(dict.fromkeys(r["k"] for r in picked[step // 2 :: step]))
-
-
-def _key_at(df: DataFrame, keys: Sequence[SortKey], rank: int, held: SortedRange) -> tuple:
-    values = [k.column.alias(f"k{i}") for i, k in enumerate(keys)]
-    rows = ordered(held.select(df, keys), keys).select(*values)
-    return tuple(rows.offset(rank - held.before).limit(1).first())
-
+def _split_values(part: DataFrame, key: SortKey) -> list:
+    """A few values of one key, in its order, that cut the rows about evenly.
 
-def _long_page(rest, df, keys, skip: int, size: int, start: SortedRange) -> DataFrame:
-    """A page too long for one task: the rows between its two end keys, range-sorted."""
-    end = range_holding(df, keys, skip + size)
-    first = _key_at(df, keys, skip, start)
-    inside = ~_before_row(keys, first)
-    if end is not None:
-        inside &= _before_row(keys, _key_at(df, keys, skip + size, end))
-    between = rest.where(inside)
-    if between.count() != min(size, start.total - skip):
-        # Rows with equal keys straddle an end: only a sort can cut through them.
-        return ordered(rest, keys).offset(skip - start.before).limit(size)
-    return ordered(between, keys)
+    Numbers and dates have a quantile sketch. Strings are sketched by the four characters after
+    what all of them begin with; a split is the least string at or after each quantile.
+    """
+    kind = part.select(key.column.alias("k")).schema["k"].dataType.typeName()
+    shares = [(i + 0.5) / _SPLITS for i in range(_SPLITS)]
+    if kind in ("byte", "short", "integer", "long", "float", "double", "timestamp_ntz", "timestamp", "date"):
+        row = part.agg(F.percentile_approx(key.column, shares, 1000).alias("q"), F.count_if(key.column.isNull()).alias("nulls")).first()
+        found = list(row["q"] or [])
+    else:
+        low, high = part.agg(F.min(key.column), F.max(key.column)).first()
+        same = len(os.path.commonprefix([low or "", high or ""]))
+        codes = [F.coalesce(F.ascii(F.substring(key.column, same + i, 1)), F.lit(0)).cast("long") for i in range(1, 5)]
+        place = codes[0]
+        for c in codes[1:]:
+            place = F.shiftleft(place, 15).bitwiseOR(F.least(c, F.lit(0x7FFF)))
+        ranked = part.select(key.column.alias("k"), F.when(key.column.isNotNull(), place).alias("p"))
+        row = ranked.agg(F.percentile_approx("p", shares, 1000).alias("q"), F.count_if(F.col("k").isNull()).alias("nulls")).first()
+        ends = list(dict.fromkeys(row["q"] or []))
+        least = ranked.agg(*[F.min(F.when(F.col("p") >= q, F.col("k"))).alias(f"k{i}") for i, q in enumerate(ends)]).first() if ends else []
+        found = [v for v in least if v is not None]
+    if row["nulls"]:
+        found.append(None)
+    return _in_order(list(dict.fromkeys(found)), key.descending)
+
+
+def _in_order(values: list, descending: bool) -> list:
+    """Distinct values in the order of a key: NULL first ascending, last descending."""
+    held = sorted((v for v in values if v is not None), reverse=descending)
+    none = [None] * (len(held) < len(values))
+    return [*held, *none] if descending else [*none, *held]
 
 
 def _same_row(keys: Sequence[SortKey], values: Sequence) -> Column:
@@ -232,8 +267,12 @@ def _same_row(keys: Sequence[SortKey], values: Sequence) -> Column:
     return same
 
 
-def _before_row(keys: Sequence[SortKey], values: Sequence) -> Column:
-    return ~(after_row(keys, values) | _same_row(keys, values))
+def before_row(keys: Sequence[SortKey], values: Sequence) -> Column:
+    """Rows strictly before the row with these key values, key by key."""
+    condition = F.lit(False)
+    for key, value in reversed(list(zip(keys, values, strict=True))):
+        condition = key.before(value) | (key.same(value) & condition)
+    return condition
 
 
 def page_after(df: DataFrame, keys: Sequence[SortKey], last: Sequence, size: int) -> DataFrame:

@@ -21,8 +21,6 @@ from tarnseek.functions.globs import glob_match
 from tarnseek.operators.relevance import bm25, idf, slot_count
 from tarnseek.operators.view import TableView
 
-MAX_TERMS = 62
-
 
 def _runs(slots: Column, positions: bool, terms: Sequence[str] | None) -> Column:
     """Token slots → array of (term, tf[, positions]), in time n·log n for n tokens."""
@@ -75,21 +73,13 @@ def term_stats(postings: DataFrame) -> DataFrame:
     )
 
 
-def _term_mask(terms: Sequence[str]) -> Column:
-    """A bit per term, so that "has all terms" is one bit_or per row key."""
-    if not 0 < len(terms) <= MAX_TERMS or len(set(terms)) != len(terms):
-        raise TarnseekError(f"give 1 to {MAX_TERMS} different terms")
-    mask = F.lit(0).cast("long")
-    for i, term in enumerate(terms):
-        mask = F.when(F.col("term") == term, F.lit(1 << i).cast("long")).otherwise(mask)
-    return mask
-
-
 def rows_with_all(postings: DataFrame, keys: Sequence[str], terms: Sequence[str]) -> DataFrame:
-    """Row keys whose postings cover every term."""
-    seen = F.bit_or(_term_mask(terms)).alias("_seen")
-    found = postings.where(F.col("term").isin(list(terms))).groupBy(*keys).agg(seen)
-    return found.where(F.col("_seen") == (1 << len(terms)) - 1).select(*keys)
+    """Row keys whose postings cover every term. A row has one posting per term, so they are counted."""
+    wanted = sorted(set(terms))
+    if not wanted:
+        raise TarnseekError("give at least one term")
+    found = postings.where(F.col("term").isin(wanted)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_seen"))
+    return found.where(F.col("_seen") == len(wanted)).select(*keys)
 
 
 def rows_with_any(postings: DataFrame, keys: Sequence[str], terms: Sequence[str]) -> DataFrame:
@@ -110,23 +100,20 @@ def phrase_counts(
     all parts is a phrase. This is one grouping by (row, start), linear in the
     occurrences, with no self-join.
     """
-    if not 0 < len(placed) <= MAX_TERMS:
-        raise TarnseekError(f"a phrase has 1 to {MAX_TERMS} tokens")
-    parts = F.array(
-        *[
-            F.struct(F.lit(t).alias("t"), F.lit(p).alias("off"), F.lit(1 << i).cast("long").alias("bit"))
-            for i, (p, t) in enumerate(placed)
-        ]
-    )
+    placed = sorted(set(placed))
+    if not placed:
+        raise TarnseekError("a phrase has at least one token")
+    parts = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("off")) for p, t in placed])
     own = F.filter(parts, lambda x: x["t"] == F.col("term")).alias("parts")
     starts = (
         postings.where(F.col("term").isin(sorted({t for _, t in placed})))
         .select(*keys, F.explode("positions").alias("at"), own)
         .select(*keys, "at", F.inline("parts"))
         .groupBy(*keys, (F.col("at") - F.col("off")).alias("start"))
-        .agg(F.bit_or("bit").alias("_seen"))
+        .agg(F.count(F.lit(1)).alias("_seen"))
     )
-    whole = starts.where(F.col("_seen") == (1 << len(placed)) - 1)
+    # One token stands at a place, so each part names a start at most once.
+    whole = starts.where(F.col("_seen") == len(placed))
     return whole.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 

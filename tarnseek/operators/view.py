@@ -51,8 +51,6 @@ class TableView:
         """The view with token columns for these TEXT fields, each worked out once per row."""
         df = self.df
         missing = [f for f in map(self.text_field, dict.fromkeys(names)) if f.token_column not in df.columns]
-        if missing:
-            df = columns.spread(df)
         for field in missing:
             df = columns.pin(df, self.spec.analyzer.slots(F.col(field.name)), field.token_column)
         return replace(self, df=df)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,13 +14,14 @@ from tarnseek.operators.clauses import Clause
 from tarnseek.operators.view import TableView
 from tarnseek.plans.search import SearchResult, search_view
 from tarnseek.schema import ROW_ID, Field, Kind, RecordSource, TableSpec
-from tarnseek.sources.records import FILES_PER_BATCH, stream_records
+from tarnseek.sources.records import FILES_PER_BATCH, source_files, stream_records
 from tarnseek.sources.storage import Folder
 from tarnseek.streaming.feed import REFRESH, TableStore
 from tarnseek.streaming.snapshots import NO_TOKEN
 from tarnseek.streaming.text_index import TextIndex
 
 SPEC_FILE = "spec.json"
+WAIT_SECONDS = 60.0
 
 
 class Catalog:
@@ -120,13 +122,32 @@ class Catalog:
         records = stream_records(self.spark, store.spec.source, files_per_batch)
         return store.start(records, self._query_name(name), refresh, on_bad_value)
 
-    def stop(self, name: str) -> None:
-        """Write what has arrived, then stop."""
+    def stop(self, name: str, wait_seconds: float = WAIT_SECONDS) -> None:
+        """Write what has arrived by now, then stop; what arrives meanwhile is left for the next start."""
         query = self.running_query(name)
         if query is None:
             raise TarnseekError(f"table[{name}] is not running")
-        query.processAllAvailable()
-        query.stop()
+        try:
+            self.wait_for_arrived(name, wait_seconds)
+        finally:
+            query.stop()
+
+    def wait_for_arrived(self, name: str, seconds: float = WAIT_SECONDS) -> int:
+        """Wait until the source files that are there now are committed; returns the last committed batch.
+
+        Files that come later aren't waited for, so it also ends while a source keeps growing. Raises
+        after ``seconds``, or if the stream has failed.
+        """
+        store, query = self.store(name), self.running_query(name)
+        arrived = source_files(self.spark, store.spec.source)
+        until = time.monotonic() + seconds
+        while not arrived <= store.committed_files():
+            if query is None or query.exception() is not None or not query.isActive:
+                raise TarnseekError(f"table[{name}] has stopped: {query and query.exception()}")
+            if time.monotonic() > until:
+                raise TarnseekError(f"table[{name}]: rows that had arrived weren't written within {seconds} s")
+            time.sleep(0.1)
+        return store.snapshots.latest()
 
     def index_text(self, name: str, field: str, buckets: int = 256) -> int:
         """Store postings of a TEXT field, or bring them up to date; returns the last batch covered.
@@ -160,14 +181,15 @@ class Catalog:
         where: Clause | None = None,
         select: Sequence[str] | None = None,
         token: int = NO_TOKEN,
-        wait: bool = True,
+        wait: bool = False,
+        wait_seconds: float = WAIT_SECONDS,
         **options,
     ) -> SearchResult:
         """Search a table (see ``search_view`` for the options).
 
         A running table gives a snapshot token with the result; passing it back
         pages through the same rows. ``wait`` makes rows that have arrived at
-        the source visible first.
+        the source by now visible first, within ``wait_seconds``.
         """
         store = self.store(name)
         query = self.running_query(name)
@@ -178,7 +200,7 @@ class Catalog:
                 up_to = snapshot = store.snapshots.acquire(token)
             else:
                 if wait:
-                    query.processAllAvailable()
+                    self.wait_for_arrived(name, wait_seconds)
                 up_to, snapshot = store.snapshots.record()
         up_to = store.snapshots.latest() if up_to is None else up_to
         view = TableView(store.rows(up_to), store.spec, ROW_ID)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnseek.functions.columns import spread
 from tarnseek.functions.jsonvals import result_json
 from tarnseek.operators.clauses import Compare, matching
 from tarnseek.operators.lookup import fetch_records, latest_records
@@ -33,7 +32,7 @@ def ingest_list(spark, sf_dir):
 )
 def ingest_list_range(spark, sf_dir):
     """The second batch of 500 elements of a list."""
-    log = to_records(spread(table(spark, sf_dir, "events")), F.lit("log"), F.col("event_id"), "user_id")
+    log = to_records(table(spark, sf_dir, "events"), F.lit("log"), F.col("event_id"), "user_id")
     rows = usable(decode_records(list_range(log, "log", 500, 500), EVENT_SPEC))
     return rows.select("_name", "_key", "user_id")
 
@@ -112,7 +111,7 @@ def ingest_bad_value_as_missing(spark, sf_dir):
 def ingest_typed(spark, sf_dir):
     """Numbers given as JSON numbers or as quoted digits; one declared field never given."""
     quoted = F.col("user_id").cast("string").alias("big")
-    made = spread(table(spark, sf_dir, "events")).select(
+    made = table(spark, sf_dir, "events").select(
         "event_id", F.col("user_id").alias("small"), quoted, "value", "event_type"
     )
     spec = TableSpec(
@@ -134,7 +133,7 @@ def ingest_typed(spark, sf_dir):
     "SELECT CAST(event_id AS VARCHAR) AS _key, ts AS seen, date_trunc('day', ts) AS day FROM events",
 )
 def ingest_date_pattern(spark, sf_dir):
-    made = spread(table(spark, sf_dir, "events")).select(
+    made = table(spark, sf_dir, "events").select(
         "event_id",
         F.col("ts").alias("seen"),
         F.concat(F.date_format("ts", "dd/MM/yyyy"), F.lit(" 00:00")).alias("day"),
@@ -164,7 +163,7 @@ def lookup_fetch(spark, sf_dir):
         F.col("value").alias("score"),
     )
     records = event_records(spark, sf_dir, "user_id").where(F.col("_name") != "list_error")
-    found = fetch_records(page, records, ["_name", "_key"], at_most=200)
+    found = fetch_records(page, records, ["_name", "_key"])
     return found.select("_name", "_key", "score", F.get_json_object("value", "$.user_id").cast("long").alias("user_id"))
 
 

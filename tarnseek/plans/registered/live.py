@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnseek.functions.columns import spread
 from tarnseek.operators.clauses import Compare, Equals, MatchAny
 from tarnseek.plans.catalog import Catalog
 from tarnseek.plans.registered.registry import query
@@ -22,8 +21,6 @@ from tarnseek.sources.storage import work_folder
 # Events arrive in three lots, by day of the month.
 _LOTS = (0, 10, 20, 31)
 _TOKEN_LIFETIME = 3600
-# Equal scores rank by arrival, which SQL doesn't know; a long page isn't cut through them.
-_LONG_PAGE = 20_000
 
 
 class _Feed:
@@ -110,9 +107,9 @@ def snapshot_page(spark, sf_dir):
     catalog = feed.create()
     try:
         where, asked = Compare("value", ">", 10), {"select": ["event_id", "value"], "order_by": ["value desc", "event_id"]}
-        first = catalog.search("events", where, **asked)
+        first = catalog.search("events", where, wait=True, **asked)
         feed.arrive(2)
-        catalog.search("events", where, **asked)
+        catalog.search("events", where, wait=True, **asked)
         again = catalog.search("events", where, token=first.snapshot, page=2, **asked)
         return page_with_total(again)
     finally:
@@ -143,7 +140,7 @@ def stream_dynamic_page(spark, sf_dir):
 
 def _document_table(spark: SparkSession, sf_dir: str, purpose: str) -> Catalog:
     folder = work_folder(spark, purpose)
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     records = to_records(docs, F.lit("docs"), F.col("doc_id"), "doc_id", "text", "lang", "source", "n_chars")
     records.write.parquet(f"{folder}/source")
     catalog = Catalog(spark, f"{folder}/tables")
@@ -159,13 +156,13 @@ def _document_table(spark: SparkSession, sf_dir: str, purpose: str) -> Catalog:
     WITH {BM25_CTE}
     SELECT doc_id, lang, (SELECT count(DISTINCT doc_id) FROM part WHERE t IN ('from', 'ha')) AS total
     FROM part JOIN documents USING (doc_id)
-    WHERE t IN ('from', 'ha') GROUP BY doc_id, lang ORDER BY sum(s) DESC, doc_id LIMIT {_LONG_PAGE}
+    WHERE t IN ('from', 'ha') GROUP BY doc_id, lang
     """,
 )
 def stream_text_search(spark, sf_dir):
-    """Relevance page of a streamed table, whose token arrays were stored at ingest."""
+    """All hits of a streamed table by relevance, from token arrays stored at ingest."""
     catalog = _document_table(spark, sf_dir, "stream_text_search")
-    return page_with_total(catalog.search("documents", MatchAny("text", "from ha"), ["doc_id", "lang"], size=_LONG_PAGE))
+    return page_with_total(catalog.search("documents", MatchAny("text", "from ha"), ["doc_id", "lang"], size=None))
 
 
 @query(
@@ -176,12 +173,12 @@ def stream_text_search(spark, sf_dir):
         SELECT doc_id, lang, sum(s) AS s FROM part JOIN documents USING (doc_id)
         WHERE t IN ('from', 'ha') AND n_chars > 300 GROUP BY doc_id, lang
     )
-    SELECT doc_id, lang, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY s DESC, doc_id LIMIT {_LONG_PAGE}
+    SELECT doc_id, lang, (SELECT count(*) FROM hit) AS total FROM hit
     """,
 )
 def stream_indexed_search(spark, sf_dir):
-    """The same kind of page read from stored postings of the searched terms."""
+    """The same kind of search read from stored postings of the searched terms."""
     catalog = _document_table(spark, sf_dir, "stream_indexed_search")
     catalog.index_text("documents", "text", buckets=64)
     where = MatchAny("text", "from ha") & Compare("n_chars", ">", 300)
-    return page_with_total(catalog.search("documents", where, ["doc_id", "lang"], size=_LONG_PAGE))
+    return page_with_total(catalog.search("documents", where, ["doc_id", "lang"], size=None))

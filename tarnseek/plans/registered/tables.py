@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tarnseek.functions.columns import spread
 from tarnseek.operators.view import TableView
 from tarnseek.schema import Field, Kind, TableSpec
 from tarnseek.sources.records import to_records
@@ -129,7 +128,7 @@ def event_records(
     columns = columns or ("event_id", "ts", "user_id", "event_type", "value", "props")
     name = F.concat(F.lit("list_"), F.col("event_type"))
     events = table(spark, sf_dir, "events")
-    events = spread(events if where is None else events.where(where))
+    events = events if where is None else events.where(where)
     return to_records(events, name, F.col("event_id"), *columns)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnseek.functions.analyzers import CASE_PRESERVING, ENGLISH_STOP_WORDS, STANDARD
-from tarnseek.functions.columns import spread
 from tarnseek.operators.clauses import Compare, Equals, Like, MatchAll, MatchAny, Phrase, matching
 from tarnseek.operators.postings import (
     build_postings,
@@ -90,7 +89,7 @@ def _token_lines(name: str, analyzer, text_sql: str, stop) -> None:
         """,
     )
     def run(spark, sf_dir):
-        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
         tokens = docs.select("doc_id", analyzer.tokens(F.col("text")).alias("found"))
         return tokens.select(
             "doc_id",

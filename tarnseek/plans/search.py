@@ -14,7 +14,7 @@ from tarnseek.functions.jsonvals import decode_object, member, member_or_null_te
 from tarnseek.operators.clauses import Clause, matching
 from tarnseek.operators.indexed import IndexFigures, PostingsSource, measured, needs_token
 from tarnseek.operators.grouping import group_field, group_total, ordered_groups, split_order
-from tarnseek.operators.lookup import BROADCAST_ROWS, fetch_records
+from tarnseek.operators.lookup import fetch_records
 from tarnseek.operators.ordering import (
     DEFAULT_PAGE_SIZE,
     SortKey,
@@ -47,11 +47,7 @@ class SearchResult:
         return self.rows.select(result_json(self.rows.columns).alias("json"))
 
     def envelope(self) -> str:
-        """The whole answer as one JSON text; only for results known to be small."""
-        if self.page_size is None and self.total > BROADCAST_ROWS:
-            raise TarnseekError(f"{self.total} groups are too many for one text, write json_rows()")
-        if self.page_size is not None and self.page_size > BROADCAST_ROWS:
-            raise TarnseekError(f"pages of {self.page_size} rows are too long, write json_rows()")
+        """The whole answer as one JSON text, held by the driver. ``json_rows()`` can be written instead, whatever its size."""
         answer = {
             "total": self.total,
             "results": [json.loads(r["json"]) for r in self.json_rows().collect()],
@@ -69,7 +65,8 @@ def search_view(
     order_by: Sequence = (),
     group_by: str | None = None,
     page: int = 1,
-    size: int = DEFAULT_PAGE_SIZE,
+    size: int | None = DEFAULT_PAGE_SIZE,
+    counted_ranges: bool = False,
     records: DataFrame | None = None,
     missing_as_text: bool = False,
     rounded_lengths: bool = False,
@@ -83,9 +80,11 @@ def search_view(
     ``records`` is the current record store: values are then fetched from it by
     key, and hits whose record is gone are left out of the rows, not of the
     total. ``indexes`` are stored postings by TEXT field; they're used where
-    they can drive the search.
+    they can drive the search. Without a ``size`` all hits are given, in order. ``counted_ranges`` finds a page far in by counting
+    (see ``page_rows``).
     """
-    check_page(page, size)
+    if size is not None:
+        check_page(page, size)
     if group_by is None:
         in_order = bool(order_by)
     else:
@@ -108,13 +107,17 @@ def search_view(
     names = list(dict.fromkeys(select or view.spec.field_names))
     dynamic = [n for n in names if not view.spec.has(n)]
     if records is None and not dynamic and not missing_as_text:
-        found = page_rows(hits.df, keys, page, size).select(*names)
+        found = _page(hits.df, keys, page, size, counted_ranges).select(*names)
     else:
-        found = _fetched_page(hits, keys, page, size, names, records, missing_as_text)
+        found = _fetched_page(hits, keys, page, size, counted_ranges, names, records, missing_as_text)
     return SearchResult(found, counted, snapshot, size)
 
 
-def _fetched_page(hits, keys, page, size, names, records, missing_as_text) -> DataFrame:
+def _page(df: DataFrame, keys, page: int, size: int | None, counted_ranges: bool) -> DataFrame:
+    return ordered(df, keys) if size is None else page_rows(df, keys, page, size, counted_ranges)
+
+
+def _fetched_page(hits, keys, page, size, counted_ranges, names, records, missing_as_text) -> DataFrame:
     """Sort narrow rows first, then fetch the JSON values of the page alone."""
     if records is None:
         if "_value" not in hits.df.columns:
@@ -127,8 +130,8 @@ def _fetched_page(hits, keys, page, size, names, records, missing_as_text) -> Da
     narrow = dict.fromkeys([*on, *declared])
     sorting = [k.column.alias(f"_k{i}") for i, k in enumerate(keys)]
     order = [SortKey(F.col(f"_k{i}"), k.descending) for i, k in enumerate(keys)]
-    one_page = page_rows(hits.df.select(*narrow, *sorting), order, page, size)
-    found = fetch_records(one_page, raw, on, at_most=size)
+    one_page = _page(hits.df.select(*narrow, *sorting), order, page, size, counted_ranges)
+    found = fetch_records(one_page, raw, on)
     members = decode_object(F.col("_value"))
     read = member_or_null_text if missing_as_text else member
     shown = [F.col(n) if n in declared else read(members, n).alias(n) for n in names]

@@ -8,6 +8,9 @@ checkpoint is the resume point.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tarnseek.errors import TarnseekError
@@ -46,6 +49,16 @@ def stream_records(
     return df.where(name_matches(source.name))
 
 
+def file_name(uri: str) -> str:
+    """A file's path as one spelling, however its URI is written."""
+    return re.sub(r"^file:/+", "/", unquote(uri))
+
+
+def source_files(spark: SparkSession, source: RecordSource) -> set[str]:
+    """The files that are there now."""
+    return {file_name(f) for f in spark.read.schema(RECORD_SCHEMA).format(source.format).load(source.path).inputFiles()}
+
+
 def list_range(records: DataFrame, name: str, offset: int, count: int) -> DataFrame:
     """Elements ``offset`` … ``offset + count - 1`` of a list.
 

@@ -7,12 +7,15 @@ was committed, is skipped, so each record lands exactly once.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tarnseek.errors import TarnseekError
 from tarnseek.schema import TableSpec
 from tarnseek.sources.decode import BAD, OK, decode_records
+from tarnseek.sources.records import file_name
 from tarnseek.sources.storage import Folder
 from tarnseek.streaming.snapshots import SnapshotLog
 
@@ -58,6 +61,19 @@ class TableStore:
         how = {"availableNow": True} if refresh is None else {"processingTime": refresh}
         return writer.trigger(**how).start()
 
+    def committed_files(self) -> set[str]:
+        """Source files whose rows are committed, from the stream's own checkpoint."""
+        checkpoint = self.folder.child("checkpoint")
+        done = [int(n) for n in checkpoint.child("commits").names() if n.isdigit()]
+        if not done:
+            return set()
+        upto = json.loads(checkpoint.child("offsets").text(str(max(done))).splitlines()[-1])["logOffset"]
+        log, found = checkpoint.child("sources/0"), set()
+        for name in log.names():
+            entries = [json.loads(line) for line in log.text(name).splitlines()[1:]]
+            found |= {file_name(e["path"]) for e in entries if e["batchId"] <= upto}
+        return found
+
     def rows(self, up_to: int | None = None) -> DataFrame:
         """Usable rows of the committed batches, up to a snapshot."""
         return self._read(up_to, OK).drop("_error", "_status")

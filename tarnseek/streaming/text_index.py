@@ -1,7 +1,8 @@
 """Stored postings of a streamed table's TEXT field, brought up to date in steps.
 
 Each update covers the batches committed since the last one and is noted when
-wholly written. Batches after the last update are searched through their token
+wholly written. Only noted updates are read; what an interrupted one has left is
+removed by the next. Batches after the last update are searched through their token
 arrays, so answers are the same whether or not the index is up to date.
 """
 
@@ -25,13 +26,27 @@ class TextIndex:
         self._terms = PostingsTable(f"{self._folder.path}/terms", buckets, salts)
         self._sizes = f"{self._folder.path}/sizes"
 
+    def noted(self) -> list[int]:
+        """The updates that are wholly written, each by its last batch."""
+        return sorted(int(n) for n in self._notes.names())
+
     def covered(self) -> int:
         """The last batch in the index, -1 if there is none."""
-        return max((int(n) for n in self._notes.names()), default=-1)
+        return max(self.noted(), default=-1)
+
+    def _drop_orphans(self) -> None:
+        """Remove parts that an update wrote without coming to note them."""
+        noted = {f"_upto={n}" for n in self.noted()}
+        for name in ("terms", "sizes"):
+            folder = self._folder.child(name)
+            for part in folder.names():
+                if part.startswith("_upto=") and part not in noted:
+                    folder.child(part).remove()
 
     def update(self) -> int:
         """Index the batches committed since the last update (one updater at a time)."""
         done, latest = self.covered(), self.store.snapshots.latest()
+        self._drop_orphans()
         if latest > done:
             view = self._view(done, latest)
             part = f"_upto={latest}"
@@ -59,12 +74,12 @@ class _Snapshot(PostingsSource):
 
     def __init__(self, index: TextIndex, up_to: int):
         self._index, self._up_to = index, up_to
-        self._covered = min(index.covered(), up_to)
-        self._noted = index.covered()
+        self._noted = index.noted()
+        self._covered = min(max(self._noted, default=-1), up_to)
 
     def _stored(self, df: DataFrame) -> DataFrame:
         # Only noted updates, only rows of the snapshot.
-        return df.where((F.col("_upto") <= self._noted) & (F.col("_batch_id") <= self._up_to))
+        return df.where(F.col("_upto").isin(self._noted) & (F.col("_batch_id") <= self._up_to))
 
     def postings(self, terms):
         stored = self._stored(self._index._terms.read(self._index.store.spark, terms)).drop("_upto")

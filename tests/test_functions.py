@@ -138,16 +138,20 @@ def test_bad_dates_are_null(spark):
         ("2019-02-28T09:43:10.224000", MICROS, datetime(2019, 2, 28, 9, 43, 10, 224000)),
         ("2019-02-18 15:45:54.607", "yyyy-MM-dd HH:mm:ss.SSS", datetime(2019, 2, 18, 15, 45, 54, 607000)),
         ("1998-10-03", "yyyy-MM-dd", datetime(1998, 10, 3)),
+        ("3/11/1998", "d/M/yyyy", datetime(1998, 11, 3)),
+        ("03 Nov 1998", "dd MMM yyyy", datetime(1998, 11, 3)),
+        ("1998-11-03 04:05 PM", "yyyy-MM-dd hh:mm a", datetime(1998, 11, 3, 16, 5)),
+        ("98-11-03", "yy-MM-dd", datetime(2098, 11, 3)),
         (1550965872872516000, MICROS, datetime(2019, 2, 23, 23, 51, 12, 872516)),
         (datetime(2020, 1, 1), None, datetime(2020, 1, 1)),
     ],
 )
-def test_date_literal(value, pattern, expected):
+def test_date_literal(spark, value, pattern, expected):
     assert dates.date_literal(value, pattern) == expected
 
 
 @pytest.mark.parametrize("value", ["2019-02-28", "2019-02-31T00:00:00.000000", 1.5, None])
-def test_bad_date_literal(value):
+def test_bad_date_literal(spark, value):
     with pytest.raises(TarnseekError):
         dates.date_literal(value, MICROS)
 

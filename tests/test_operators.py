@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+
 from tarnseek import (
     Between,
     Compare,
@@ -20,6 +21,7 @@ from tarnseek import (
     TarnseekError,
     search_view,
 )
+from tests.compare import TESTDATA
 from tarnseek.operators import ordering
 from tarnseek.operators.clauses import matching
 from tarnseek.operators.grouping import count_name, group_heads, group_members, ordered_groups
@@ -176,9 +178,8 @@ def many_rows(n=3000, seed=7):
 
 @pytest.mark.parametrize("order, size", [(["city desc", "price"], 40), (["price desc"], 400), (["at", "city"], 7)])
 def test_deep_pages_match_plain_sorting(spark, monkeypatch, order, size):
-    monkeypatch.setattr(ordering, "SHALLOW_ROWS", 50)
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 50)
     monkeypatch.setattr(ordering, "_SPLITS", 3)
-    monkeypatch.setattr(ordering, "_SAMPLE_ROWS", 200)
     rows = many_rows()
     df = spark.createDataFrame(rows, "id int, city string, price double, at timestamp_ntz").repartition(4)
     fields = (Field("id", Kind.INT), Field("city", Kind.STRING), Field("price", Kind.DOUBLE), Field("at", Kind.DATE))
@@ -187,21 +188,39 @@ def test_deep_pages_match_plain_sorting(spark, monkeypatch, order, size):
     expected = [r["id"] for r in ordering.ordered(df, keys).collect()]
     last = len(rows) // size + 1
     for page in (last // 2, last - 1, last, last + 1):
-        got = [r["id"] for r in ordering.page_rows(df, keys, page, size).collect()]
+        got = [r["id"] for r in ordering.page_rows(df, keys, page, size, counted_ranges=True).collect()]
         assert got == expected[(page - 1) * size : page * size], (order, size, page)
 
 
 def test_deep_pages_over_equal_rows(spark, monkeypatch):
     """Rows that no key tells apart still fill each page with the right number."""
-    monkeypatch.setattr(ordering, "SHALLOW_ROWS", 50)
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 50)
     df = spark.range(1000).selectExpr("id div 400 as k")
     keys = [ordering.SortKey(F.col("k"))]
     for size in (90, 200):
         pages = -(-1000 // size)
-        got = [r["k"] for p in range(1, pages + 1) for r in ordering.page_rows(df, keys, p, size).collect()]
+        got = [r["k"] for p in range(1, pages + 1) for r in ordering.page_rows(df, keys, p, size, counted_ranges=True).collect()]
         assert got == [0] * 400 + [1] * 400 + [2] * 200
 
 
+def test_counted_ranges_over_strings_with_one_beginning(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 20)
+    df = spark.range(3000).selectExpr("concat('http://same.example/', id * 7919 % 3000, case when id % 2 = 0 then '/é' else '' end) as k")
+    keys = [ordering.SortKey(F.col("k"))]
+    expected = [r["k"] for r in df.orderBy("k").collect()]
+    for page in (1, 17, 60):
+        got = [r["k"] for r in ordering.page_rows(df, keys, page, 50, counted_ranges=True).collect()]
+        assert got == expected[(page - 1) * 50 : page * 50]
+
+
+def test_cursors_are_pushed_to_the_scan(spark):
+    lines = spark.read.parquet(f"{TESTDATA}/sf0.001/lineitem.parquet")
+    keys = [ordering.SortKey(F.col("l_quantity"), True, 0), ordering.SortKey(F.col("l_orderkey"))]
+    plan = ordering.page_after(lines, keys, [40.0, 100], 10)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters: [") :].split("]")[0]
+    assert "LessThan(l_quantity,40.0)" in pushed
+
+
 def test_cursor_walks_all_rows(spark):
     rows = many_rows(500)
     df = spark.createDataFrame(rows, "id int, city string, price double, at timestamp_ntz")
@@ -354,6 +373,6 @@ def test_lookup_leaves_out_lost_records(spark):
         [("a", "1", "old", 1), ("a", "1", "new", 2), ("b", "1", "x", 1)], "_name string, _key string, value string, v int"
     )
     current = latest_records(records, ["_name", "_key"], "v")
-    found = fetch_records(hits, current, ["_name", "_key"], at_most=3)
+    found = fetch_records(hits, current, ["_name", "_key"])
     assert sorted((r["_name"], r["value"]) for r in found.collect()) == [("a", "new"), ("b", "x")]
     assert "Broadcast" in found._jdf.queryExecution().executedPlan().toString()

@@ -1,4 +1,5 @@
 import json
+import threading
 import time
 from types import SimpleNamespace
 
@@ -229,10 +230,10 @@ def test_live_search_sees_what_arrived_and_tokens_keep_pages_steady(spark, made)
     catalog, source, folder = made
     catalog.create_table("t", FIELDS, source, refresh="100 milliseconds")
     asked = dict(order_by=["index desc"], select=["index"], size=5)
-    first = catalog.search("t", **asked)
+    first = catalog.search("t", wait=True, **asked)
     assert first.total == 20 and first.snapshot == 0
     arrive(spark, folder, [record(i) for i in range(20, 40)])
-    fresh = catalog.search("t", **asked)
+    fresh = catalog.search("t", wait=True, **asked)
     assert fresh.total == 40 and fresh.snapshot == 1
     steady = catalog.search("t", token=first.snapshot, page=2, **asked)
     assert steady.total == 20 and steady.snapshot == 0
@@ -246,7 +247,7 @@ def test_tokens_expire(spark, made):
     catalog, source, _ = made
     catalog.create_table("t", FIELDS, source, refresh="100 milliseconds")
     short = Catalog(spark, catalog.root.path, search_expired=0.5)
-    token = short.search("t").snapshot
+    token = short.search("t", wait=True).snapshot
     assert short.search("t", token=token).total == 20
     time.sleep(2)
     with pytest.raises(TarnseekError):
@@ -383,3 +384,98 @@ def test_index_spares_the_token_arrays(spark, indexed):
     assert found.total > 0
     with pytest.raises(TarnseekError):
         indexed.index_text("t", "city")
+
+
+class _Interrupted(Exception):
+    pass
+
+
+def test_index_after_an_interrupted_update(spark, tmp_path, monkeypatch):
+    """An update dies before it is noted; more rows come; the next one must not count its leavings."""
+    catalog = Catalog(spark, f"{tmp_path}/tables")
+    arrive(spark, tmp_path, [story(i) for i in range(20)])
+    catalog.create_table("t", FIELDS, RecordSource("list", f"{tmp_path}/source", "list*"), start=False)
+    drain(catalog)
+
+    def die(self, name, text=""):
+        if self.path.endswith("updates"):
+            raise _Interrupted
+        return put_new(self, name, text)
+
+    put_new = Folder.put_new
+    monkeypatch.setattr(Folder, "put_new", die)
+    with pytest.raises(_Interrupted):
+        catalog.index_text("t", "company", buckets=4)
+    monkeypatch.setattr(Folder, "put_new", put_new)
+    arrive(spark, tmp_path, [story(i) for i in range(20, 30)])
+    drain(catalog)
+    assert catalog.index_text("t", "company") == 1
+    view, store = catalog.view("t"), catalog.store("t")
+    where = MatchAny("company", "cat power")
+    plain = search_view(view, where, ["index"], size=None)
+    with_index = search_view(view, where, ["index"], size=None, indexes=catalog._indexes(store, where, view, 1))
+    assert with_index.total == plain.total > 0
+    assert [tuple(r) for r in with_index.rows.collect()] == [tuple(r) for r in plain.rows.collect()]
+
+
+def test_leavings_of_an_update_are_not_read(spark, indexed):
+    """Parts that nobody noted, written beside the noted ones."""
+    folder = indexed.store("t").folder.child("index/company")
+    for name in ("terms", "sizes"):
+        path = f"{folder.path}/{name}"
+        writer = spark.read.option("basePath", f"{path}/_upto=0").parquet(f"{path}/_upto=0").write
+        (writer.partitionBy("_bucket") if name == "terms" else writer).parquet(f"{path}/_upto=7")
+    where = Equals("company", "cat")
+    assert indexed.search("t", where, ["index"]).total == search_view(indexed.view("t"), where, ["index"]).total
+    assert indexed.index_text("t", "company") == 2
+    assert "_upto=7" not in folder.child("terms").names() + folder.child("sizes").names()
+
+
+def test_long_phrases_with_and_without_an_index(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(90))
+    catalog = Catalog(spark, f"{tmp_path}/tables")
+    arrive(spark, tmp_path, [record(0, company=f"start {words} end"), record(1, company=words.replace("w80", "other")), record(2, company=f"{words} {words}")])
+    catalog.create_table("t", FIELDS, RecordSource("list", f"{tmp_path}/source", "list*"), start=False)
+    drain(catalog)
+    for where, hits in ((Phrase("company", words), [0, 2]), (MatchAll("company", words), [0, 2])):
+        plain = catalog.search("t", where, ["index"], order_by=["index"])
+        catalog.index_text("t", "company", buckets=4)
+        found = catalog.search("t", where, ["index"], order_by=["index"])
+        assert [r["index"] for r in plain.rows.collect()] == [r["index"] for r in found.rows.collect()] == hits
+
+
+def test_search_and_stop_return_while_a_feed_keeps_coming(spark, made):
+    catalog, source, folder = made
+    catalog.create_table("t", FIELDS, source, refresh="100 milliseconds")
+    going = threading.Event()
+
+    def feed():
+        i = 100
+        while not going.is_set() and i < 400:
+            arrive(spark, folder, [record(i)])
+            i += 1
+
+    thread = threading.Thread(target=feed)
+    thread.start()
+    try:
+        start = time.monotonic()
+        assert catalog.search("t").total >= 0
+        assert catalog.search("t", wait=True, wait_seconds=60).total >= 20
+        catalog.stop("t", wait_seconds=60)
+        assert time.monotonic() - start < 60 and thread.is_alive()
+    finally:
+        going.set()
+        thread.join()
+
+
+def test_waiting_has_an_end(spark, made):
+    catalog, source, _ = made
+    catalog.create_table("t", FIELDS, source, refresh="1 hour")
+    catalog.search("t", wait=True)
+    catalog.running_query("t")
+    arrive(spark, source.path.rsplit("/", 1)[0], [record(77)])
+    with pytest.raises(TarnseekError):
+        catalog.search("t", wait=True, wait_seconds=1)
+    with pytest.raises(TarnseekError):
+        catalog.stop("t", wait_seconds=1)
+    assert not catalog.is_running("t")
