@@ -26,8 +26,11 @@ from tarnseek.llm.common import written
 #: The rows of each label that are learned from, at most: those whose ids have the smallest hashes.
 FIT_ROWS = 6_000
 #: Letters of a word's beginning that may be an entry, and the entries kept at most.
-PREFIXES = (4, 5, 6, 7)
+PREFIXES = (4, 5, 6, 7, 8)
 LEXICON = 2_000
+#: An entry is in at least one toxic row of so many, and this much likelier there, as a logarithm.
+MIN_SHARE = 200
+MIN_WEIGHT = 3.0
 THRESHOLD = 0.7
 
 #: Look-alikes of Latin letters. Fixed values.
@@ -63,7 +66,8 @@ def fold(text: str | None) -> str:
         text = text.translate(_LOOK_TABLE)
     if _SUBSTITUTED.search(text):
         text = _MIXED.sub(_spelt_out, text)
-    return " " + _NOT_WORD.sub(" ", text).strip() + " " if text else " "
+    words = _NOT_WORD.sub(" ", text).strip()
+    return f" {words} " if words else " "
 
 
 @dataclass
@@ -165,7 +169,7 @@ def learn(rows: DataFrame, lexicon: int = LEXICON) -> Model:
         return Model()
     counts = rows.mapInPandas(count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log(((F.col("pos") + 0.5) / (n_pos + 1)) / ((F.col("neg") + 0.5) / (n_neg + 1)))
-    good = counts.where(F.col("pos") >= max(3, n_pos / 100)).withColumn("weight", odds).where("weight >= 3.5")
+    good = counts.where(F.col("pos") >= max(3, n_pos / MIN_SHARE)).withColumn("weight", odds).where(F.col("weight") >= MIN_WEIGHT)
     found = good.orderBy(F.desc(F.col("weight") * F.sqrt("pos")), "entry").limit(20 * lexicon).collect()
     weights: dict[str, float] = {}
     # A shorter beginning stands for all words that go on from it, if it tells as well as they do.
