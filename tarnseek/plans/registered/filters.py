@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tarnseek.functions.dates import format_date, from_nanos, to_nanos
 from tarnseek.functions.jsonvals import decode_object, member, member_or_null_text, value_kind
 from tarnseek.operators.clauses import Between, Compare, Equals, HasField, Like, matching
+from tarnseek.operators.view import TableView
 from tarnseek.plans.registered.registry import query
 from tarnseek.plans.registered.tables import labelled, table, view
+from tarnseek.schema import Field, Kind, TableSpec
 from tarnseek.sources.records import to_records
 
 
@@ -106,9 +108,9 @@ _filter(
 _filter(
     "like_sql_wildcards_are_plain",
     "pages",
-    Like("html", "*%%%*_*"),
+    Like("html", "*%%%*"),
     ["page_id"],
-    "regexp_matches(html, '(?s)%%%.*_')",
+    "contains(html, '%%%')",
 )
 _filter(
     "filter_and",
@@ -205,3 +207,24 @@ def json_number_types(spark, sf_dir):
     return events.select("event_id", made.alias("made")).select(
         "event_id", *[value_kind(F.col("made"), f"$.{m}").alias(alias) for m, alias in kinds.items()]
     )
+
+
+@query(
+    "filter_has_label",
+    "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL",
+)
+def filter_has_label(spark, sf_dir):
+    """A field that most rows lack."""
+    return matching(labelled(spark, sf_dir), HasField("quality")).df.select("doc_id", "quality")
+
+
+@query(
+    "filter_date_day_first",
+    "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-10-03' AND o_orderdate < TIMESTAMP '1999-02-01'",
+)
+def filter_date_day_first(spark, sf_dir):
+    """Dates given as d/M/yyyy, by the pattern of the column."""
+    spec = TableSpec("orders", (Field("o_orderkey", Kind.LONG), Field("o_orderdate", Kind.DATE, "d/M/yyyy")))
+    orders = TableView(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), spec, ("o_orderkey",))
+    where = Compare("o_orderdate", ">=", "3/10/1998") & Compare("o_orderdate", "<", "1/2/1999")
+    return matching(orders, where).df.select("o_orderkey", "o_orderdate")

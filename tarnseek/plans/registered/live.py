@@ -47,12 +47,14 @@ class _Feed:
 
 _EVENTS = (
     "SELECT 'list_' || event_type AS _name, CAST(event_id AS VARCHAR) AS _key, "
-    "event_id, ts, user_id, event_type, value FROM events"
+    "event_id, ts, user_id, event_type, value, props FROM events"
 )
 
 
 def _shown(rows: DataFrame) -> DataFrame:
-    return rows.select("_name", "_key", "event_id", "ts", "user_id", "event_type", "value")
+    """Typed columns, and one member that isn't declared, from the stored JSON."""
+    props = F.get_json_object("_value", "$.props").alias("props")
+    return rows.select("_name", "_key", "event_id", "ts", "user_id", "event_type", "value", props)
 
 
 @query("stream_ingest", _EVENTS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tarnseek.operators.clauses import Compare, Equals, matching
@@ -112,3 +114,16 @@ def filtered_page_with_total(spark, sf_dir):
 def sort_rows_by_missing_string(spark, sf_dir):
     turns = view(spark, sf_dir, "conversations")
     return page_rows(turns.df, sort_keys(turns, ["role desc"]), 1, 200).select("conv_id", "turn", "role")
+
+
+@query(
+    "sort_missing_string",
+    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS source, lang FROM documents "
+    "ORDER BY CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END NULLS FIRST, doc_id DESC LIMIT 150 OFFSET 150",
+)
+def sort_missing_string(spark, sf_dir):
+    """A string that every fifth row lacks: those come first in an ascending order."""
+    docs = view(spark, sf_dir, "documents")
+    source = F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source")
+    some = replace(docs, df=docs.df.select("doc_id", source, "lang"))
+    return page_rows(some.df, sort_keys(some, ["source", "doc_id desc"]), 2, 150).select("doc_id", "source", "lang")

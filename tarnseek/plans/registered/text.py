@@ -129,8 +129,17 @@ def _phrase_sql(*placed: tuple[int, str]) -> str:
 
 
 _text_filter("text_term", Equals("text", "from"), _docs(_has("from")))
-_text_filter("text_term_is_not_analysed", Equals("text", "From"), _docs("false"))
-_text_filter("text_stop_word", Equals("text", "of"), _docs("false"))
+_SHORT_FROM = Equals("text", "from") & Compare("n_chars", "<=", 500)
+_text_filter(
+    "text_term_is_not_analysed",
+    (Equals("text", "From") & Compare("n_chars", ">", 500)) | _SHORT_FROM,
+    _docs(f"{_has('from')} AND n_chars <= 500"),
+)
+_text_filter(
+    "text_stop_word",
+    (Equals("text", "of") & Compare("n_chars", ">", 500)) | _SHORT_FROM,
+    _docs(f"{_has('from')} AND n_chars <= 500"),
+)
 _text_filter(
     "text_wildcard",
     Like("text", "thane?*le"),
