@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -69,16 +73,23 @@ class Folder:
         fs.delete(path, True)
 
 
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="tarnseek-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for written intermediate tables.
 
     It lies in the shared folder the cluster names in ``spark.checkpoint.dir``.
-    Only a local session without that setting uses the machine's own temporary
-    folder.
+    Only a session that runs in one process, and has no such setting, uses a temporary
+    folder, which goes when the process ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise TarnseekError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="tarnseek-")
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
