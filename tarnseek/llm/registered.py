@@ -69,10 +69,10 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn as a canonical JSON message: users' turns as tool calls, the turns after them as their results."""
-    rows = chat.link(chat.turns_as_calls(_table(spark, sf_dir, "conversations")), chat.ANSWER_TOOL)
+    """Every turn as canonical JSON messages: users' turns as tool calls, the turns after them as results."""
+    rows = chat.link(chat.turns_as_calls(_table(spark, sf_dir, "conversations")), chat.TURN_TOOLS)
     whole = [F.col(c).cast("long").alias(c) for c in ("level", "block", "step")]
-    return rows.select("conv_id", "turn", "kind", "call_id", "status", "valid", *whole, "json")
+    return rows.select("conv_id", "turn", "part", "kind", "call_id", "status", "valid", *whole, "json")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,25 +144,27 @@ SELECT doc_id, whole.name AS licence, coalesce(notices, '') AS notices, coalesce
 FROM (SELECT doc_id, {_sql_canonical("text")} AS c FROM d) LEFT JOIN whole USING (c) LEFT JOIN named USING (doc_id)
 """,
     "op7_chat_format": """
-WITH e AS (
-  SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, to_json(text) AS text,
-    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-    CASE role WHEN 'user' THEN 'c' || turn WHEN 'assistant' THEN 'c' || (turn - 1) END AS call_id
-  FROM conversations),
-chains AS (SELECT conv_id, call_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain FROM e WHERE kind = 'call'),
-levels AS (SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id, turn % 2, chain ORDER BY turn) - 1 AS level FROM chains),
-answered AS (SELECT conv_id, call_id FROM e WHERE kind = 'result')
-SELECT e.conv_id, e.turn, kind, e.call_id,
-  CASE kind WHEN 'call' THEN CASE WHEN a.call_id IS NULL THEN 'unanswered' ELSE 'linked' END
-    WHEN 'result' THEN CASE WHEN l.call_id IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'message' END AS status,
-  CASE WHEN kind = 'call' THEN true END AS valid, coalesce(level, 0) AS level,
-  CASE WHEN kind = 'result' AND l.call_id IS NOT NULL THEN e.turn - 1 ELSE e.turn END AS block,
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, to_json(text) AS text FROM conversations),
+e AS (
+  SELECT *, 0 AS part, 'call' AS kind, 'a' || turn AS call_id, 1 AS level FROM t WHERE role = 'user'
+  UNION ALL SELECT *, 1, 'call', 's' || turn, 0 FROM t WHERE role = 'user'
+  UNION ALL SELECT *, 0, 'result', 'a' || (turn - 1), 1 FROM t WHERE role = 'assistant'
+  UNION ALL SELECT *, 0, 'message', NULL, 0 FROM t WHERE role NOT IN ('user', 'assistant')),
+asked AS (SELECT DISTINCT conv_id, call_id FROM e WHERE kind = 'call'),
+answered AS (SELECT DISTINCT conv_id, call_id FROM e WHERE kind = 'result')
+SELECT e.conv_id, e.turn, part, kind, e.call_id,
+  CASE kind WHEN 'call' THEN CASE WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END
+    WHEN 'result' THEN CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'message' END AS status,
+  CASE WHEN kind = 'call' THEN true END AS valid,
+  CAST(CASE WHEN kind = 'result' AND c.call_id IS NULL THEN 0 ELSE level END AS BIGINT) AS level,
+  CASE WHEN kind = 'result' AND c.call_id IS NOT NULL THEN e.turn - 1 ELSE e.turn END AS block,
   CAST(CASE kind WHEN 'call' THEN 1 WHEN 'result' THEN 2 ELSE 0 END AS BIGINT) AS step,
-  CASE kind
-    WHEN 'call' THEN '{"arguments":{"prompt":' || text || ',"turn":' || e.turn || '},"call_id":"' || e.call_id || '","name":"answer","role":"user"}'
-    WHEN 'result' THEN '{"call_id":"' || e.call_id || '","content":' || text || ',"role":"assistant"}'
+  CASE
+    WHEN kind = 'call' AND part = 0 THEN '{"arguments":{"prompt":' || text || ',"turn":' || e.turn || '},"call_id":"' || e.call_id || '","name":"answer","role":"user"}'
+    WHEN kind = 'call' THEN '{"arguments":{"limit":3,"query":' || text || '},"call_id":"' || e.call_id || '","name":"search","role":"user"}'
+    WHEN kind = 'result' THEN '{"call_id":"' || e.call_id || '","content":' || text || ',"role":"assistant"}'
     ELSE '{"content":' || text || ',"role":' || to_json(role) || '}' END AS json
-FROM e LEFT JOIN levels l USING (conv_id, call_id) LEFT JOIN answered a USING (conv_id, call_id)
+FROM e LEFT JOIN asked c USING (conv_id, call_id) LEFT JOIN answered r USING (conv_id, call_id)
 """,
     "op5_line_dedup": r"""
 WITH l AS (
