@@ -4,10 +4,12 @@ Each window of an item is a set of shingles. To hold the window, a text must hol
 so the rarest alone (a prefix of length one in the order of rarity) finds every candidate; it is
 chosen by how often each shingle of the benchmark occurs in the whole corpus. A shingle at word p
 of a text puts the window's start at p less the shingle's offset: the start must not come before
-the text (position) nor the end after it (length). Candidates are then compared as word sequences.
+the text (position) nor the end after it (length). A candidate is a hit if all the window's
+shingles lie at their places, which together spell all its words.
 
-The corpus is never shuffled: its shingles meet the benchmark's in broadcast joins. The benchmark
-side is dealt into blocks of a bounded size and joined block by block.
+The corpus is read once and never shuffled: its shingles meet the benchmark's in a broadcast join
+that compares their words, and what is left are occurrences. The benchmark side is dealt into
+blocks of a bounded size, with a pass over the corpus for each.
 """
 
 from __future__ import annotations
@@ -31,15 +33,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), _SEPARATORS), "")
 
 
-def _shingle(words: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(F.lit(size), *[F.get(words, at + i) for i in range(size)])
+def _shingles(words: Column, size: int) -> Column:
+    """Hashes of the runs of ``size`` words, in the order of their places."""
 
+    def run(i: Column) -> Column:
+        return F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)])
 
-def _shingles(words: Column, size: int) -> Column:
-    """(size, offset, hash) of each run of ``size`` words."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.struct(_shingle(words, i, size).alias("hash"), i.alias("at")))
-    none = F.array().cast("array<struct<hash:bigint,at:int>>")
-    return F.when(F.size(words) < size, none).otherwise(runs)
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - size), run)
+    return F.when(F.size(words) < size, F.array().cast("array<bigint>")).otherwise(runs)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -58,61 +59,72 @@ def _blocks(table: DataFrame, size: Column, by: str) -> list[DataFrame]:
     return [table.where(F.pmod(F.xxhash64(by), F.lit(count)) == i) for i in range(count)]
 
 
-def _corpus_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """doc_id, row_key, w (all words of the text), hash and at: a row for each shingle of each text."""
+def _item_shingles(windows: DataFrame) -> DataFrame:
+    """(text, n, offset, k, hash, shingle) of every window (words, text, n): its runs of four words, or of all if it has fewer."""
+    k = F.least(F.col("n"), F.lit(SHINGLE))
+    runs = reduce(lambda out, size: out.when(k == size, _shingles(F.col("words"), size)), range(1, SHINGLE + 1), F)
+    rows = windows.select("words", "text", "n", k.alias("k"), F.posexplode(runs).alias("offset", "hash"))
+    return rows.select("text", "n", "offset", "k", "hash", F.array_join(F.slice("words", F.col("offset") + 1, F.col("k")), " ").alias("shingle"))
+
+
+def corpus_rows(docs: DataFrame, known: DataFrame, sizes: list[int]) -> DataFrame:
+    """A row for each text, with a null shingle, and one for each place where a shingle of ``known`` (hash, k, shingle) occurs.
+
+    Columns doc_id, row_key, n_words, at and shingle.
+    """
     words = docs.select("doc_id", row_key().alias("row_key"), words_of(text_of()).alias("w"))
 
     def all_sizes(w: Column) -> Column:
-        return F.concat(*[_shingles(w, k) for k in sizes])
+        return F.concat(F.array(F.lit(None).cast("bigint")), *[_shingles(w, k) for k in sizes])
 
-    # Both arrays are made here; only the exploded one is walked through.
+    # The first entry stands for the text itself; runs of one size follow those of the size before.
     runs = words.select("doc_id", "row_key", "w", let(F.col("w"), all_sizes).alias("runs"))
-    return runs.select("doc_id", "row_key", "w", F.explode("runs").alias("s")).select("doc_id", "row_key", "w", "s.hash", "s.at")
-
-
-def _prefixes(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
-    """The windows by their rarest shingle, the items of each window, and the shingle sizes in use."""
+    rows = runs.select("doc_id", "row_key", "w", F.posexplode("runs").alias("entry", "hash"))
+    base, at = F.lit(1), F.col("entry") - 1
+    for size in sizes[:-1]:
+        base = base + F.greatest(F.size("w") - size + 1, F.lit(0))
+        at = F.when(F.col("entry") >= base, F.col("entry") - base).otherwise(at)
+    rows = rows.select("doc_id", "row_key", "w", "hash", at.alias("at"))
+    known = known.select(F.col("hash").alias("known_hash"), "k", "shingle")
+    spelt = F.array_join(F.slice("w", F.col("at") + 1, F.col("k")), " ") == F.col("shingle")
+    found = rows.join(F.broadcast(known), (F.col("hash") == F.col("known_hash")) & spelt, "left")
+    found = found.where(F.col("hash").isNull() | F.col("shingle").isNotNull())
+    return found.select("doc_id", "row_key", F.size("w").cast("long").alias("n_words"), "at", "shingle")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the benchmark and the texts share, as three tables.
+
+    (doc_id, row_key, start, n, text): distinct occurrences of item windows, start counted in words from 0, n the window's words;
+    (text, item_id): the items of each window; (doc_id, row_key, n_words): a row for each row of ``docs``.
+    """
     windows = item_windows(benchmark)
     items = written(windows.select("text", "item_id").distinct(), "window-items")
-    distinct = written(windows.select("words", "text", "n").distinct(), "windows")
-    k = F.least(F.col("n"), F.lit(SHINGLE))
-    sizes = [r[0] for r in distinct.select(k.alias("k")).distinct().orderBy("k").collect()]
-    if not sizes:
-        return distinct, items, sizes
-    runs = reduce(lambda a, b: a.when(k == b, _shingles(F.col("words"), b)), sizes, F)
-    shingles = distinct.select("text", "n", F.explode(let(runs, lambda r: r)).alias("s")).select("text", "n", "s.hash", F.col("s.at").alias("offset"))
-    shingles = written(shingles, "window-shingles")
-    corpus = _corpus_shingles(docs, sizes).select("hash")
-    wanted = _blocks(shingles.select("hash").distinct(), F.lit(16), "hash")
-    counts = [corpus.join(F.broadcast(b), "hash", "left_semi").groupBy("hash").count() for b in wanted]
-    rarity = written(reduce(DataFrame.unionByName, counts), "rarity")
-    # A window with a shingle that no text has can't occur: the inner join leaves that shingle out, and the window goes.
-    known = shingles.join(rarity, "hash")
-    total = F.count("*").alias("found")
-    rarest = known.groupBy("text", "n").agg(F.min_by(F.struct("hash", "offset"), F.struct("count", "offset")).alias("s"), total)
-    whole = F.col("found") == F.col("n") - F.least(F.col("n"), F.lit(SHINGLE)) + 1
-    prefixes = rarest.where(whole).select("text", "n", "s.hash", "s.offset")
-    return written(prefixes, "prefixes"), items, sizes
-
-
-def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc_id, row_key, start, n, text) of item windows in texts, and (text, item_id) of the windows.
-
-    start counts words from 0 and n is the window's length.
-    """
-    prefixes, items, sizes = _prefixes(docs, benchmark)
-    schema_row = docs.select("doc_id", row_key().alias("row_key"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("text"))
-    none = schema_row.where("false")
-    if not sizes:
-        return none, items
-    corpus = _corpus_shingles(docs, sizes)
-    found = [none]
-    for block in _blocks(prefixes, F.octet_length("text") + 32, "text"):
-        start = F.col("at") - F.col("offset")
-        pairs = corpus.join(F.broadcast(block), "hash").where((start >= 0) & (start + F.col("n") <= F.size("w")))
-        same = F.array_join(F.slice("w", start + 1, F.col("n")), " ") == F.col("text")
-        found.append(pairs.where(same).select("doc_id", "row_key", start.alias("start"), "n", "text"))
-    return reduce(DataFrame.unionByName, found), items
+    windows = written(windows.select("words", "text", "n").distinct(), "windows")
+    shingles = written(_item_shingles(windows), "window-shingles")
+    known = written(shingles.select("hash", "k", "shingle").distinct(), "shingles")
+    sizes = [r[0] for r in known.select("k").distinct().orderBy("k").collect()]
+    blocks = _blocks(known, F.octet_length("shingle") + 32, "shingle") or [known]
+    passes = [corpus_rows(docs, block, sizes) for block in blocks]
+    first, *others = passes
+    seen = written(reduce(DataFrame.unionByName, [first, *[p.where("shingle is not null") for p in others]]), "corpus-shingles")
+    rows = seen.where("shingle is null").select("doc_id", "row_key", "n_words")
+    seen = seen.where("shingle is not null")
+    # Windows by their rarest shingle. One with a shingle that no text has can't occur: it finds fewer than it has.
+    rarity = written(seen.groupBy("shingle").count(), "rarity")
+    by_rarity = shingles.join(rarity, "shingle").groupBy("text", "n").agg(
+        F.min_by(F.struct("shingle", "offset"), F.struct("count", "offset")).alias("s"), F.count("*").alias("found")
+    )
+    many = F.col("n") - F.least(F.col("n"), F.lit(SHINGLE)) + 1
+    prefixes = written(by_rarity.where(F.col("found") == many).select("text", "n", "s.shingle", "s.offset"), "prefixes")
+    start = F.col("at") - F.col("offset")
+    candidates = seen.join(prefixes, "shingle").where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+    candidates = candidates.select("doc_id", "row_key", "text", "n", start.alias("start"))
+    wanted = candidates.join(shingles.select("text", "offset", "shingle"), "text").withColumn("place", F.col("start") + F.col("offset"))
+    there = seen.select(F.col("doc_id").alias("d"), F.col("row_key").alias("r"), "at", F.col("shingle").alias("s"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")) & (F.col("place") == F.col("at")) & (F.col("shingle") == F.col("s"))
+    spelt = wanted.join(there, same, "left_semi").groupBy("doc_id", "row_key", "text", "n", "start").agg(F.count_distinct("offset").alias("found"))
+    return written(spelt.where(F.col("found") == many).drop("found"), "occurrences"), items, rows
 
 
 def _covered(spans: Column) -> Column:
@@ -133,15 +145,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit words but aren't listed; repeated items count once. Rows are told apart by id and text, so repeated rows get
     equal results. Other columns aren't read. An empty table gives an empty one; an empty benchmark hits nothing.
     """
-    occurrences, items = hits(docs, benchmark)
-    found = written(occurrences.groupBy("doc_id", "row_key", "start", "n", "text").agg(F.lit(1).alias("x")).drop("x"), "occurrences")
+    found, items, rows = hits(docs, benchmark)
     spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))))
     hit = found.groupBy("doc_id", "row_key").agg(_covered(spans).alias("n_hit"))
     held = found.select("doc_id", "row_key", "text").distinct().join(items, "text")
     named = held.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     facts = hit.join(named, hit["doc_id"].eqNullSafe(named["doc_id"]) & (hit["row_key"] == named["row_key"]))
     facts = facts.select(hit["doc_id"].alias("hit_doc"), hit["row_key"].alias("hit_key"), "n_hit", "item_ids")
-    rows = docs.select("doc_id", row_key().alias("row_key"), F.size(words_of(text_of())).cast("long").alias("n_words"))
     rows = rows.join(facts, rows["doc_id"].eqNullSafe(facts["hit_doc"]) & (rows["row_key"] == facts["hit_key"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.select(
@@ -151,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit word, with all their columns."""
-    occurrences, _ = hits(docs, benchmark)
+    occurrences, _, _ = hits(docs, benchmark)
     bad = written(occurrences.select("doc_id", "row_key").distinct(), "contaminated")
     bad = bad.select(F.col("doc_id").alias("_tsk_doc"), F.col("row_key").alias("_tsk_key"))
     rows = docs.withColumn("_tsk_row", row_key())

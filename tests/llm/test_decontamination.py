@@ -90,7 +90,10 @@ def test_empty_tables(spark):
 
 def test_corpus_is_not_shuffled_and_native(spark):
     docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet")
-    hits, _ = dec.hits(docs, spark.read.parquet(f"{TESTDATA}/sf0.001/benchmark.parquet"))
-    plan = hits._jdf.queryExecution().executedPlan().toString()
+    known = dec._item_shingles(dec.item_windows(spark.read.parquet(f"{TESTDATA}/sf0.001/benchmark.parquet"))).select("hash", "k", "shingle").distinct()
+    plan = dec.corpus_rows(docs, known, [4])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapIn" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert "Exchange hashpartitioning" not in plan
+    corpus_side = plan[plan.index("Generate posexplode") :]
+    assert "Exchange" not in corpus_side[: corpus_side.index("documents.parquet")]
+    plan = QUERIES["op4_decontamination"](spark, f"{TESTDATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
