@@ -12,6 +12,7 @@ has a better or equal score) are merged one at a time, the leftmost of the word
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
-from tarnseek.llm.wordstore import WordStore
+from tarnseek.llm.wordstore import WordStore, worker_store
 
 MARK = "▁"
 #: Characters encoded together.
@@ -204,9 +205,13 @@ def _as_ids(table: MergeTable, sym: np.ndarray, word: np.ndarray) -> tuple[np.nd
     return out, np.repeat(word, count)
 
 
+def _new_words(table: MergeTable):
+    """Ids of words as ``words_of`` gives them."""
+    return lambda words: merge_words(table, [MARK + w.replace(" ", MARK) for w in words])
+
+
 def word_store(table: MergeTable) -> WordStore:
-    """A store for the words of ``words_of``."""
-    return WordStore(lambda words: merge_words(table, [MARK + w.replace(" ", MARK) for w in words]))
+    return WordStore(_new_words(table))
 
 
 def words_of(text: str) -> list[str]:
@@ -282,10 +287,12 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     The model is read by the driver and sent along.
     """
     with open(model_path, "rb") as f:
-        table = docs.sparkSession.sparkContext.broadcast(merge_table(f.read()))
+        model = f.read()
+    key = "sentencepiece " + hashlib.sha256(model).hexdigest()
+    table = docs.sparkSession.sparkContext.broadcast(merge_table(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store = word_store(table.value)
+        store = worker_store(key, lambda: _new_words(table.value))
         for batch in batches:
             for at in range(0, len(batch), 500):
                 rows = batch.iloc[at : at + 500]

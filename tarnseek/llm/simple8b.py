@@ -52,7 +52,7 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
             np.maximum(most, grid[:, seen : seen + block], out=most)
             seen += 1
         fits = (most <= bits).reshape(-1)[:n]
-        best[fits] = selector
+        np.copyto(best, np.uint8(selector), where=fits)
         if not fits.any() and bits < 16:
             break
     # All blocks walk from word to word together.
@@ -77,11 +77,16 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         if selector == 0:
             words[slot[rows] + 1] = values[place[rows]]
             continue
-        word = np.full(len(rows), selector << 60, np.uint64)
-        for i in range(int(COUNTS[selector]) if BITS[selector] else 0):
-            inside = room[rows] > i
-            word[inside] |= values[place[rows[inside]] + i] << np.uint64(i * int(BITS[selector]))
-        words[slot[rows]] = word
+        for part, whole in ((rows[room[rows] == COUNTS[selector]], True), (rows[room[rows] < COUNTS[selector]], False)):
+            word = np.full(len(part), selector << 60, np.uint64)
+            for i in range(int(COUNTS[selector]) if BITS[selector] else 0):
+                shift = np.uint64(i * int(BITS[selector]))
+                if whole:
+                    word |= values[place[part] + i] << shift
+                else:
+                    inside = room[part] > i
+                    word[inside] |= values[place[part[inside]] + i] << shift
+            words[slot[part]] = word
     first = np.concatenate(([True], owner[1:] != owner[:-1]))
     return words, slot[first]
 

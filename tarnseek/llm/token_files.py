@@ -7,10 +7,13 @@ little-endian. The index is a table with a row per document; ids of a document g
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import json
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,42 +24,107 @@ from pyspark.sql import functions as F
 
 from tarnseek.llm import simple8b
 from tarnseek.llm.common import row_key, shared_uri, text_of, written
-from tarnseek.llm.wordstore import WordStore
+from tarnseek.llm.wordstore import worker_store
 
 MAGIC = b"TNS8B\x00\x00\x01"
 _FOOTER = 24
 #: Characters tokenized together, blocks packed together, and blocks read together.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 21
 _PACKED_BLOCKS = 256
 _READ_BLOCKS = 512
-_DOUBLE_SPACE = re.compile(r"\s\s")
+_DOUBLE_SPACE = re.compile(r" \s|\s ")
+_ASCII_PAIRS = ["  ", *[p for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for p in (" " + c, c + " ")]]
+
+
+#: Marks the word at a text's beginning, which has no space before it. No text holds it.
+FIRST = "\ud800"
+#: Of texts in these characters the words are known: letters that have been so in all versions of Unicode tables, and ASCII.
+_KNOWN = re.compile("[\x00-\x7FÀ-ÖØ-öø-ɏ]*")
+#: How the tokenizer cuts such texts (fixed values): contractions, letters, digits, other marks, white space.
+_WORD = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^ \t-\rA-Za-zÀ-ÖØ-öø-ɏ0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+)
+_STORED_CHUNKS = 900_000
 
 
 def chunks_of(text: str) -> list[str]:
     """The text cut before each space that stands between two characters that aren't white space.
 
-    The tokenizer always starts a new word there, so the chunks can be encoded on their own.
+    The tokenizer always starts a new word there, so the chunks can be encoded on their own. A chunk is given
+    without the space before it; one at the beginning of the text, which has none, is marked by FIRST.
     """
     parts = text.split(" ")
-    if not _DOUBLE_SPACE.search(text):
-        words = [parts[0], *[" " + p for p in parts[1:]]]
-    else:
+    if any(p in text for p in _ASCII_PAIRS) if text.isascii() else _DOUBLE_SPACE.search(text):
         words = [parts[0]]
         for p in parts[1:]:
             if p and not p[0].isspace() and words[-1] and not words[-1][-1].isspace():
-                words.append(" " + p)
+                words.append(p)
             else:
                 words[-1] += " " + p
-    return [w for w in words if w]
+        parts = words
+    elif len(parts) > 1 and not parts[-1]:
+        parts[-2:] = [parts[-2] + " "]
+    if parts[0]:
+        parts[0] = FIRST + parts[0]
+        return parts
+    return parts[1:]
+
+
+def spelt(chunk: str) -> str:
+    """The text of a chunk."""
+    return chunk[1:] if chunk.startswith(FIRST) else " " + chunk
+
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary spells each byte: printable ones stand for themselves."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-def _new_words(tokenizer):
-    """Ids of words by the tokenizers library, one call for all of them."""
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        owner = np.array(found.word_ids, np.int64)
-        return np.array(found.ids, np.int32), np.bincount(owner, minlength=len(words))
+def _new_words(tokenizer, special: tuple[str, ...] = ()):
+    """Ids of chunks by the tokenizers library.
+
+    Chunks in known letters are cut into words here and go to the library's model; the others, and those that
+    hold a special token, are cut by the library too.
+    """
+    tokenize, letters, marks = tokenizer.model.tokenize, _byte_letters(), {}
+    space, plain = letters[ord(" ")], not any(t.isalpha() for t in special)
+
+    def of(piece: str) -> list[int]:
+        if piece in marks:
+            return marks[piece]
+        as_bytes = piece if piece.isascii() else piece.encode().decode("latin-1")
+        ids = [t.id for t in tokenize(as_bytes.translate(letters))]
+        if len(piece) == 1:
+            marks[piece] = ids
+        return ids
+
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found: list[list[int]] = []
+        rest = []
+        for i, c in enumerate(chunks):
+            if plain and c.isascii() and c.isalpha():
+                found.append([t.id for t in tokenize(space + c)])
+            else:
+                rest.append(i)
+                found.append([])
+        texts = [spelt(chunks[i]) for i in rest]
+        whole = "\n".join(texts)
+        held = [t for t in special if t in whole]
+        odd = []
+        for i, text in zip(rest, texts):
+            if _KNOWN.fullmatch(text) and not any(t in text for t in held):
+                for w in _WORD.findall(text):
+                    found[i] += of(w)
+            else:
+                odd.append(i)
+        if odd:
+            by_library = tokenizer.encode([spelt(chunks[i]) for i in odd], is_pretokenized=True, add_special_tokens=False)
+            for word, x in zip(by_library.word_ids, by_library.ids):
+                found[odd[word]].append(x)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
 
     return encode
 
@@ -110,16 +178,19 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = f.read()
-    special = [t["content"] for t in json.loads(vocabulary).get("added_tokens", [])]
+    special = tuple(t["content"] for t in json.loads(vocabulary).get("added_tokens", []))
     if any(c.isspace() for t in special for c in t):
         raise ValueError("special tokens with white space would lie across words")
+    key = "tokenizers " + hashlib.sha256(vocabulary.encode()).hexdigest()
     vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary)
     folder = folder or shared_uri(docs.sparkSession, "tokens")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
 
-        store = WordStore(_new_words(Tokenizer.from_str(vocabulary.value)))
+        # Words and ids are many small objects without cycles; looking for cycles among them takes long.
+        gc.disable()
+        store = worker_store(key, lambda: _new_words(Tokenizer.from_str(vocabulary.value), special), _STORED_CHUNKS)
         end = np.array([end_id], np.int32)
         writer, part = None, TaskContext.get().partitionId()
         uri = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.s8b"
@@ -140,6 +211,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "file": uri, "part": part, "first": first, "n_tokens": counts})
         if writer:
             writer.close()
+        gc.enable()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_of().alias("text"), row_key().alias("row_key"))
@@ -227,4 +299,4 @@ def document_starts(index: DataFrame, rows: DataFrame) -> DataFrame:
         starts.append((r["part"], before))
         before += r["n"]
     offsets = index.sparkSession.createDataFrame(starts, "part int, before long")
-    return rows.join(offsets, "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
+    return rows.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("first")).drop("before")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from itertools import islice
+from types import ModuleType
 
 import numpy as np
 
@@ -20,28 +23,53 @@ class _Numbers(dict):
 class WordStore:
     """Ids of the words seen so far. ``encode`` gives the ids of new words, one after another, and their counts.
 
-    Starts anew once it holds more than ``limit`` words, so its size is bounded.
+    Once it holds more than ``limit`` words it lets go of those seen only once, or of all if that isn't half
+    of them, so its size is bounded.
     """
 
-    def __init__(self, encode: Encoder, limit: int = 300_000):
+    def __init__(self, encode: Encoder, limit: int = 600_000):
         self.encode, self.limit = encode, limit
-        self._clear()
-
-    def _clear(self) -> None:
         self.number = _Numbers()
-        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.start, self.size, self.seen = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat = np.zeros(0, np.int32)
+
+    def _ahead(self, at: np.ndarray) -> np.ndarray:
+        """Where the ids of words number ``at`` lie, one word after another."""
+        size = self.size[at]
+        before = self.start[at] - (np.cumsum(size) - size)
+        return np.repeat(before.astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)
+
+    def _let_go(self) -> None:
+        stay = np.flatnonzero(self.seen > 1)
+        if len(stay) > self.limit // 2:
+            stay = stay[:0]
+        names = np.array(list(self.number), object)[stay].tolist()
+        self.flat, self.size = self.flat[self._ahead(stay)], self.size[stay]
+        self.start, self.seen = np.cumsum(self.size) - self.size, np.zeros(len(stay), np.int64)
+        self.number = _Numbers(zip(names, range(len(names))))
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and the count of each word."""
         if len(self.number) > self.limit:
-            self._clear()
+            self._let_go()
         known = len(self.number)
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         if len(self.number) > known:
-            flat, size = self.encode(list(self.number)[known:])
+            flat, size = self.encode(list(islice(self.number, known, None)))
             self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
             self.flat = np.concatenate((self.flat, flat))
-        size = self.size[at]
-        ahead = np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return self.flat[ahead], size
+            self.seen = np.concatenate((self.seen, np.zeros(len(size), np.int64)))
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        return self.flat[self._ahead(at)], self.size[at]
+
+
+def worker_store(key: str, encode: Callable[[], Encoder], limit: int = 600_000) -> WordStore:
+    """The store of this worker process under ``key``, which its tasks use one after another.
+
+    Functions sent by value have no lasting globals, so it is kept in a module of its own.
+    """
+    stores = vars(sys.modules.setdefault("_tarnseek_word_stores", ModuleType("_tarnseek_word_stores")))
+    if key not in stores:
+        stores[key] = WordStore(encode(), limit)
+    return stores[key]

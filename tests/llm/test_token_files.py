@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ from tokenizers import Tokenizer
 
 from tarnseek.llm import simple8b, token_files
 from tarnseek.llm.registered import QUERIES
+from tarnseek.llm.wordstore import WordStore
 from tests.compare import TESTDATA
 from tests.llm.helpers import awkward, empty, rows_of
 
@@ -53,14 +55,31 @@ def test_words_hold_as_many_values_as_fit():
     assert len(simple8b.pack(np.full(8, 40_000, np.uint64))[0]) == 3
 
 
-@pytest.mark.parametrize("text", ["a b", " a  b", "a \nb", "a\n b", "it's  don't ", "x <|endoftext|> y", "\x1c a\x1c b", "   ", "é 中　文   x", "1 2  3!? ... "])
+@pytest.mark.parametrize("text", ["a b", " a  b", "a \nb", "a\n b", "it's  don't ", "x <|endoftext|> y", "\x1c a\x1c b", "   ", "é 中　文   x", "1 2  3!? ... ", "", " ", "a ", " a", "x\x1f y\x85z \xa0q", "l'été n'a 'Tis they'll", "½ ² ª º µ x", "a\n\nb \r\n c"])
 def test_chunks_give_the_ids_of_the_text(text):
     chunks = token_files.chunks_of(text)
-    assert "".join(chunks) == text
-    ids, size = token_files._new_words(LIBRARY)(chunks)
+    assert "".join(token_files.spelt(c) for c in chunks) == text
+    ids, size = token_files._new_words(LIBRARY, ("<|endoftext|>",))(chunks)
     assert ids.tolist() == ids_of(text)[:-1] and size.sum() == len(ids)
 
 
+def test_random_texts():
+    rng = random.Random(5)
+    new = token_files._new_words(LIBRARY, ("<|endoftext|>",))
+    for _ in range(3000):
+        text = "".join(rng.choice("ab Éñ\n\t '.,!12 sx\x00\x1e\xa0中ß<|>\U0001f600") for _ in range(rng.randrange(25)))
+        chunks = token_files.chunks_of(text)
+        assert new(chunks)[0].tolist() == ids_of(text)[:-1], repr(text)
+
+
+def test_store_lets_go_of_rare_words():
+    store = WordStore(token_files._new_words(LIBRARY), limit=5)
+    for i in range(30):
+        words = ["the", "of", f"w{i}", f"x{i}", "the"]
+        assert store.ids(words)[0].tolist() == [j for w in words for j in ids_of(" " + w)[:-1]]
+        assert len(store.number) <= 9
+
+
 def test_awkward_rows(spark, tmp_path):
     df = awkward(spark)
     index = token_files.write_tokens(df, PATH, folder=f"file://{tmp_path}")
