@@ -1,18 +1,17 @@
 """Chat formatting: tool calls linked to their results, put in order, checked and written as canonical JSON.
 
-Calls and results meet in a hash join on (conversation, call id). Calls of earlier turns come first
-anyway; within a turn a call stands after those that it builds on: levels are worked out round by round,
-each a join of the calls that still wait, so there are as many rounds as one turn's longest chain has
-calls, however long conversations are. Nothing is collected per conversation; rows carry the numbers
-that put it in order.
+Calls and results meet in a hash join on (conversation, call id). A call stands after those that
+it builds on, in whatever turn: levels are worked out by pointer doubling over the calls that still wait, so a
+chain along a long conversation takes few rounds. Nothing is collected per conversation; rows carry the
+numbers that put a conversation in order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnseek.llm.common import written
+from tarnseek.llm.common import shared_folder, written
 
 #: Columns of an event table. kind is message, call or result; arguments is JSON text; after names calls of the conversation.
 EVENT = "conv_id, turn, part, kind, role, call_id, name, arguments, after, content"
@@ -43,36 +42,24 @@ def events_of(conversations: DataFrame) -> DataFrame:
 
 
 def turns_as_calls(conversations: DataFrame) -> DataFrame:
-    """Events of plain conversations: a user's turn calls the tools ``search`` and ``answer``, the turn after it is the answer's result.
+    """Events of plain conversations: a user's turn is a call of the tool ``answer``, the turn after it its result.
 
-    The answer builds on the search, which stands behind it in the turn. System turns are messages.
+    Each call builds on the one two turns before, if there is one. System turns are messages.
     """
     turn, user = F.col("turn").cast("long"), F.col("role") == "user"
     kind = F.when(user, "call").when(F.col("role") == "assistant", "result").otherwise("message")
-    asked = F.when(user, turn).when(kind == "result", turn - 1).cast("string")
-    nothing = F.lit(None).cast("string")
-
-    def call(id_: Column, name: Column, arguments: Column, after: Column) -> Column:
-        return F.struct(id_.alias("call_id"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))
-
-    answer = F.to_json(F.struct(F.col("text").alias("prompt"), turn.alias("turn")))
-    search = F.to_json(F.struct(F.lit(3).alias("limit"), F.col("text").alias("query")))
-    none = F.lit(None).cast("array<string>")
-    own = F.when(
-        user,
-        F.array(
-            call(F.concat(F.lit("a"), asked), F.lit("answer"), answer, F.array(F.concat(F.lit("s"), asked))),
-            call(F.concat(F.lit("s"), asked), F.lit("search"), search, none),
-        ),
-    ).otherwise(F.array(call(F.concat(F.lit("a"), asked), nothing, nothing, none)))
-    rows = conversations.select("conv_id", turn.alias("turn"), kind.alias("kind"), "role", F.when(~user, F.col("text")).alias("content"), F.posexplode(own).alias("part", "c"))
-    return rows.select("conv_id", "turn", "part", "kind", "role", "c.call_id", "c.name", "c.arguments", "c.after", "content")
-
-
-TURN_TOOLS = {
-    "answer": {"properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["prompt", "turn"], "additionalProperties": False},
-    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
-}
+    asked = F.when(user, turn).when(kind == "result", turn - 1)
+    return conversations.select(
+        "conv_id", turn.alias("turn"), F.lit(0).alias("part"), kind.alias("kind"), "role",
+        F.concat(F.lit("c"), asked.cast("string")).alias("call_id"),
+        F.when(user, "answer").alias("name"),
+        F.when(user, F.to_json(F.struct(F.col("text").alias("prompt"), turn.alias("turn")))).alias("arguments"),
+        F.when(user, F.array(F.concat(F.lit("c"), (turn - 2).cast("string")))).alias("after"),
+        F.when(~user, F.col("text")).alias("content"),
+    )
+
+
+ANSWER_TOOL = {"answer": {"properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["prompt", "turn"], "additionalProperties": False}}
 
 #: How a JSON type shows in the schema of a parsed value.
 _SHOWS = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DECIMAL.*|DOUBLE|FLOAT)", "boolean": "BOOLEAN", "object": "OBJECT<.*", "array": "ARRAY<.*", "null": "VOID"}
@@ -108,28 +95,51 @@ def valid_arguments(tools: dict[str, dict], name: Column, arguments: Column) ->
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls: 0 for those that build on no other of their turn, else one more than the highest of these.
+    """(conv_id, call_id, level) of the calls: 0 for those that build on no other, else one more than the highest they build on.
 
-    Calls in a circle, and those that build on one, are left out.
+    Calls in a circle, and those that build on one, are left out. A call that has one edge left hands it on to the
+    calls that build on it, so edges double their reach each round: chains and trees take as many rounds as their
+    depth has binary digits. Calls that join several others wait for all of these. A round without a new level
+    leaves circles alone.
+    """
+    key, target = ["conv_id", "call_id"], ["conv_id", "before"]
+    named = calls.select(*key, F.explode(F.array_distinct("after")).alias("before"))
+    edges = named.join(calls.select("conv_id", F.col("call_id").alias("before")), target, "left_semi")
+    sources = calls.select(*key).join(edges, key, "left_anti").select(*key, F.lit(None).cast("string").alias("before"), F.lit(0).cast("long").alias("steps"))
+    folder, n = shared_folder(calls.sparkSession, "call-levels"), 0
+    now = _round(edges.select(*key, "before", F.lit(1).cast("long").alias("steps")).unionByName(sources), f"{folder}/round=0")
+    while all(now.agg(F.count_if(F.col("open") == 0), F.count_if(F.col("open") > 0)).first()):
+        n += 1
+        settled = now.where("open = 0").select("conv_id", F.col("call_id").alias("before"), F.col("steps").alias("more"))
+        waiting = now.where("open > 0")
+        one = waiting.where("open = 1 and edges = 1").select(*key, "before", "steps").join(settled, target, "left")
+        one = one.select(
+            "conv_id", F.col("call_id").alias("before"), F.when(F.col("more").isNull(), F.col("before")).alias("next"),
+            _added("steps", "more").alias("more"),
+        )
+        handed = one.unionByName(settled.withColumn("next", F.lit(None).cast("string")))
+        ahead = waiting.where("before is not null").join(handed, target, "left")
+        ahead = ahead.select(*key, F.when(F.col("more").isNull(), F.col("before")).otherwise(F.col("next")).alias("before"), _added("steps", "more").alias("steps"))
+        now = _round(ahead.unionByName(waiting.where("before is null").select(*key, "before", "steps")), f"{folder}/round={n}")
+    done = now.sparkSession.read.schema(now.schema).parquet(folder)
+    return done.where("open = 0").select(*key, F.col("steps").alias("level"))
+
+
+def _added(steps: str, more: str) -> Column:
+    """The sum; kept from running over in circles, where it would double without end."""
+    return F.least(F.col(steps) + F.coalesce(F.col(more), F.lit(0)), F.lit(2**61))
+
+
+def _round(edges: DataFrame, path: str) -> DataFrame:
+    """The longest edge from each call to each call before it, written, with how many edges a call has and how many are open.
+
+    The target of an edge is null where it ends at a call that builds on nothing: a call that has no other has its level.
     """
-    calls = calls.select("conv_id", F.col("call_at.turn").alias("at"), "call_id", "after")
-    edges = calls.select("conv_id", "at", "call_id", F.explode(F.array_distinct("after")).alias("before"))
-    known = calls.select("conv_id", "at", F.col("call_id").alias("before"))
-    waiting = written(edges.join(known, ["conv_id", "at", "before"], "left_semi"), "call-edges")
-    key = ["conv_id", "call_id"]
-    done = written(calls.select(*key).join(waiting, key, "left_anti").withColumn("level", F.lit(0)), "call-levels")
-    left = waiting.count()
-    while left:
-        of = done.withColumnsRenamed({"call_id": "before", "level": "l"})
-        ready = waiting.join(of, ["conv_id", "before"], "left").groupBy(*key)
-        ready = ready.agg(F.count("*").alias("n"), F.count("l").alias("known"), (F.max("l") + 1).alias("level")).where("n = known")
-        new = written(ready.select(*key, "level"), "call-levels")
-        waiting = written(waiting.join(new, key, "left_anti"), "call-edges")
-        left, before = waiting.count(), left
-        if left == before:
-            break
-        done = done.unionByName(new)
-    return done
+    own = Window.partitionBy("conv_id", "call_id")
+    longest = edges.repartition("conv_id", "call_id").groupBy("conv_id", "call_id", "before").agg(F.max("steps").alias("steps"))
+    counted = longest.select("*", F.count("*").over(own).alias("edges"), F.count("before").over(own).alias("open"))
+    counted.write.parquet(path)
+    return counted.sparkSession.read.schema(counted.schema).parquet(path)
 
 
 def link(events: DataFrame, tools: dict[str, dict]) -> DataFrame:
@@ -138,8 +148,9 @@ def link(events: DataFrame, tools: dict[str, dict]) -> DataFrame:
     The first call of an id in a conversation, by turn and part, is the one that counts, and the first result after it.
     status of a call: linked, unanswered, duplicate (a later one of the id), or circular; of a result: linked, extra (a later
     one) or orphan (no call, or it comes before the call); of a message: message. Ids or conversations that are null never
-    link. ``after`` may name calls that aren't there or come in a later turn; these don't count. In order of (block, level,
-    step, turn, part) a conversation has every result after its call and every call after those it builds on.
+    link. ``after`` may name calls of any turn of the conversation; names of calls that aren't there don't count. A level is
+    above those of all calls that the call builds on, later turns' calls among them. In order of (block, level, step, turn, part) a
+    conversation has every result after its call and every call after those of the same and earlier turns that it builds on.
     json has sorted keys, no white space, and no null members; arguments that aren't JSON stay as a string.
     Repeated rows stay repeated. An empty table gives an empty one.
     """

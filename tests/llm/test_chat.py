@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -64,6 +65,33 @@ def test_long_chain_of_calls(spark):
     assert {r["call_id"]: r["level"] for r in out.collect()} == {f"c{i}": i for i in range(6)}
 
 
+def test_circle_over_turns(spark):
+    def one(turn, i, after):
+        return (1, turn, "assistant", calls((i, "find", {"q": "x"}, after)))
+
+    turns = [one(1, "a", ["b"]), one(3, "b", ["a"]), one(5, "on", ["b"]), one(6, "p", ["r"]), one(7, "q", ["p"]), one(8, "r", ["q"]), one(9, "self", ["self", "free"])]
+    turns += [one(10, "free", None), one(11, "both", ["free", "a"]), one(0, "ahead", ["late"]), one(12, "late", ["free"]), (1, 13, "tool", result("a", "A"))]
+    got = {r["call_id"]: (r["status"], r["level"]) for r in linked(spark, turns).collect() if r["kind"] == "call"}
+    circular = {i: ("circular", 0) for i in ("a", "b", "on", "p", "q", "r", "self", "both")}
+    assert got == circular | {"free": ("unanswered", 0), "late": ("unanswered", 1), "ahead": ("unanswered", 2)}
+
+
+def test_levels_of_any_shape_over_turns(spark):
+    """Chains, trees and joins over turns, against plain Python; 80 calls in a chain take few rounds."""
+    rng = random.Random(7)
+    shapes = {1: {i: [i - 1] if i else [] for i in range(80)}, 2: {i: [j for j in (i - 1, i - 2, i // 2) if 0 <= j < i] for i in range(12)}}
+    shapes |= {c: {i: rng.sample(range(14), rng.choice([0, 1, 1, 1, 2, 3])) for i in range(14)} for c in range(3, 40)}
+    turns = [(c, i, "assistant", calls((f"c{i}", "find", {"q": "x"}, [f"c{j}" for j in before]))) for c, shape in shapes.items() for i, before in shape.items()]
+    expected = {}
+    for c, shape in shapes.items():
+        level = {}
+        for _ in shape:
+            level |= {i: 1 + max((level[j] for j in before), default=-1) for i, before in shape.items() if all(j in level for j in before)}
+        expected |= {(c, f"c{i}"): ("unanswered", level[i]) if i in level else ("circular", 0) for i in shape}
+    assert {s for s, _ in expected.values()} == {"unanswered", "circular"}
+    assert {(r["conv_id"], r["call_id"]): (r["status"], r["level"]) for r in linked(spark, turns).collect()} == expected
+
+
 @pytest.mark.parametrize(
     "name, arguments, valid",
     [
