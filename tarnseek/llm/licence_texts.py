@@ -1,4 +1,12 @@
-"""Known licences: their published texts and the notices that name them. Fixed values, in plain order."""
+"""Known licences: their published texts and the notices that name them. Fixed values, in plain order.
+
+Long texts, and those that are published in several wordings, are files of the folder known_licences: NAME_N.txt.
+"""
+
+from __future__ import annotations
+
+import re
+from importlib.resources import files
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -67,27 +75,81 @@ required.
 3. This notice may not be removed or altered from any source distribution.
 """
 
+_ADDRESS = re.compile(r"51 Franklin Street, Fifth Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA")
+_ADDRESSES = ["59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA"]
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _wordings(text: str) -> list[str]:
+    """A published text, without what follows its terms, with filled-in copyright lines, and with former addresses."""
+    out = [text]
+    if _END in text:
+        terms = text[: text.index(_END)]
+        out += [terms, terms + _END]
+    out += [re.sub(r"Copyright [\[{]yyyy[\]}] [\[{]name of copyright owner[\]}]", "", t) for t in out]
+    out += [t.replace("GNU Lesser General\nPublic License instead", "GNU Library General\nPublic License instead") for t in out]
+    out += [_ADDRESS.sub(a, t) for t in out for a in _ADDRESSES]
+    return list(dict.fromkeys(out))
+
+
+def _filed() -> dict[str, list[str]]:
+    found: dict[str, list[str]] = {}
+    for f in sorted(files("tarnseek.llm").joinpath("known_licences").iterdir(), key=lambda f: f.name):
+        if f.name.endswith(".txt"):
+            found.setdefault(f.name.rpartition("_")[0], []).extend(_wordings(f.read_text(encoding="utf-8")))
+    return found
+
+
+#: Heading lines that may stand before a text; each makes a text of its own.
+_HEADINGS: dict[str, list[str]] = {
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License", "The zlib License"],
+}
+
+_PLAIN: dict[str, list[str]] = {"0BSD": [ZERO_BSD], "BSD-2-Clause": [BSD_2], "ISC": [ISC], "MIT": [MIT], "Zlib": [ZLIB]} | _filed()
+
 #: Whole licence texts by their usual short name. A heading line before the text makes a text of its own.
 TEXTS: dict[str, list[str]] = {
-    "0BSD": [ZERO_BSD, "Zero-Clause BSD\n\n" + ZERO_BSD],
-    "BSD-2-Clause": [BSD_2, "BSD 2-Clause License\n\n" + BSD_2],
-    "ISC": [ISC, "ISC License\n\n" + ISC],
-    "MIT": [MIT, "MIT License\n\n" + MIT, "The MIT License\n\n" + MIT, "The MIT License (MIT)\n\n" + MIT],
-    "Zlib": [ZLIB, "zlib License\n\n" + ZLIB],
+    name: [*texts, *[f"{h}\n\n{t}" for h in _HEADINGS.get(name, []) for t in texts]] for name, texts in sorted(_PLAIN.items())
 }
 
-#: One-line notices that put a text under a licence.
-NOTICES: dict[str, list[str]] = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+#: Names after SPDX-License-Identifier, where they aren't the short name alone.
+_SPDX = {n: [f"{n}-only", f"{n}-or-later", n, f"{n}+"] for n in ("AGPL-3.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0")}
+
+_SENTENCES: dict[str, list[str]] = {
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License");',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'to you under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance',
+        'to you under the Apache License, Version 2.0 (the',
+    ],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "all-rights-reserved": ["All rights reserved."],
 }
 
+#: One-line notices that put a text under a licence.
+NOTICES: dict[str, list[str]] = {
+    name: [*_SENTENCES.get(name, []), *[f"SPDX-License-Identifier: {i}" for i in _SPDX.get(name, [] if name == "all-rights-reserved" else [name])]]
+    for name in sorted({*TEXTS, *_SENTENCES, *_SPDX})
+}
+
 #: Spellings that mean the same, after all but letters and digits have become single spaces.
 EQUIVALENTS: list[tuple[str, str]] = [
     ("acknowledgement", "acknowledgment"),

@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 from tarnseek.llm.common import ascii_lower, row_key, text_of
 from tarnseek.llm.licence_texts import EQUIVALENTS, NOTICES, TEXTS
 
+_LEAD = r"[ \t#*/;-]*"
+_RIGHTS = _LEAD + r"all rights reserved[ \t\r.*/]*"
 #: A line that only says who holds the copyright, with the line break before it. It needs a year or a mark, so that a sentence about copyright stays.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)|©)[^\n]*"
+#: A line beside it that only reserves all rights goes with it.
+COPYRIGHT_LINE = (
+    rf"(^|\n)({_RIGHTS}\n)?{_LEAD}(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)|©)[^\n]*"
+    rf"(\n([ \t\r#*/;-]*\n)?{_RIGHTS}(?m:$))?"
+)
 
 
 def canonical(text: Column) -> Column:
@@ -30,20 +36,29 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark: SparkSession, texts: dict[str, list[str]] = TEXTS, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+#: Known texts: lists by name, or a table with the string columns name and text.
+Known = dict[str, list[str]] | DataFrame
+
+
+def _table(spark: SparkSession, given: Known) -> DataFrame:
+    if isinstance(given, DataFrame):
+        return given.select("name", "text")
+    return spark.createDataFrame([(name, t) for name, all_ in given.items() for t in all_], "name string, text string")
+
+
+def known(spark: SparkSession, texts: Known = TEXTS, notices: Known = NOTICES) -> DataFrame:
     """(digest, licence, notice) of the known texts; one row per digest, of equal texts the first name."""
-    rows = [(t, name, False) for name, all_ in texts.items() for t in all_] + [(t, name, True) for name, all_ in notices.items() for t in all_]
-    table = spark.createDataFrame(rows, "t string, licence string, notice boolean")
-    table = table.select(digest(F.col("t")).alias("digest"), "licence", "notice")
+    both = [_table(spark, given).withColumn("notice", F.lit(notice)) for given, notice in ((texts, False), (notices, True))]
+    table = both[0].unionByName(both[1]).select(digest(F.col("text")).alias("digest"), F.col("name").alias("licence"), "notice")
     return table.groupBy("digest", "notice").agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, texts: dict[str, list[str]] = TEXTS, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, texts: Known = TEXTS, notices: Known = NOTICES) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_key, licence, notices and n_notices.
 
     licence is that of which the whole text is a copy, or null; notices are the sorted names of licences that some line
     names, and n_notices counts such lines. Null and empty texts have none. Rows with equal id and text get equal
-    results. Other columns aren't read. The known texts are a fixed list that the caller gives, so they are broadcast.
+    results. Other columns aren't read. Known texts given as lists are broadcast; the join to tables of them is left to the planner.
     """
     text = text_of()
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[A-Za-z]"))
@@ -52,7 +67,10 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] = TEXTS, notices: dict[str
         F.transform(lines, lambda x: F.struct(F.lit(True).alias("notice"), digest(x).alias("digest"))),
     )
     rows = docs.select("doc_id", row_key().alias("row_key"), F.explode(units).alias("u")).select("doc_id", "row_key", "u.*")
-    found = rows.join(F.broadcast(known(docs.sparkSession, texts, notices)), ["digest", "notice"], "left")
+    by_digest = known(docs.sparkSession, texts, notices)
+    if not isinstance(texts, DataFrame) and not isinstance(notices, DataFrame):
+        by_digest = F.broadcast(by_digest)
+    found = rows.join(by_digest, ["digest", "notice"], "left")
     is_whole, name = ~F.col("notice"), F.col("licence")
     found = found.groupBy("doc_id", "row_key").agg(
         F.count(F.when(is_whole, 1)).alias("rows"),

@@ -45,6 +45,26 @@ def test_equivalent_texts_and_others(spark):
     assert got[4] == (None, ["all-rights-reserved"], 2) and got[5] == got[6] == (None, [], 0)
 
 
+def test_common_licences_and_headers(spark):
+    """Texts of other layout than the known ones; the older BSD header; header lines and SPDX forms; a table of one's own."""
+    bsd_3 = BSD_2.replace(
+        "THIS SOFTWARE IS", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products\nderived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS"
+    )
+    whole = {n: TEXTS[n][0] for n in ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")}
+    texts = ["Copyright (c) 1998, X\r\nAll rights reserved.\r\n\r\n" + BSD_2, "All rights reserved.\n(c) 1998 X\n\n" + BSD_2, bsd_3]
+    texts += ["BSD 3-Clause License\n\nCopyright (c) 2001 A\nCopyright (c) 2002 B\n\n  All rights reserved\n\n" + bsd_3]
+    texts += [t.replace("\n", "\r\n  ") for t in whole.values()]
+    texts += [whole["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Some One"), whole["GPL-2.0"].split("How to Apply")[0]]
+    got = scanned(docs_of(spark, texts))
+    assert [got[i][0] for i in range(len(texts))] == ["BSD-2-Clause"] * 2 + ["BSD-3-Clause"] * 2 + list(whole) + ["Apache-2.0", "GPL-2.0"]
+    lines = ['# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not', "// SPDX-License-Identifier: GPL-2.0-or-later", "/* SPDX-License-Identifier: BSD-3-Clause */"]
+    got = scanned(docs_of(spark, lines))
+    assert [got[i][1] for i in range(3)] == [["Apache-2.0"], ["GPL-2.0"], ["BSD-3-Clause"]]
+    mine = spark.createDataFrame([("mine", "do what you like")], "name string, text string")
+    found = {r["doc_id"]: r["licence"] for r in licences.scan(docs_of(spark, ["Do what you like!", MIT]), mine).collect()}
+    assert found == {0: "mine", 1: None}
+
+
 def test_copyright_lines_only(spark):
     texts = ["Copyright 2020 X", "a\nCopyright (C) X\nb", "copyright law is hard", "(c) X\n© Y\nz"]
     rows = docs_of(spark, texts).orderBy("doc_id").select(licences.canonical(F.col("text"))).collect()
