@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def fetch_records(hits: DataFrame, records: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -17,10 +18,12 @@ def fetch_records(hits: DataFrame, records: DataFrame, on: Sequence[str]) -> Dat
 
 
 def latest_records(records: DataFrame, on: Sequence[str], version: str) -> DataFrame:
-    """The newest version of each record of a log that keeps old ones.
+    """The newest version of each record of a log that keeps old ones: one row per key.
 
-    The newest version number per key is a hash aggregate over the keys alone; values
-    are read by the join. Rows that share key and newest version are all kept.
+    Keys with null parts are keys like any other, and a null version is older than all others. Of rows that share key and
+    newest version, as in a log that was replayed, the least by all columns that have an order stays. Each task keeps one
+    row per key before the shuffle.
     """
-    newest = records.groupBy(*on).agg(F.max(version).alias(version))
-    return records.join(newest, [*on, version], "left_semi")
+    ties = [F.col(f"`{f.name}`") for f in records.schema.fields if not re.search(r"\b(map<|variant\b)", f.dataType.simpleString())]
+    newest = Window.partitionBy(*on).orderBy(F.col(version).desc_nulls_last(), *ties)
+    return records.withColumn("_tsk_n", F.row_number().over(newest)).where("_tsk_n = 1").drop("_tsk_n")

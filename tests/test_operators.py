@@ -376,3 +376,12 @@ def test_lookup_leaves_out_lost_records(spark):
     found = fetch_records(hits, current, ["_name", "_key"])
     assert sorted((r["_name"], r["value"]) for r in found.collect()) == [("a", "new"), ("b", "x")]
     assert "Broadcast" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_latest_of_nulls_and_of_a_replayed_log(spark):
+    rows = [("a", "1", "x", 2, {}), ("a", "1", "w", 2, {}), ("a", "1", "x", 2, {}), ("a", "1", "old", 1, {}), ("a", None, "null", 3, {}), ("a", None, "older", None, {})]
+    rows += [("b", "1", "no version", None, {}), ("b", "1", "no version", None, {}), (None, None, "none", 1, {})]
+    records = spark.createDataFrame(rows, "_name string, _key string, value string, v int, m map<string, string>")
+    for again in (records, records.repartition(7)):
+        got = latest_records(again, ["_name", "_key"], "v").select("_name", "_key", "value", "v").collect()
+        assert sorted(map(tuple, got), key=str) == sorted([("a", "1", "w", 2), ("a", None, "null", 3), ("b", "1", "no version", None), (None, None, "none", 1)], key=str)
