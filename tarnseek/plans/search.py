@@ -47,7 +47,9 @@ class SearchResult:
         return self.rows.select(result_json(self.rows.columns).alias("json"))
 
     def envelope(self) -> str:
-        """The whole answer as one JSON text, held by the driver. ``json_rows()`` can be written instead, whatever its size."""
+        """A page as one JSON text, held by the driver. Answers without a size, groups among them, go through ``write_answer``."""
+        if self.page_size is None:
+            raise TarnseekError("the answer has no page size, so the driver can't hold it; use write_answer(path)")
         answer = {
             "total": self.total,
             "results": [json.loads(r["json"]) for r in self.json_rows().collect()],
@@ -57,6 +59,15 @@ class SearchResult:
             answer["key"] = self.snapshot
         return json.dumps(answer, ensure_ascii=False)
 
+    def write_answer(self, path: str) -> None:
+        """The whole answer, whatever its size, written by the executors to a new folder.
+
+        ``results`` has one JSON text per row, in order of the part files; ``total`` has one row with total, success and key.
+        """
+        key = [] if self.snapshot is None else [F.lit(self.snapshot).alias("key")]
+        self.json_rows().write.text(f"{path}/results")
+        self.counted.select("total", F.lit(True).alias("success"), *key).write.json(f"{path}/total")
+
 
 def search_view(
     view: TableView,

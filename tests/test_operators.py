@@ -271,6 +271,21 @@ def test_envelope(view):
     )
 
 
+def test_whole_answers_are_written(view, tmp_path):
+    """Without a size nothing whole passes through the driver."""
+    whole = search_view(view, Compare("id", ">", 0), ["id"], ["id desc"], size=None, snapshot=7)
+    groups = search_view(view, group_by="city")
+    for found, name in ((whole, "whole"), (groups, "groups")):
+        with pytest.raises(TarnseekError, match="write_answer"):
+            found.envelope()
+        found.write_answer(f"{tmp_path}/{name}")
+    lines = [x for f in sorted((tmp_path / "whole" / "results").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == [f'{{"id":{i}}}' for i in (5, 4, 3, 2, 1)]
+    total = [x for f in (tmp_path / "whole" / "total").glob("part-*") for x in f.read_text().splitlines()]
+    assert total == ['{"total":5,"success":true,"key":7}']
+    assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "groups" / "results").glob("part-*")) == 4
+
+
 # --- groups ------------------------------------------------------------------------
 def test_count_name():
     assert count_name([]) == "count"
