@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnseek.llm import chat, decontamination, licences, line_spread, pieces, quality, simhash, token_files, toxicity, warc
+from tarnseek.llm import chat, decontamination, licences, line_spread, pieces, quality, simhash, spelling, token_files, toxicity, warc
 from tarnseek.llm.licence_texts import EQUIVALENTS, NOTICES, TEXTS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent long words of all documents, with the usual form that each is a slip of.
+
+    In the occurrences that the contract names, a letter is left out: those of a run in a document whose checksum 199 divides.
+    """
+    runs = spelling.runs_of(_table(spark, sf_dir, "documents"))
+    h = F.crc32(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")), "utf-8"))
+    at = (h % F.char_length("run")).cast("int")
+    shorter = F.concat(F.left("run", at), F.substring("run", at + 2, F.char_length("run")))
+    return spelling.variants(spelling.vocabulary(F.when(h % 199 == 0, shorter).otherwise(F.col("run")), runs))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -106,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _ITEM_WORDS = r"""[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
