@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnseek.llm import chat, decontamination, licences, line_spread, pieces, quality, simhash, spelling, token_files, toxicity, warc
+from tarnseek.llm import chat, decontamination, licences, line_spread, periodic, pieces, quality, simhash, spelling, token_files, toxicity, warc
+from tarnseek.llm.common import let, text_of
 from tarnseek.llm.licence_texts import EQUIVALENTS, NOTICES, TEXTS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +96,35 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of each document, the one of greatest exponent, and digests of all runs and of the collapsed text.
+
+    In the documents that the contract names, the words from some place on are first made periodic.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8"))
+    words = F.regexp_extract_all(text_of(), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def made_periodic(x):
+        n = F.size(x["w"])
+        a = F.pmod(x["g"], n)
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + x["g"] % 8))
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, x["w"][i]).otherwise(x["w"][(a + (i - a) % p).cast("int")]))
+        return F.when(n > 0, F.array_join(places, " ")).otherwise("")
+
+    text = F.when(h % 10 == 0, let(F.struct(words.alias("w"), F.floor(h / 10).cast("long").alias("g")), made_periodic)).otherwise(F.col("text"))
+    rows = periodic.collapse(docs.select("doc_id", text.alias("text")))
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    best = F.reduce("runs", none, lambda b, x: F.when(b.isNull() | (x["length"] * b["period"] > b["length"] * x["period"]), x).otherwise(b))
+    listed = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n"))), "")
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), listed.alias("listed"), "collapsed")
+    return rows.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.encode("listed", "utf-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent long words of all documents, with the usual form that each is a slip of.
 
@@ -118,6 +148,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
