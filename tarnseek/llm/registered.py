@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnseek.llm import chat, decontamination, licences, line_spread, periodic, pieces, quality, simhash, spelling, token_files, toxicity, warc
+from tarnseek.llm import chat, decontamination, embedding_graph, licences, line_spread, periodic, pieces, quality, simhash, spelling, token_files, toxicity, warc
 from tarnseek.llm.common import let, text_of
 from tarnseek.llm.licence_texts import EQUIVALENTS, NOTICES, TEXTS
 
@@ -125,6 +125,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate class of each vector."""
+    return embedding_graph.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent long words of all documents, with the usual form that each is a slip of.
 
@@ -149,6 +154,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
