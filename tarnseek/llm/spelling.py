@@ -6,7 +6,8 @@ far (a letter replaced, or one more or one less, by rows of shifted places), 64
 
 Two words one edit apart share their first or their last letters, so each word goes to two sides: shards by its
 first and by its last letters. A pair that shares the first counts on that side alone. Shards are of one
-length, bounded in letters; larger ones are dealt over several, and a query searches all of them.
+length and bounded in letters: where many words begin or end alike, the members are dealt over several parts
+and the queries over several slices, and each slice searches each part.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ MIN_LETTERS = 6
 MIN_COUNT = 5
 RATIO = 5
 #: Letters of the words in one shard, and 64-bit words of one set of a batch of queries.
-SHARD_LETTERS = 1 << 16
+SHARD_LETTERS = 1 << 15
 _BATCH = 1 << 16
 _FIRST, _LAST = 0, 1
 _MEMBER, _SEARCH = 0, 1
@@ -113,10 +114,10 @@ _NEAR = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("best_n", pa.
 def _search(shared: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, index, counts, members = None, None, np.zeros(0, np.int64), []
-        for key, rows in slices(batches, ["side", "length", "bucket", "part", "role", "size"]):
-            if key[:4] != shard:
-                shard, index, members = key[:4], None, []
-            if key[4] == _MEMBER:
+        for key, rows in slices(batches, ["side", "length", "bucket", "part", "slice", "role", "size"]):
+            if key[:5] != shard:
+                shard, index, members = key[:5], None, []
+            if key[5] == _MEMBER:
                 members += zip((-rows.column("n").to_numpy()).tolist(), rows.column("word").to_pylist())
                 continue
             if index is None:
@@ -151,18 +152,20 @@ def near_words(vocab: DataFrame, min_letters: int = MIN_LETTERS, shard_letters:
     rows = vocab.select("word", "n", "size", F.explode(sides).alias("at")).select("word", "n", "size", "at.*")
     bucket = F.pmod(F.xxhash64("key"), F.col("buckets"))
 
-    members = rows.withColumn("length", F.col("size")).join(per_length, "length").withColumn("bucket", bucket)
-    full = members.groupBy("side", "length", "bucket").agg(F.count("*").alias("many"))
-    full = full.select("side", "length", "bucket", F.ceil(F.col("many") * F.col("length") / (2 * shard_letters)).cast("int").alias("parts"))
-    full = written(full, "spelling-shards")
-    where = ["side", "length", "bucket"]
-    part = F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")
-    columns = ["side", "length", "bucket", "part", "role", "size", "word", "n"]
-    dealt = members.join(full, where).withColumns({"part": part, "role": F.lit(_MEMBER)}).select(columns)
     lengths = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))
-    searches = rows.withColumn("length", lengths).join(per_length, "length").withColumn("bucket", bucket).join(full, where)
-    searches = searches.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(_SEARCH)).select(columns)
-    shard = ["side", "length", "bucket", "part"]
+    searches = rows.withColumn("length", lengths).join(per_length, "length").withColumn("bucket", bucket)
+    where = ["side", "length", "bucket"]
+    # A bucket's members are those of its searches that have its length themselves.
+    full = searches.groupBy(where).agg(F.count_if(F.col("size") == F.col("length")).alias("members"), F.count("*").alias("searches"))
+    cut = [F.ceil(F.col(c) * F.col("length") / (2 * shard_letters)).cast("int").alias(name) for c, name in (("members", "parts"), ("searches", "slices"))]
+    full = written(full.where("members > 0").select(*where, *cut), "spelling-shards")
+    searches = searches.join(full, where)
+    part, piece = (F.pmod(F.xxhash64("word"), F.col(c)).cast("int") for c in ("parts", "slices"))
+    over = {c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("parts", "slices")}
+    shard = [*where, "part", "slice"]
+    columns = [*shard, "role", "size", "word", "n"]
+    dealt = searches.where("size = length").withColumns({"part": part, "role": F.lit(_MEMBER)}).withColumn("slice", over["slices"]).select(columns)
+    searches = searches.withColumns({"slice": piece, "role": F.lit(_SEARCH)}).withColumn("part", over["parts"]).select(columns)
     together = dealt.union(searches).repartition(*shard).sortWithinPartitions(*shard, "role", "size")
     found = together.mapInArrow(_search(shared), "word string, n_near long, best_n long, best string")
     least = F.min(F.struct((-F.col("best_n")).alias("order"), F.col("best").alias("best")))
