@@ -25,3 +25,13 @@ def pin(df: DataFrame, value: Column, name: str) -> DataFrame:
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
 
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to be one of ``df``'s, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

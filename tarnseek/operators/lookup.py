@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tarnseek.functions.columns import fresh_names
+
 
 def fetch_records(hits: DataFrame, records: DataFrame, on: Sequence[str]) -> DataFrame:
     """Hits joined to their records; a hit whose record is gone is left out.
@@ -26,4 +28,5 @@ def latest_records(records: DataFrame, on: Sequence[str], version: str) -> DataF
     """
     ties = [F.col(f"`{f.name}`") for f in records.schema.fields if not re.search(r"\b(map<|variant\b)", f.dataType.simpleString())]
     newest = Window.partitionBy(*on).orderBy(F.col(version).desc_nulls_last(), *ties)
-    return records.withColumn("_tsk_n", F.row_number().over(newest)).where("_tsk_n = 1").drop("_tsk_n")
+    [place] = fresh_names(records, "_place")
+    return records.withColumn(place, F.row_number().over(newest)).where(F.col(place) == 1).drop(place)
