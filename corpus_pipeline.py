@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and the text they decode to, with their digests."""
-    rows = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    rows = pieces.round_trip(docs, PIECE_MODEL)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return rows.select(
         "doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"),

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -27,3 +28,14 @@ def slices(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 1 <<
             key = tuple(batch.column(k)[first].as_py() for k in keys)
             for at in range(first, end, rows):
                 yield key, batch.slice(at, min(rows, end - at))
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of at most about ``most`` bytes of a text or binary column; a longer one alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop

@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnseek.functions.columns import fresh_names
 from tarnseek.llm.common import ascii_lower, let, row_key, text_of, written
 
 WINDOW = 10
@@ -163,7 +164,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit word, with all their columns."""
     occurrences, _, _ = hits(docs, benchmark)
     bad = written(occurrences.select("doc_id", "row_key").distinct(), "contaminated")
-    bad = bad.select(F.col("doc_id").alias("_tsk_doc"), F.col("row_key").alias("_tsk_key"))
-    rows = docs.withColumn("_tsk_row", row_key())
-    clean = rows.join(bad, rows["doc_id"].eqNullSafe(bad["_tsk_doc"]) & (F.col("_tsk_row") == F.col("_tsk_key")), "left_anti")
+    doc, key, row = fresh_names(docs, "bad_doc", "bad_key", "own_key")
+    bad = bad.select(F.col("doc_id").alias(doc), F.col("row_key").alias(key))
+    rows = docs.withColumn(row, row_key())
+    clean = rows.join(bad, rows["doc_id"].eqNullSafe(bad[doc]) & (F.col(row) == F.col(key)), "left_anti")
     return clean.select(docs.columns)

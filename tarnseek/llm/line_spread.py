@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnseek.functions.columns import fresh_names
 from tarnseek.llm.common import let, row_key, text_of, written
 
 MIN_SITES = 10
@@ -47,38 +48,45 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return written(found.select("h1", "h2", "first"), "boilerplate")
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with texts cleaned, and three more columns: _tsk_lines, _tsk_removed (both of lines with a word), _tsk_key.
-
-    The first occurrence of a line stays, so no line is lost to the corpus; where a document has it again, that goes too.
-    Null texts stay null, and texts may become empty. Repeated rows are cleaned alike. All rows and columns stay.
-    """
+def _cleaned(docs: DataFrame, min_sites: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with texts cleaned and two more columns, and their names: lines with a word, and those taken out."""
     lines = _lines(docs)
     drop = boilerplate(docs, min_sites)
+    n_lines, n_removed, at, doc, key, own = fresh_names(docs, "_tsk_lines", "_tsk_removed", "gone_at", "gone_doc", "gone_key", "own_key")
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.row_key") == F.col("row_key")) & (F.col("first.at") == F.col("at"))
     marked = lines.select("doc_id", "row_key", "at", "h1", "h2").join(drop, ["h1", "h2"]).where(~same)
-    marked = marked.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("_tsk_at"))
-    marked = marked.withColumnsRenamed({"doc_id": "_tsk_doc", "row_key": "_tsk_row"})
-    rows = docs.withColumn("_tsk_key", row_key())
-    rows = rows.join(marked, rows["doc_id"].eqNullSafe(marked["_tsk_doc"]) & (rows["_tsk_key"] == marked["_tsk_row"]), "left")
-    removed = F.coalesce(F.size("_tsk_at"), F.lit(0)).cast("long")
+    marked = marked.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias(at)).withColumnsRenamed({"doc_id": doc, "row_key": key})
+    rows = docs.withColumn(own, row_key())
+    rows = rows.join(marked, rows["doc_id"].eqNullSafe(marked[doc]) & (rows[own] == marked[key]), "left")
+    removed = F.coalesce(F.size(at), F.lit(0)).cast("long")
 
     def left(parts: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_tsk_at"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(at))
         return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
 
-    text = F.when(F.col("_tsk_at").isNull(), F.col("text")).otherwise(let(lines_of(F.col("text")), left))
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(let(lines_of(F.col("text")), left))
     columns = [text.alias("text") if c == "text" else rows[c] for c in docs.columns]
     has_word = F.filter(lines_of(text_of()), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return rows.select(*columns, F.size(has_word).cast("long").alias("_tsk_lines"), removed.alias("_tsk_removed"), "_tsk_key")
+    return rows.select(*columns, F.size(has_word).cast("long").alias(n_lines), removed.alias(n_removed)), [n_lines, n_removed]
+
+
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs`` with texts cleaned, and two more columns: _tsk_lines and _tsk_removed, both of lines with a word.
+
+    Where ``docs`` has a column of such a name it stays, and the new one gets another underscore before it.
+
+    The first occurrence of a line stays, so no line is lost to the corpus; where a document has it again, that goes too.
+    Null texts stay null, and texts may become empty. Repeated rows are cleaned alike. All rows and columns stay.
+    """
+    return _cleaned(docs, min_sites)[0]
 
 
 def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with cleaned texts and the same columns; n_chars, where there is one, is that of the new text."""
-    rows = without_boilerplate(docs, min_sites)
+    rows, (_, removed) = _cleaned(docs, min_sites)
     columns = [F.col(c) for c in docs.columns]
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        n_chars = F.when(F.col("_tsk_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+        n_chars = F.when(F.col(removed) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
         columns[docs.columns.index("n_chars")] = n_chars.alias("n_chars")
     return rows.select(*columns)

@@ -18,16 +18,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
+from tarnseek.llm.arrow_groups import by_bytes
 from tarnseek.llm.wordstore import WordStore, worker_store
 
 MARK = "▁"
 #: Characters encoded together.
 _CHUNK = 1 << 20
+#: Bytes of texts taken from a batch at once.
+_BATCH_BYTES = 1 << 20
 #: A word of more symbols than this takes its merges from a heap: the same merges, without a round for each.
 _LONG_WORD = 2_000
 _NEVER = np.iinfo(np.int32).max
@@ -279,42 +282,72 @@ def encode_texts(table: MergeTable, store: WordStore, texts: list[str]) -> list[
     return out
 
 
+def _read(model_path: str) -> bytes:
+    with open(model_path, "rb") as f:
+        return f.read()
+
+
+def _encoder(docs: DataFrame, model: bytes):
+    """A function of the worker: the ids of some texts (an Arrow array), as a list of arrays."""
+    key = "sentencepiece " + hashlib.sha256(model).hexdigest()
+    table = docs.sparkSession.sparkContext.broadcast(merge_table(model))
+
+    def ids_of(texts: pa.Array) -> list[np.ndarray]:
+        store = worker_store(key, lambda: _new_words(table.value))
+        return encode_texts(table.value, store, [t or "" for t in texts.to_pylist()])
+
+    return ids_of
+
+
+def _binary(ids: list[np.ndarray]) -> pa.Array:
+    return pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id`` and ``ids`` of every row: the ids with begin and end, as little-endian unsigned 32-bit integers.
 
     The ids are those the sentencepiece library gives for the whole text. Null and empty texts
-    have the begin and end ids only. Repeated rows stay repeated; other columns aren't read.
+    have the begin and end ids only. Repeated rows and ids of any size or null stay as they are; other columns aren't read.
     The model is read by the driver and sent along.
     """
-    with open(model_path, "rb") as f:
-        model = f.read()
-    key = "sentencepiece " + hashlib.sha256(model).hexdigest()
-    table = docs.sparkSession.sparkContext.broadcast(merge_table(model))
+    ids_of = _encoder(docs, _read(model_path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store = worker_store(key, lambda: _new_words(table.value))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                rows = batch.iloc[at : at + 500]
-                ids = encode_texts(table.value, store, [t or "" for t in rows["text"]])
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "ids": [i.astype("<u4").tobytes() for i in ids]})
+            for rows in by_bytes(batch, "text", _BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _binary(ids_of(rows.column("text")))], names=["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
 def decode(tokens: DataFrame, model_path: str) -> DataFrame:
     """``doc_id``, ``ids`` and the decoded ``text``. Null ids count as none."""
-    with open(model_path, "rb") as f:
-        model = f.read()
+    model = _read(model_path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                rows = batch.iloc[at : at + 500]
-                texts = [processor.decode(np.frombuffer(b or b"", "<u4").tolist()) for b in rows["ids"]]
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "ids": rows["ids"], "text": texts})
+            for rows in by_bytes(batch, "ids", 4 * _BATCH_BYTES):
+                texts = [processor.decode(np.frombuffer(b or b"", "<u4").tolist()) for b in rows.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, ids binary, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
+    """``doc_id``, ``ids`` and ``text`` as ``decode`` of ``encode`` gives them, by one Python worker a core instead of two."""
+    model = _read(model_path)
+    ids_of = _encoder(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        for batch in batches:
+            for rows in by_bytes(batch, "text", _BATCH_BYTES):
+                ids = ids_of(rows.column("text"))
+                texts = pa.array([processor.decode(i.tolist()) for i in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _binary(ids), texts], names=["doc_id", "ids", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, text string")

@@ -38,9 +38,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document and the text they decode to, as digests."""
-    model = _vocabulary("piece_bpe_32k.model")
-    tokens = pieces.encode(_table(spark, sf_dir, "documents"), model)
-    rows = pieces.decode(tokens, model)
+    rows = pieces.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
     n = (F.octet_length("ids") / 4).cast("long")
     return rows.select(
         "doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256")

@@ -18,10 +18,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnseek.functions.columns import fresh_names
+from tarnseek.llm.arrow_groups import by_bytes
 from tarnseek.llm.common import components, row_key, written
 
 SHINGLE_WORDS = 4
@@ -31,6 +34,8 @@ SHARD_ROWS = 4096
 #: Shingles hashed at once, and (search, node) pairs looked at together.
 _SHINGLE_BATCH = 1 << 16
 _PAIR_BATCH = 1 << 20
+#: Bytes of texts taken from a batch at once.
+_TEXT_BYTES = 4 << 20
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = 42) -> int:
@@ -53,17 +58,18 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = 42) ->
     return int(np.packbits(2 * set_bits > len(starts), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.fromiter((fingerprint(t) for t in batch["text"]), np.uint64, len(batch))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "row_key": batch["row_key"], "fp": found.view(np.int64)})
+        for rows in by_bytes(batch, "text", _TEXT_BYTES):
+            found = np.fromiter((fingerprint(t.as_py()) for t in rows.column("text")), np.uint64, rows.num_rows)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row_key"), pa.array(found.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, fp) of every row; fp as a signed long. A null text counts as empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_key().alias("row_key"), "text")
-    return rows.mapInPandas(_fingerprints, f"doc_id {kind}, row_key long, fp long")
+    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, row_key long, fp long")
 
 
 class BKForest:
@@ -229,11 +235,10 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> D
     rows = near_duplicates(docs, radius, blocks).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     same = rows.groupBy("root", "doc_id", "row_key").agg(F.count("*").alias("n"))
     heads = same.groupBy("root").agg(F.min_by(F.struct("doc_id", "row_key", "n"), "row_key").alias("head"))
-    heads = written(heads.select(F.col("head.doc_id").alias("_tsk_doc"), F.col("head.row_key").alias("_tsk_key"), F.col("head.n").alias("_tsk_n")), "heads")
-    here = docs.withColumn("_tsk_row", row_key())
-    found = here.join(heads, here["doc_id"].eqNullSafe(F.col("_tsk_doc")) & (F.col("_tsk_row") == F.col("_tsk_key")))
-    once = found.where("_tsk_n = 1").select(docs.columns)
-    if heads.where("_tsk_n > 1").isEmpty():
-        return once
-    repeated = found.where("_tsk_n > 1").dropDuplicates(["_tsk_doc", "_tsk_key"]).select(docs.columns)
+    doc, key, many, row = fresh_names(docs, "head_doc", "head_key", "head_rows", "own_key")
+    heads = written(heads.select(F.col("head.doc_id").alias(doc), F.col("head.row_key").alias(key), F.col("head.n").alias(many)), "heads")
+    here = docs.withColumn(row, row_key())
+    found = here.join(heads, here["doc_id"].eqNullSafe(F.col(doc)) & (F.col(row) == F.col(key)))
+    once = found.where(F.col(many) == 1).select(docs.columns)
+    repeated = found.where(F.col(many) > 1).dropDuplicates([doc, key]).select(docs.columns)
     return once.unionByName(repeated)

@@ -13,22 +13,23 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnseek.llm import simple8b
+from tarnseek.llm.arrow_groups import by_bytes
 from tarnseek.llm.common import row_key, shared_uri, text_of, written
 from tarnseek.llm.wordstore import worker_store
 
 MAGIC = b"TNS8B\x00\x00\x01"
 _FOOTER = 24
-#: Characters tokenized together, blocks packed together, and blocks read together.
+#: Bytes of texts tokenized together, blocks packed together, and blocks read together.
 _CHUNK = 1 << 21
 _PACKED_BLOCKS = 256
 _READ_BLOCKS = 512
@@ -44,7 +45,7 @@ _KNOWN = re.compile("[\x00-\x7FÀ-ÖØ-öø-ɏ]*")
 _WORD = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^ \t-\rA-Za-zÀ-ÖØ-öø-ɏ0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
 )
-_STORED_CHUNKS = 900_000
+_STORED_BYTES = 176 << 20
 
 
 def chunks_of(text: str) -> list[str]:
@@ -185,19 +186,25 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
     vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary)
     folder = folder or shared_uri(docs.sparkSession, "tokens")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Words and ids are many small objects without cycles; looking for cycles among them takes long.
         gc.disable()
-        store = worker_store(key, lambda: _new_words(Tokenizer.from_str(vocabulary.value), special), _STORED_CHUNKS)
+        try:
+            yield from write(batches)
+        finally:
+            gc.enable()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        store = worker_store(key, lambda: _new_words(Tokenizer.from_str(vocabulary.value), special), _STORED_BYTES)
         end = np.array([end_id], np.int32)
         writer, part = None, TaskContext.get().partitionId()
         uri = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.s8b"
         for batch in batches:
-            first, counts = [], []
-            for texts in _chunked(batch["text"]):
-                words = [chunks_of(t) for t in texts]
+            for rows in by_bytes(batch, "text", _CHUNK):
+                first, counts = [], []
+                words = [chunks_of(t) for t in rows.column("text").to_pylist()]
                 flat, size = store.ids([w for ws in words for w in ws])
                 ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum([len(w) for w in words])]
                 writer = writer or _Writer(uri)
@@ -208,30 +215,19 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
                     writer.add(flat[at:e])
                     writer.add(end)
                     at = int(e)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "file": uri, "part": part, "first": first, "n_tokens": counts})
+                n = rows.num_rows
+                columns = [rows.column("doc_id"), pa.array([uri] * n), pa.array([part] * n, pa.int32()), pa.array(first, pa.int64()), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file", "part", "first", "n_tokens"])
         if writer:
             writer.close()
-        gc.enable()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_of().alias("text"), row_key().alias("row_key"))
     rows = rows.repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
-    index = rows.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, file string, part int, first long, n_tokens long")
+    index = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, file string, part int, first long, n_tokens long")
     return written(index, "token-index")
 
 
-def _chunked(texts: pd.Series) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size > _CHUNK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 class TokenFile:
     """Reads ranges of ids; blocks that follow each other are read at once."""
 
@@ -255,11 +251,11 @@ class TokenFile:
         self.file.close()
 
 
-def _ranges(rows: pd.DataFrame) -> Iterator[np.ndarray]:
-    """The ids of each row of one file; rows are in ascending order of their first id."""
-    file = TokenFile(rows["file"].iloc[0])
+def _ranges(uri: str, firsts: list[int], counts: list[int]) -> Iterator[np.ndarray]:
+    """The ids of each (first, count) of one file, in ascending order."""
+    file = TokenFile(uri)
     held, base, upto = np.zeros(0, np.uint64), 0, 0
-    for first, count in zip(rows["first"].tolist(), rows["n_tokens"].tolist()):
+    for first, count in zip(firsts, counts):
         out = []
         at, end = first, first + count
         while at < end:
@@ -278,17 +274,23 @@ def read_tokens(index: DataFrame) -> DataFrame:
     """``index`` with the ids read back from the files: ``ids``, little-endian unsigned 32-bit integers."""
     names = ["doc_id", "file", "part", "first", "n_tokens"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                piece = batch.iloc[at : at + 1000]
-                for _, rows in piece.groupby((piece["file"] != piece["file"].shift()).cumsum(), sort=False):
-                    yield rows.assign(ids=[i.astype("<u4").tobytes() for i in _ranges(rows)])
+            for at in range(0, batch.num_rows, 1000):
+                piece = batch.slice(at, 1000)
+                firsts, counts = piece.column("first").to_pylist(), piece.column("n_tokens").to_pylist()
+                start = 0
+                for uri, same in groupby(piece.column("file").to_pylist()):
+                    stop = start + sum(1 for _ in same)
+                    ids = [i.astype("<u4").tobytes() for i in _ranges(uri, firsts[start:stop], counts[start:stop])]
+                    columns = piece.slice(start, stop - start).columns
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=[*names, "ids"])
+                    start = stop
 
     kind = index.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, file string, part int, first long, n_tokens long, ids binary"
     # The index is read in the order in which it was written, which is that of the files.
-    return index.select(names).mapInPandas(run, schema)
+    return index.select(names).mapInArrow(run, schema)
 
 
 def document_starts(index: DataFrame, rows: DataFrame) -> DataFrame:

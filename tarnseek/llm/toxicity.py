@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -229,13 +230,14 @@ def held_out(doc_id: Column) -> Column:
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id`` and ``score`` of every row, from the text alone. Null texts count as empty; other columns aren't read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [score(model, automaton, t) for t in batch["text"]]})
+            scores = [score(model, automaton, t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,13 +11,15 @@ import gzip
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnseek.llm.arrow_groups import by_bytes
 from tarnseek.llm.common import shared_uri, text_of, written
 
 #: Payloads of fewer bytes are always written in full.
@@ -26,6 +28,8 @@ MIN_SHARED_BYTES = 100
 FILE_BYTES = 256 << 20
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: Bytes of archives for each reading task, about.
+TASK_BYTES = 128 << 20
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, payload_bytes long, record_type string, refers_to long"
@@ -99,49 +103,55 @@ def parse(data: bytes) -> dict:
     }
 
 
-def _whole(value) -> int | None:
-    return None if pd.isna(value) else int(value)
+_INDEX = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
+    ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+])
+_RECORD = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()),
+    ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("refers_to", pa.int64()),
+])
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write all pages as records and return the index, itself a table in the shared folder.
 
     Each task writes archives under names of its own; those of failed attempts aren't in the index. An
-    empty table writes none. ``folder`` is any place that all executors reach.
+    empty table writes none. ``folder`` is any place that all executors reach. Line breaks in URLs, which would end a
+    header, are written as ``%0D`` and ``%0A``, and so they are read back.
     """
     folder = folder or shared_uri(pages.sparkSession, "warc")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         out, name, at = None, "", 0
         for batch in batches:
-            found = []
-            for r in batch.itertuples(index=False):
-                if out is None:
-                    fs.create_dir(path, recursive=True)
-                    name = f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-                    out, at = fs.open_output_stream(f"{path}/{name}", compression=None), 0
-                page, first, url = _whole(r.page_id), _whole(r.refers_to), None if r.url is None else r.url
-                data = gzip.compress(record(page, url, r.payload, r.digest, r.size, first, date), 6, mtime=0)
-                out.write(data)
-                found.append((page, url, f"{folder}/{name}", at, len(data), r.digest, r.size, r.record_type, first))
-                at += len(data)
-                if at >= FILE_BYTES:
-                    out.close()
-                    out = None
-            index = pd.DataFrame(found, columns=[c.split()[0] for c in INDEX.split(", ")])
-            yield index.astype({"page_id": "Int64", "refers_to": "Int64"})
+            for rows in by_bytes(batch, "payload", READ_BYTES):
+                found = []
+                for r in rows.to_pylist():
+                    if out is None:
+                        fs.create_dir(path, recursive=True)
+                        name = f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+                        out, at = fs.open_output_stream(f"{path}/{name}", compression=None), 0
+                    data = gzip.compress(record(r["page_id"], r["url"], r["payload"], r["digest"], r["size"], r["refers_to"], date), 6, mtime=0)
+                    out.write(data)
+                    found.append((r["page_id"], r["url"], f"{folder}/{name}", at, len(data), r["digest"], r["size"], r["record_type"], r["refers_to"]))
+                    at += len(data)
+                    if at >= FILE_BYTES:
+                        out.close()
+                        out = None
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _INDEX)], schema=_INDEX)
         if out is not None:
             out.close()
 
-    return written(assigned(pages).mapInPandas(run, INDEX), "warc-index")
+    return written(assigned(pages).mapInArrow(run, INDEX), "warc-index")
 
 
-def _coalesced(rows: pd.DataFrame) -> Iterator[tuple[int, int]]:
+def _coalesced(offsets: list[int], lengths: list[int]) -> Iterator[tuple[int, int]]:
     """Runs (first row, row after the last) of one file's rows that are read at once."""
     start, end = 0, None
     first = 0
-    for i, (offset, length) in enumerate(zip(rows["offset"].tolist(), rows["length"].tolist())):
+    for i, (offset, length) in enumerate(zip(offsets, lengths)):
         if end is not None and (offset - end > GAP_BYTES or offset + length - first > READ_BYTES):
             yield start, i
             start, end = i, None
@@ -149,30 +159,35 @@ def _coalesced(rows: pd.DataFrame) -> Iterator[tuple[int, int]]:
             first = offset
         end = max(end or 0, offset + length)
     if end is not None:
-        yield start, len(rows)
+        yield start, len(offsets)
 
 
 def read_records(index: DataFrame) -> DataFrame:
     """The records of ``index`` rows: page_id, url, record_type, payload_digest, payload_bytes, payload and refers_to.
 
-    ``index`` is the whole index or any selection of its rows. payload is null for revisits.
+    ``index`` is the whole index or any selection of its rows. payload is null for revisits. There is a task for each
+    TASK_BYTES of the selected records, so tasks don't grow with the archives.
     """
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, (index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)
     near = F.floor(F.col("offset") / READ_BYTES)
-    rows = index.select("file", "offset", "length").repartition(parts, "file", near).sortWithinPartitions("file", "offset")
+    rows = index.select("file", "offset", "length").repartition(tasks, "file", near).sortWithinPartitions("file", "offset")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, rows in batch.groupby("file", sort=False):
+            uris, offsets, lengths = (batch.column(c).to_pylist() for c in ("file", "offset", "length"))
+            start = 0
+            for uri, same in groupby(uris):
+                stop = start + sum(1 for _ in same)
+                offset, length = offsets[start:stop], lengths[start:stop]
+                start = stop
                 fs, path = pafs.FileSystem.from_uri(uri)
                 with fs.open_input_file(path) as file:
-                    for first, last in _coalesced(rows):
-                        piece = rows.iloc[first:last]
-                        start = int(piece["offset"].iloc[0])
-                        data = file.read_at(int((piece["offset"] + piece["length"]).max()) - start, start)
-                        cuts = zip((piece["offset"] - start).tolist(), piece["length"].tolist())
-                        found = pd.DataFrame([parse(zlib.decompress(data[o : o + n], 31)) for o, n in cuts])
-                        yield found.astype({"page_id": "Int64", "refers_to": "Int64"})
+                    for first, last in _coalesced(offset, length):
+                        cuts = list(zip(offset[first:last], length[first:last]))
+                        base = cuts[0][0]
+                        data = file.read_at(max(o + n for o, n in cuts) - base, base)
+                        yield pa.RecordBatch.from_pylist([parse(zlib.decompress(data[o - base : o - base + n], 31)) for o, n in cuts], schema=_RECORD)
 
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, payload binary, refers_to long"
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

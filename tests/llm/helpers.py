@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside or return; here they are just more columns of the input.
-CLASHES = ["row_key", "fp", "words", "kept", "n_words", "root", "line", "score", "hash", "count", "digest", "id"]
+CLASHES = ["row_key", "fp", "words", "kept", "n_words", "root", "line", "score", "hash", "count", "digest", "id", "_tsk_key", "_tsk_doc", "_tsk_row", "_tsk_n", "_tsk_removed", "_tsk_lines", "own_key", "gone_at", "head_rows"]
 LONG = "alpha beta gamma delta " * 30_000
 
 
@@ -42,3 +42,12 @@ def empty(spark):
 
 def rows_of(df):
     return Counter(tuple(r) for r in df.collect())
+
+
+BIG = [2**60 + 1, 2**60 + 3, None]
+
+
+def big_ids(spark, texts=("one text here", "and a second one", "no id but a text"), schema=SCHEMA):
+    """Ids above two to the 53rd and a null one, in one batch."""
+    rows = [(i, t, "en", "src1", len(t)) for i, t in zip(BIG, texts)]
+    return spark.createDataFrame(rows, schema).coalesce(1)

@@ -73,7 +73,7 @@ def test_random_texts():
 
 
 def test_store_lets_go_of_rare_words():
-    store = WordStore(token_files._new_words(LIBRARY), limit=5)
+    store = WordStore(token_files._new_words(LIBRARY), limit=5 * 200)
     for i in range(30):
         words = ["the", "of", f"w{i}", f"x{i}", "the"]
         assert store.ids(words)[0].tolist() == [j for w in words for j in ids_of(" " + w)[:-1]]

@@ -60,7 +60,7 @@ def test_index_first_then_only_the_selected_ranges(spark, monkeypatch):
     chosen = read(index.where("page_id % 50 = 7"))
     assert chosen == sorted((expected(i, "response", None, f"u{i}", f"{BIG}{i}") for i in (7, 57, 107, 157)), key=str)
     total = index.agg(F.sum("length")).first()[0]
-    ranges = [r for _, rows in index.toPandas().sort_values(["file", "offset"]).groupby("file") for r in warc._coalesced(rows)]
+    ranges = [r for _, rows in index.toPandas().sort_values(["file", "offset"]).groupby("file") for r in warc._coalesced(rows["offset"].tolist(), rows["length"].tolist())]
     assert total < warc.READ_BYTES and len(ranges) == index.select("file").distinct().count()
     monkeypatch.setattr(warc, "READ_BYTES", 1500)
     monkeypatch.setattr(warc, "GAP_BYTES", 0)
