@@ -14,9 +14,10 @@ from tarnseek.operators.clauses import Clause
 from tarnseek.operators.view import TableView
 from tarnseek.plans.search import SearchResult, search_view
 from tarnseek.schema import ROW_ID, Field, Kind, RecordSource, TableSpec
-from tarnseek.sources.records import FILES_PER_BATCH, source_files, stream_records
+from tarnseek.sources.records import FILE_AGE, FILES_PER_BATCH, stream_records
 from tarnseek.sources.storage import Folder
 from tarnseek.streaming.feed import REFRESH, TableStore
+from tarnseek.streaming.progress import progress_of
 from tarnseek.streaming.snapshots import NO_TOKEN
 from tarnseek.streaming.text_index import TextIndex
 
@@ -114,12 +115,13 @@ class Catalog:
         refresh: str | None = REFRESH,
         files_per_batch: int = FILES_PER_BATCH,
         on_bad_value: str = "quarantine",
+        file_age: str = FILE_AGE,
     ) -> StreamingQuery:
-        """Fill the table from where its checkpoint stands."""
+        """Fill the table from where its checkpoint stands (see ``stream_records`` for the limits)."""
         store = self.store(name)
         if self.is_running(name):
             raise TarnseekError(f"table[{name}] is running already")
-        records = stream_records(self.spark, store.spec.source, files_per_batch)
+        records = stream_records(self.spark, store.spec.source, files_per_batch, file_age)
         return store.start(records, self._query_name(name), refresh, on_bad_value)
 
     def stop(self, name: str, wait_seconds: float = WAIT_SECONDS) -> None:
@@ -133,20 +135,19 @@ class Catalog:
             query.stop()
 
     def wait_for_arrived(self, name: str, seconds: float = WAIT_SECONDS) -> int:
-        """Wait until the source files that are there now are committed; returns the last committed batch.
+        """Wait until what has arrived at the source by now is committed; returns the last committed batch.
 
-        Files that come later aren't waited for, so it also ends while a source keeps growing. Raises
+        Goes by the stream's own events, so it costs the driver the same however many files there are, and it also ends while
+        a source keeps growing. Files must show their time of arrival, or an earlier one. Raises
         after ``seconds``, or if the stream has failed.
         """
         store, query = self.store(name), self.running_query(name)
-        arrived = source_files(self.spark, store.spec.source)
-        until = time.monotonic() + seconds
-        while not arrived <= store.committed_files():
-            if query is None or query.exception() is not None or not query.isActive:
-                raise TarnseekError(f"table[{name}] has stopped: {query and query.exception()}")
-            if time.monotonic() > until:
-                raise TarnseekError(f"table[{name}]: rows that had arrived weren't written within {seconds} s")
-            time.sleep(0.1)
+        now, file_time = time.time(), store.folder.now()
+        in_time = query is not None and progress_of(self.spark).wait(query, now, file_time, seconds)
+        if query is None or query.exception() is not None or not query.isActive:
+            raise TarnseekError(f"table[{name}] has stopped: {query and query.exception()}")
+        if not in_time:
+            raise TarnseekError(f"table[{name}]: rows that had arrived weren't written within {seconds} s")
         return store.snapshots.latest()
 
     def index_text(self, name: str, field: str, buckets: int = 256) -> int:

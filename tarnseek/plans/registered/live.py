@@ -6,7 +6,7 @@ or several arrivals, and returns what the streamed table then answers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tarnseek.operators.clauses import Compare, Equals, MatchAny
 from tarnseek.plans.catalog import Catalog
@@ -31,10 +31,11 @@ class _Feed:
         self.folder = work_folder(spark, purpose)
         self.catalog = Catalog(spark, f"{self.folder}/tables", search_expired=_TOKEN_LIFETIME)
 
-    def arrive(self, lot: int) -> None:
+    def arrive(self, lot: int, by_name: bool = False) -> None:
         day = F.dayofmonth("ts")
         in_lot = (day > _LOTS[lot]) & (day <= _LOTS[lot + 1])
-        event_records(self.spark, self.sf_dir, where=in_lot).write.mode("append").parquet(f"{self.folder}/source")
+        writer = event_records(self.spark, self.sf_dir, where=in_lot).write.mode("append")
+        (writer.partitionBy("_name") if by_name else writer).parquet(f"{self.folder}/source")
 
     def create(self, start: bool = True) -> Catalog:
         source = RecordSource("list", f"{self.folder}/source", "list_*")
@@ -79,6 +80,42 @@ def ingest_resume(spark, sf_dir):
     return _shown(feed.catalog.store("events").rows())
 
 
+@query(
+    "stream_ingest_hash",
+    "SELECT event_type AS _name, printf('%012d', event_id) AS _key, event_id, ts, user_id, event_type, value, props FROM events WHERE event_type LIKE 'p%'",
+)
+def stream_ingest_hash(spark, sf_dir):
+    """Hashes, one for each kind of event, put in three lots by key; the stream runs between them and goes on after the last keys."""
+    feed = _Feed(spark, sf_dir, "stream_ingest_hash")
+    third = F.ntile(3).over(Window.partitionBy("event_type").orderBy("event_id"))
+    events = table(spark, sf_dir, "events").withColumn("lot", third)
+    members = ("event_id", "ts", "user_id", "event_type", "value", "props")
+    for lot in (1, 2, 3):
+        pairs = to_records(events.where(F.col("lot") == lot), F.col("event_type"), F.lpad(F.col("event_id").cast("string"), 12, "0"), *members)
+        pairs.write.mode("append").partitionBy("_name").parquet(f"{feed.folder}/source")
+        if lot == 1:
+            source = RecordSource("hash", f"{feed.folder}/source", "p*", by_name=True)
+            feed.catalog.create_table("events", SPECS["events"][0], source, start=False)
+        feed.drain()
+    return _shown(feed.catalog.store("events").rows())
+
+
+@query(
+    "stream_ingest_prefix",
+    _EVENTS + " WHERE event_type LIKE 'p%'",
+)
+def stream_ingest_prefix(spark, sf_dir):
+    """Lists in folders of their own, of which the stream lists and reads those with the prefix; new ones are found as it goes on."""
+    feed = _Feed(spark, sf_dir, "stream_ingest_prefix")
+    source = RecordSource("list", f"{feed.folder}/source", "list_p*", by_name=True)
+    for lot in range(3):
+        feed.arrive(lot, by_name=True)
+        if lot == 0:
+            feed.catalog.create_table("events", SPECS["events"][0], source, start=False)
+        feed.drain()
+    return _shown(feed.catalog.store("events").rows())
+
+
 @query("live_scan", 'SELECT event_type, count(*) AS "count" FROM events GROUP BY event_type')
 def live_scan(spark, sf_dir):
     """Group counts asked of a running table as soon as the last lot has arrived."""

@@ -88,17 +88,23 @@ class Field:
 
 @dataclass(frozen=True)
 class RecordSource:
-    """Where a table's records come from: an append-only LIST log or a keyed HASH."""
+    """Where a table's records come from: an append-only LIST log or a keyed HASH.
+
+    ``by_name`` says that each name has its folder ``_name=…``, as ``partitionBy("_name")`` writes them.
+    """
 
     kind: str
     path: str
     name: str
     format: str = "parquet"
+    by_name: bool = False
 
     def __post_init__(self):
         if self.kind.lower() not in ("list", "hash"):
             raise TarnseekError(f"unknown source type [{self.kind}]")
         object.__setattr__(self, "kind", self.kind.lower())
+        if self.kind == "hash" and self.format != "parquet":
+            raise TarnseekError("hashes are read from parquet files")
         for part in ("path", "name"):
             if not getattr(self, part):
                 raise TarnseekError(f"the source has no [{part}]")

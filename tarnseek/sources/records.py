@@ -2,20 +2,20 @@
 
 ``_name`` is the list or hash a record belongs to, ``_key`` its place in the
 list or its key in the hash, ``value`` its JSON text. Batch and streaming reads
-share the schema; a streaming read picks up files as they arrive and its
-checkpoint is the resume point.
+share the schema. A list streams files as they arrive, a hash the keys after the last
+one taken; the checkpoint is the resume point of both.
 """
 
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tarnseek.errors import TarnseekError
 from tarnseek.operators.ordering import SortKey, page_rows
 from tarnseek.schema import RecordSource
+from tarnseek.sources.hash_feed import FORMAT, HashSource
 
 RECORD_SCHEMA = T.StructType(
     [
@@ -25,6 +25,9 @@ RECORD_SCHEMA = T.StructType(
     ]
 )
 FILES_PER_BATCH = 1_000
+#: A hundred years: as good as no limit.
+FILE_AGE = "36500d"
+ARRIVED = "_arrived"
 
 
 def name_matches(pattern: str, name: Column | None = None) -> Column:
@@ -35,28 +38,42 @@ def name_matches(pattern: str, name: Column | None = None) -> Column:
     return name == pattern
 
 
+#: Characters that Spark spells as %XX in the names of partition folders. Fixed values.
+_ESCAPED = re.compile(r"""["#%'*/:=?\\{\[\]^\x00-\x1f\x7f]""")
+
+
+def _folders(source: RecordSource) -> str:
+    """The folders of the matching names, as a path that may end in ``*``."""
+    start = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", source.name.replace("*", ""))
+    return f"{source.path.rstrip('/')}/_name={start}{'*' if '*' in source.name else ''}"
+
+
 def read_records(spark: SparkSession, source: RecordSource) -> DataFrame:
+    """All records of the source. Where each name has its folder, only those of matching names are read."""
     df = spark.read.schema(RECORD_SCHEMA).format(source.format).load(source.path)
-    return df.where(name_matches(source.name))
+    return df.where(name_matches(source.name)).select(*RECORD_SCHEMA.names)
 
 
 def stream_records(
-    spark: SparkSession, source: RecordSource, files_per_batch: int = FILES_PER_BATCH
+    spark: SparkSession, source: RecordSource, files_per_batch: int = FILES_PER_BATCH, file_age: str = FILE_AGE
 ) -> DataFrame:
-    """New files of the source as a stream, at most ``files_per_batch`` at a time."""
-    reader = spark.readStream.schema(RECORD_SCHEMA).format(source.format)
-    df = reader.option("maxFilesPerTrigger", files_per_batch).load(source.path)
-    return df.where(name_matches(source.name))
+    """Records of the source as a stream.
 
-
-def file_name(uri: str) -> str:
-    """A file's path as one spelling, however its URI is written."""
-    return re.sub(r"^file:/+", "/", unquote(uri))
-
-
-def source_files(spark: SparkSession, source: RecordSource) -> set[str]:
-    """The files that are there now."""
-    return {file_name(f) for f in spark.read.schema(RECORD_SCHEMA).format(source.format).load(source.path).inputFiles()}
+    A list gives new files, the oldest first, at most ``files_per_batch`` at a time, and ``_arrived``, the time of the file. Names are
+    looked for anew in each batch, and where each name has its folder, only matching ones are listed. Files whose time
+    is further than ``file_age`` behind the newest are skipped for good; by default none is, at the cost of remembering each.
+    A hash gives all pairs after the last keys (see ``hash_feed``).
+    """
+    if source.kind == "hash":
+        spark.dataSource.register(HashSource)
+        return spark.readStream.format(FORMAT).option("name", source.name).load(source.path)
+    reader = spark.readStream.schema(RECORD_SCHEMA).format(source.format)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", file_age)
+    path = source.path
+    if source.by_name:
+        reader, path = reader.option("basePath", source.path), _folders(source)
+    df = reader.load(path).where(name_matches(source.name))
+    return df.select(*RECORD_SCHEMA.names, F.col("_metadata.file_modification_time").alias(ARRIVED))
 
 
 def list_range(records: DataFrame, name: str, offset: int, count: int) -> DataFrame:

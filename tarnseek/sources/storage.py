@@ -60,6 +60,14 @@ class Folder:
         fs.delete(draft, False)
         return False
 
+    def now(self) -> float:
+        """The time in seconds by the clock of the file system, from a small file that goes again."""
+        fs, path = self._at(f"_tmp-{uuid.uuid4().hex}")
+        fs.create(path, False).close()
+        at = fs.getFileStatus(path).getModificationTime() / 1000
+        fs.delete(path, False)
+        return at
+
     def text(self, name: str) -> str:
         fs, path = self._at(name)
         stream = fs.open(path)

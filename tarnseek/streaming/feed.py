@@ -7,16 +7,17 @@ was committed, is skipped, so each record lands exactly once.
 
 from __future__ import annotations
 
-import json
+import threading
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tarnseek.errors import TarnseekError
 from tarnseek.schema import TableSpec
 from tarnseek.sources.decode import BAD, OK, decode_records
-from tarnseek.sources.records import file_name
+from tarnseek.sources.records import ARRIVED
 from tarnseek.sources.storage import Folder
+from tarnseek.streaming.progress import IDLE_NOTE_MS, IDLE_NOTES, progress_of
 from tarnseek.streaming.snapshots import SnapshotLog
 
 REFRESH = "1 second"
@@ -32,15 +33,20 @@ class TableStore:
         self.snapshots = SnapshotLog(self.folder, token_lifetime)
         self._data = f"{self.folder.path}/data"
 
-    def append(self, records: DataFrame, batch: int, on_bad_value: str = "quarantine") -> None:
-        """Write one batch and commit it; a committed batch isn't written again."""
+    def append(self, records: DataFrame, batch: int, on_bad_value: str = "quarantine") -> float | None:
+        """Write one batch and commit it; a committed batch isn't written again. Gives the time of its oldest file, if records have it."""
         if self.snapshots.is_committed(batch):
-            return
+            return None
+        oldest = Observation()
+        if ARRIVED in records.columns:
+            records = records.observe(oldest, F.min(F.unix_micros(ARRIVED)).alias("at"))
         rows = decode_records(records, self.spec, on_bad_value)
         rows = rows.withColumn("_row", F.monotonically_increasing_id())
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
         writer.partitionBy("_status").parquet(f"{self._data}/_batch_id={batch}")
         self.snapshots.commit(batch)
+        at = oldest.get["at"] if ARRIVED in records.columns else None
+        return None if at is None else at / 1e6
 
     def start(
         self,
@@ -53,26 +59,32 @@ class TableStore:
         if self.snapshots.latest() >= 0 and not self.folder.exists("checkpoint"):
             # A new checkpoint counts batches from 0, and those are committed already.
             raise TarnseekError(f"table[{self.spec.name}] has rows but its checkpoint is gone, drop it first")
+        progress, run = progress_of(self.spark), []
+
+        def take(df: DataFrame, batch: int) -> None:
+            oldest = self.append(df, batch, on_bad_value)
+            started.wait()
+            progress.committed(run[0], oldest)
+
+        started = threading.Event()
         writer = (
             records.writeStream.queryName(query_name)
             .option("checkpointLocation", f"{self.folder.path}/checkpoint")
-            .foreachBatch(lambda df, batch: self.append(df, batch, on_bad_value))
+            .foreachBatch(take)
         )
         how = {"availableNow": True} if refresh is None else {"processingTime": refresh}
-        return writer.trigger(**how).start()
-
-    def committed_files(self) -> set[str]:
-        """Source files whose rows are committed, from the stream's own checkpoint."""
-        checkpoint = self.folder.child("checkpoint")
-        done = [int(n) for n in checkpoint.child("commits").names() if n.isdigit()]
-        if not done:
-            return set()
-        upto = json.loads(checkpoint.child("offsets").text(str(max(done))).splitlines()[-1])["logOffset"]
-        log, found = checkpoint.child("sources/0"), set()
-        for name in log.names():
-            entries = [json.loads(line) for line in log.text(name).splitlines()[1:]]
-            found |= {file_name(e["path"]) for e in entries if e["batchId"] <= upto}
-        return found
+        # The stream has its own copy of the settings from here on.
+        usual = self.spark.conf.get(IDLE_NOTES, None)
+        self.spark.conf.set(IDLE_NOTES, IDLE_NOTE_MS)
+        try:
+            query = writer.trigger(**how).start()
+        finally:
+            self.spark.conf.unset(IDLE_NOTES) if usual is None else self.spark.conf.set(IDLE_NOTES, usual)
+        if ARRIVED not in records.columns:
+            progress.takes_all(query)
+        run.append(str(query.runId))
+        started.set()
+        return query
 
     def rows(self, up_to: int | None = None) -> DataFrame:
         """Usable rows of the committed batches, up to a snapshot."""

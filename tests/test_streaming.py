@@ -1,4 +1,6 @@
 import json
+import os
+import shutil
 import threading
 import time
 from types import SimpleNamespace
@@ -24,7 +26,7 @@ from tarnseek import (
 )
 from tarnseek.functions.analyzers import Analyzer, STANDARD, register_analyzer, reset_analyzers
 from tarnseek.sources.decode import decode_records
-from tarnseek.sources.records import hash_range, list_range, name_matches
+from tarnseek.sources.records import hash_range, list_range, name_matches, read_records, stream_records
 from tarnseek.sources.storage import Folder, work_folder
 from tarnseek.streaming.feed import TableStore
 
@@ -470,12 +472,162 @@ def test_search_and_stop_return_while_a_feed_keeps_coming(spark, made):
 
 def test_waiting_has_an_end(spark, made):
     catalog, source, _ = made
-    catalog.create_table("t", FIELDS, source, refresh="1 hour")
-    catalog.search("t", wait=True)
-    catalog.running_query("t")
+    catalog.create_table("t", FIELDS, source, start=False)
+    drain(catalog)
+    catalog.start("t", refresh="1 hour")
     arrive(spark, source.path.rsplit("/", 1)[0], [record(77)])
     with pytest.raises(TarnseekError):
         catalog.search("t", wait=True, wait_seconds=1)
     with pytest.raises(TarnseekError):
         catalog.stop("t", wait_seconds=1)
     assert not catalog.is_running("t")
+
+
+# --- what counts as arrived ------------------------------------------------------------------
+def test_old_files_are_taken_and_waited_for(spark, made):
+    """A backfill: its files' times lie days before those already read."""
+    catalog, source, folder = made
+    catalog.create_table("t", FIELDS, source, refresh="100 milliseconds")
+    assert catalog.search("t", wait=True).total == 20
+    arrive(spark, f"{folder}/elsewhere", [record(20)])
+    [new] = [f for f in os.listdir(f"{folder}/elsewhere/source") if f.startswith("part-")]
+    long_ago = time.time() - 9 * 86_400
+    os.utime(f"{folder}/elsewhere/source/{new}", (long_ago, long_ago))
+    shutil.copy2(f"{folder}/elsewhere/source/{new}", f"{folder}/source/{new}")
+    assert catalog.search("t", wait=True).total == 21
+    arrive(spark, folder, [record(21)])
+    catalog.stop("t")
+    assert keys(catalog.view("t").df) == list(range(22))
+
+
+def test_a_limit_on_the_age_of_files_can_be_set(spark, made):
+    catalog, source, folder = made
+    catalog.create_table("t", FIELDS, source, start=False)
+    drain(catalog)
+    arrive(spark, folder, [record(20)])
+    long_ago = time.time() - 9 * 86_400
+    for f in os.listdir(f"{folder}/source"):
+        os.utime(f"{folder}/source/{f}", (long_ago, long_ago))
+    arrive(spark, folder, [record(21)])
+    drain(catalog, files_per_batch=1, file_age="7d")
+    drain(catalog, files_per_batch=1, file_age="7d")
+    assert 21 in keys(catalog.view("t").df)
+    assert catalog.view("t").df.count() >= 21
+
+
+def test_waiting_asks_the_driver_nothing_about_files(spark, made, monkeypatch):
+    """Neither the source nor the stream's own log is listed or read, with however many files."""
+    catalog, source, folder = made
+    spark.createDataFrame([record(i) for i in range(20, 320)], "_name string, _key string, value string").repartition(300).write.mode("append").parquet(f"{folder}/source")
+    catalog.create_table("t", FIELDS, source, refresh="100 milliseconds")
+    touched = []
+    for name in ("text", "entries"):
+        usual = getattr(Folder, name)
+        monkeypatch.setattr(Folder, name, lambda self, *a, usual=usual, name=name: touched.append((name, self.path, *a)) or usual(self, *a))
+    monkeypatch.setattr(type(spark.read), "load", lambda *a, **k: pytest.fail("the source is read by the driver"))
+    catalog.wait_for_arrived("t")
+    assert all(path.endswith(("/commits", "/t")) for _, path, *_ in touched) and len(touched) < 10
+    monkeypatch.undo()
+    assert catalog.search("t").total == 320
+
+
+def test_waiting_for_a_failed_stream_says_so(spark, made):
+    catalog, source, folder = made
+    catalog.create_table("t", FIELDS, source, refresh="100 milliseconds", on_bad_value="fail")
+    catalog.search("t", wait=True)
+    arrive(spark, folder, [("listTest", "91", json.dumps({"index": "x"}))])
+    with pytest.raises(TarnseekError):
+        for _ in range(100):
+            catalog.search("t", wait=True, wait_seconds=30)
+
+
+# --- hashes ------------------------------------------------------------------------------------
+def put(spark, folder, pairs, by_name=True):
+    df = spark.createDataFrame([(n, k, json.dumps({"index": i})) for n, k, i in pairs], "_name string, _key string, value string").coalesce(1)
+    (df.write.mode("append").partitionBy("_name") if by_name else df.write.mode("append")).parquet(f"{folder}/hashes")
+
+
+def pairs_of(df):
+    return sorted((r["_name"], r["_key"], r["index"]) for r in df.select("_name", "_key", "index").collect())
+
+
+@pytest.mark.parametrize("by_name", [True, False])
+def test_hashes_stream_by_their_keys(spark, tmp_path, by_name):
+    """Keys go on after the last one taken, each hash on its own; new hashes are found; others are left alone."""
+    first = [("h1", "key_1", 1), ("h1", "key_10", 10), ("h2", "a", 2), ("other", "x", 3)]
+    put(spark, tmp_path, first, by_name)
+    catalog = Catalog(spark, f"{tmp_path}/tables", search_expired=60)
+    catalog.create_table("t", [("index", "int")], RecordSource("hash", f"{tmp_path}/hashes", "h*", by_name=by_name), start=False)
+    drain(catalog)
+    assert pairs_of(catalog.view("t").df) == first[:3]
+    more = [("h1", "key_2", 20), ("h2", "b", 4), ("h3", "0", 5), ("h1", "key_0", 99)]
+    put(spark, tmp_path, more, by_name)
+    drain(catalog)
+    drain(catalog)
+    # key_0 comes before what was taken, and a scan by key has passed it.
+    assert pairs_of(catalog.view("t").df) == sorted(first[:3] + more[:3])
+    catalog.start("t", refresh="100 milliseconds")
+    put(spark, tmp_path, [("h3", "1", 6), ("h3", "10", 7)], by_name)
+    assert catalog.search("t", wait=True).total == 8
+    catalog.stop("t")
+    with pytest.raises(TarnseekError):
+        RecordSource("hash", "x", "h", format="json")
+
+
+def test_a_killed_hash_stream_goes_on(spark, tmp_path, monkeypatch):
+    """It dies after a batch is planned and written, before it is noted; the next run takes the same keys again, once."""
+    put(spark, tmp_path, [("h1", f"k{i:03}", i) for i in range(50)])
+    catalog = Catalog(spark, f"{tmp_path}/tables")
+    catalog.create_table("t", [("index", "int")], RecordSource("hash", f"{tmp_path}/hashes", "h1", by_name=True), start=False)
+    drain(catalog)
+    put(spark, tmp_path, [("h1", f"k{i:03}", i) for i in range(50, 80)])
+
+    def die(self, batch):
+        raise _Interrupted
+
+    with monkeypatch.context() as patched:
+        patched.setattr("tarnseek.streaming.snapshots.SnapshotLog.commit", die)
+        with pytest.raises(StreamingQueryException):
+            drain(catalog)
+    put(spark, tmp_path, [("h1", f"k{i:03}", i) for i in range(80, 90)])
+    # The planned batch is done over with the end it had; what came later is for the run after it.
+    drain(catalog)
+    assert pairs_of(catalog.view("t").df) == [("h1", f"k{i:03}", i) for i in range(80)]
+    drain(catalog)
+    assert pairs_of(catalog.view("t").df) == [("h1", f"k{i:03}", i) for i in range(90)]
+
+
+def test_awkward_hash_files(spark, tmp_path):
+    """Null keys and names, several names in a row group, an empty file, letters beyond ASCII, names that folders spell otherwise."""
+    rows = [("h", None, "{}"), (None, "k", "{}"), ("h", "é", "{}"), ("h", "z", "{}"), ("h", "", "{}"), ("h:=/1 ", "k", None), ("g", "k", "{}")]
+    df = spark.createDataFrame(rows, "_name string, _key string, value string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/flat")
+    df.where("false").coalesce(1).write.mode("append").parquet(f"{tmp_path}/flat")
+    df.coalesce(1).write.partitionBy("_name").parquet(f"{tmp_path}/named")
+    for folder in ("flat", "named"):
+        out = f"{tmp_path}/out-{folder}"
+        stream = stream_records(spark, RecordSource("hash", f"{tmp_path}/{folder}", "h*"))
+        stream.writeStream.option("checkpointLocation", f"{out}-c").format("parquet").trigger(availableNow=True).start(out).awaitTermination()
+        got = {(r["_name"], r["_key"], r["value"]) for r in spark.read.parquet(out).collect()}
+        assert got == {("h", "é", "{}"), ("h", "z", "{}"), ("h", "", "{}"), ("h:=/1 ", "k", None)}
+
+
+# --- sources by name ---------------------------------------------------------------------------
+def test_only_folders_of_matching_names_are_read(spark, tmp_path):
+    rows = [("list_a", "1", "{}"), ("list:b", "2", "{}"), ("other", "3", "{}")]
+    df = spark.createDataFrame(rows, "_name string, _key string, value string")
+    df.write.partitionBy("_name").parquet(f"{tmp_path}/feed")
+    with open(f"{tmp_path}/feed/_name=other/part-broken.parquet", "w") as f:
+        f.write("not parquet")
+    for pattern, names in (("list*", ["list:b", "list_a"]), ("list:*", ["list:b"]), ("list_a", ["list_a"])):
+        source = RecordSource("list", f"{tmp_path}/feed", pattern, by_name=True)
+        assert sorted(r["_name"] for r in read_records(spark, source).collect()) == names
+        catalog = Catalog(spark, f"{tmp_path}/tables-{len(names)}-{pattern[-1] == "*"}")
+        catalog.create_table("t", [("index", "int")], source, start=False)
+        drain(catalog)
+        assert sorted(r["_name"] for r in catalog.view("t").df.collect()) == names
+    late = spark.createDataFrame([("list_z", "4", "{}")], "_name string, _key string, value string")
+    late.write.mode("append").partitionBy("_name").parquet(f"{tmp_path}/feed")
+    catalog = Catalog(spark, f"{tmp_path}/tables-2-True")
+    drain(catalog)
+    assert sorted(r["_name"] for r in catalog.view("t").df.collect()) == ["list:b", "list_a", "list_z"]
