@@ -43,9 +43,9 @@ _ESCAPED = re.compile(r"""["#%'*/:=?\\{\[\]^\x00-\x1f\x7f]""")
 
 
 def _folders(source: RecordSource) -> str:
-    """The folders of the matching names, as a path that may end in ``*``."""
+    """The folders of the matching names, as a glob: the stream takes a plain path for a table of its own."""
     start = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", source.name.replace("*", ""))
-    return f"{source.path.rstrip('/')}/_name={start}{'*' if '*' in source.name else ''}"
+    return f"{source.path.rstrip('/')}/[_]name={start}{'*' if '*' in source.name else ''}"
 
 
 def read_records(spark: SparkSession, source: RecordSource) -> DataFrame:
