@@ -28,6 +28,10 @@ class PostingsSource:
         """Tie columns, term, tf, length, positions; of all terms or some."""
         raise NotImplementedError
 
+    def postings_like(self, glob: str) -> DataFrame:
+        """The same of the terms that a glob fits."""
+        return self.postings(None).where(glob_match(F.col("term"), glob))
+
     def sizes(self) -> DataFrame:
         """``docs`` and ``tokens``, to be added up."""
         raise NotImplementedError
@@ -82,7 +86,7 @@ def measured(view: TableView, where: Clause, sources: Mapping[str, PostingsSourc
                 counts = phrase_counts(held, view.tie, by).withColumnRenamed("tf", names[what])
                 pieces.append((counts.join(lengths, list(view.tie)), True))
             elif what[0] == "glob":
-                fits = source.postings(None).where(glob_match(F.col("term"), by))
+                fits = source.postings_like(by)
                 pieces.append((fits.select(*view.tie, length, F.lit(1).alias(names[what])), False))
     if not pieces:
         found = view.df.select(*view.tie).limit(0)

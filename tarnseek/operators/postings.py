@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tarnseek.errors import TarnseekError
 from tarnseek.functions.columns import let
-from tarnseek.functions.globs import glob_match
+from tarnseek.functions.globs import glob_match, glob_parts
 from tarnseek.operators.relevance import bm25, idf, slot_count
 from tarnseek.operators.view import TableView
 
@@ -148,6 +148,66 @@ def score_postings(
     return held.groupBy(*keys).agg(F.sum(part).alias("score"))
 
 
+#: Marks put before and after a term, so that its beginning and end make trigrams of their own.
+_EDGES = "\x02", "\x03"
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters of a term with its edges."""
+    whole = F.concat(F.lit(_EDGES[0]), text, F.lit(_EDGES[1]))
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(whole) - 2, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(whole, i, F.lit(3))))
+
+
+def glob_trigrams(glob: str) -> list[str]:
+    """Runs of three characters that every term a glob fits has, edges included. None if its stretches are too short."""
+    parts = [("text", _EDGES[0]), *glob_parts(glob), ("text", _EDGES[1])]
+    runs = [""]
+    for kind, text in parts:
+        if kind == "text":
+            runs[-1] += text
+        else:
+            runs.append("")
+    return list(dict.fromkeys(r[i : i + 3] for r in runs for i in range(len(r) - 2)))
+
+
+@dataclass(frozen=True)
+class TermDictionary:
+    """The distinct terms of a postings table, each under all of its trigrams, in one directory per trigram bucket.
+
+    A glob reads the buckets of one of its trigrams and tests the terms there. A glob too short for any
+    reads each term once, under the trigram of its beginning.
+    """
+
+    path: str
+    buckets: int = 64
+
+    def _bucket(self, gram: Column) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(self.buckets)).cast("int")
+
+    def write(self, postings: DataFrame, part: str) -> None:
+        """The terms of ``postings`` (term, _bucket) as one part, replacing what it held."""
+        terms = postings.groupBy("term", F.col("_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+        rows = terms.select("*", F.posexplode(trigrams(F.col("term"))).alias("place", "gram"))
+        rows = rows.select("term", "bucket", "rows", "gram", (F.col("place") == 0).alias("first"), self._bucket(F.col("gram")).alias("_grams"))
+        (
+            rows.hint("rebalance", "_grams").sortWithinPartitions("_grams", "gram", "term")
+            .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_grams").parquet(f"{self.path}/{part}")
+        )
+
+    def like(self, spark: SparkSession, glob: str) -> DataFrame:
+        """(term, bucket, rows, _upto) of the terms that a glob fits."""
+        df = spark.read.option("basePath", self.path).parquet(self.path)
+        grams = glob_trigrams(glob)
+        if grams:
+            # The middle one: the edges' trigrams are shared by the most terms.
+            gram = F.lit(grams[len(grams) // 2])
+            df = df.where((F.col("_grams") == self._bucket(gram)) & (F.col("gram") == gram))
+        else:
+            df = df.where("first")
+        return df.where(glob_match(F.col("term"), glob)).select("term", "bucket", "rows", "_upto")
+
+
 @dataclass(frozen=True)
 class PostingsTable:
     """Postings on disk, in one directory per term bucket, sorted by term inside files."""
@@ -179,6 +239,16 @@ class PostingsTable:
             .parquet(f"{self.path}/{part}" if part else self.path)
         )
 
+    def part(self, spark: SparkSession, part: str) -> DataFrame:
+        """One part, with the bucket of each posting."""
+        return spark.read.parquet(f"{self.path}/{part}")
+
+    def read_terms(self, spark: SparkSession, terms: DataFrame) -> DataFrame:
+        """The postings of the terms (term, bucket) of a table: only their buckets are read, pruned when the terms are known."""
+        df = spark.read.option("basePath", self.path).parquet(self.path)
+        wanted = terms.select(F.col("term").alias("_term"), F.col("bucket").alias("_in"))
+        return df.join(wanted, (F.col("_bucket") == F.col("_in")) & (F.col("term") == F.col("_term")), "left_semi").drop("_bucket")
+
     def read(self, spark: SparkSession, terms: Sequence[str] | None = None) -> DataFrame:
         """All postings, or those of some terms: only their buckets are read."""
         df = spark.read.option("basePath", self.path).parquet(self.path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tarnseek.operators.clauses import Compare, Equals, MatchAny
+from tarnseek.operators.clauses import Compare, Equals, Like, MatchAny
 from tarnseek.plans.catalog import Catalog
 from tarnseek.plans.registered.registry import query
 from tarnseek.plans.registered.tables import SPECS, event_records, table
@@ -221,3 +221,22 @@ def stream_indexed_search(spark, sf_dir):
     catalog.index_text("documents", "text", buckets=64)
     where = MatchAny("text", "from ha") & Compare("n_chars", ">", 300)
     return page_with_total(catalog.search("documents", where, ["doc_id", "lang"], size=None))
+
+
+@query(
+    "stream_wildcard_search",
+    f"""
+    WITH {BM25_CTE},
+    hit AS (
+        SELECT DISTINCT doc_id, lang FROM part JOIN documents USING (doc_id)
+        WHERE regexp_matches(t, '^(con.*er|[^ ]at|.*ung)$') AND n_chars > 300
+    )
+    SELECT doc_id, lang, (SELECT count(*) FROM hit) AS total FROM hit
+    """,
+)
+def stream_wildcard_search(spark, sf_dir):
+    """Wildcards on a stored index: the dictionary gives the terms that fit, and their buckets alone are read."""
+    catalog = _document_table(spark, sf_dir, "stream_wildcard_search")
+    catalog.index_text("documents", "text", buckets=64)
+    where = (Like("text", "con*er") | Like("text", "?at") | Like("text", "*ung")) & Compare("n_chars", ">", 300)
+    return page_with_total(catalog.search("documents", where, ["doc_id", "lang"], size=None))

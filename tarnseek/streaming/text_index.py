@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tarnseek.functions.globs import glob_match
 from tarnseek.operators.indexed import PostingsSource
-from tarnseek.operators.postings import PostingsTable, build_postings
+from tarnseek.operators.postings import PostingsTable, TermDictionary, build_postings
 from tarnseek.operators.relevance import slot_count
 from tarnseek.operators.view import TableView
 from tarnseek.schema import ROW_ID
@@ -24,6 +25,7 @@ class TextIndex:
         self._folder = store.folder.child(f"index/{field}")
         self._notes = self._folder.child("updates")
         self._terms = PostingsTable(f"{self._folder.path}/terms", buckets, salts)
+        self._dictionary = TermDictionary(f"{self._folder.path}/dictionary")
         self._sizes = f"{self._folder.path}/sizes"
 
     def noted(self) -> list[int]:
@@ -37,7 +39,7 @@ class TextIndex:
     def _drop_orphans(self) -> None:
         """Remove parts that an update wrote without coming to note them."""
         noted = {f"_upto={n}" for n in self.noted()}
-        for name in ("terms", "sizes"):
+        for name in ("terms", "dictionary", "sizes"):
             folder = self._folder.child(name)
             for part in folder.names():
                 if part.startswith("_upto=") and part not in noted:
@@ -51,6 +53,7 @@ class TextIndex:
             view = self._view(done, latest)
             part = f"_upto={latest}"
             self._terms.write(build_postings(view, self.field), ROW_ID, part)
+            self._dictionary.write(self._terms.part(self.store.spark, part), part)
             self._batch_sizes(view).write.mode("overwrite").parquet(f"{self._sizes}/{part}")
             self._notes.put_new(str(latest))
         return latest
@@ -88,6 +91,20 @@ class _Snapshot(PostingsSource):
         fresh = self._index._view(self._covered, self._up_to)
         return stored.unionByName(build_postings(fresh, self._index.field, terms=terms))
 
+    def postings_like(self, glob):
+        """A glob picks terms of the dictionary, and the terms pick buckets of the postings."""
+        spark, index = self._index.store.spark, self._index
+        parts = {f"_upto={n}" for n in self._noted}
+        if not parts or not parts <= set(index._folder.child("dictionary").names()):
+            # An index of before there was a dictionary.
+            return super().postings_like(glob)
+        terms = index._dictionary.like(spark, glob).where(F.col("_upto").isin(self._noted)).select("term", "bucket").distinct()
+        stored = self._stored(index._terms.read_terms(spark, terms)).drop("_upto")
+        if self._covered >= self._up_to:
+            return stored
+        fresh = build_postings(index._view(self._covered, self._up_to), index.field)
+        return stored.unionByName(fresh.where(glob_match(F.col("term"), glob)))
+
     def sizes(self):
         spark, path = self._index.store.spark, self._index._sizes
         stored = self._stored(spark.read.option("basePath", path).parquet(path)).select("docs", "tokens")

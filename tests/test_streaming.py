@@ -25,6 +25,7 @@ from tarnseek import (
     search_view,
 )
 from tarnseek.functions.analyzers import Analyzer, STANDARD, register_analyzer, reset_analyzers
+from tarnseek.operators.postings import glob_trigrams
 from tarnseek.sources.decode import decode_records
 from tarnseek.sources.records import hash_range, list_range, name_matches, read_records, stream_records
 from tarnseek.sources.storage import Folder, work_folder
@@ -362,6 +363,12 @@ def indexed(spark, tmp_path_factory):
         Phrase("company", "red cat"),
         Phrase("company", "sat on the mat"),
         Like("company", "?at"),
+        Like("company", "p*r"),
+        Like("company", "*"),
+        Like("company", "*o*"),
+        Like("company", "dog"),
+        Like("company", "nothing*"),
+        Like("company", "") | Like("company", "\\*"),
         Equals("company", "cat") & Equals("city", "hz") & Compare("index", ">", 7),
         (Equals("company", "cat") & MatchAny("company", "dog")) | Equals("company", "power"),
         Equals("company", "cat") | Equals("city", "bj"),
@@ -378,6 +385,27 @@ def test_index_gives_the_same_answers(spark, indexed, where):
         assert with_index.total == plain.total
 
 
+def test_a_wildcard_reads_the_buckets_of_its_terms(spark, indexed):
+    """The dictionary is read by one trigram's bucket, and the postings by the buckets of the terms found there."""
+    assert indexed.index_text("t", "company") == 2
+    store, view = indexed.store("t"), indexed.view("t", 2)
+    [source] = indexed._indexes(store, Like("company", "po*er"), view, 2).values()
+    found = source.postings_like("po*er")
+    assert {r["term"] for r in found.collect()} == {"power"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower() and "_grams" in plan
+    terms = source._index._dictionary.like(spark, "po*er").select("term", "rows").distinct().collect()
+    assert {r["term"] for r in terms} == {"power"} and sum(r["rows"] for r in terms) >= 1
+
+
+def test_trigrams_of_globs():
+    edge = "\x02", "\x03"
+    assert glob_trigrams("*a*") == [] and glob_trigrams("*") == [] and glob_trigrams("") == []
+    assert glob_trigrams("?at") == [f"at{edge[1]}"]
+    assert glob_trigrams("ab*") == [f"{edge[0]}ab"]
+    assert glob_trigrams("\\*ab?cde") == [f"{edge[0]}*a", "*ab", "cde", f"de{edge[1]}"]
+
+
 def test_index_spares_the_token_arrays(spark, indexed):
     assert indexed.index_text("t", "company") == 2
     found = indexed.search("t", MatchAny("company", "cat power"), ["index"])
