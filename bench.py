@@ -66,6 +66,8 @@ def main() -> None:
         f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus,
+            # The test tables are files of one row group, which one task would tokenise.
+            "spark.tarnseek.textSplits": cpus,
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

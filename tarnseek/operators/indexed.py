@@ -46,7 +46,7 @@ def needs_token(where: Clause, view: TableView) -> bool:
     return bool(where.text_fields(view))
 
 
-def _measures(view: TableView, where: Clause) -> dict[str, dict[tuple, object]]:
+def token_measures(view: TableView, where: Clause) -> dict[str, dict[tuple, object]]:
     """Per field: what to measure, and the term, placed terms or glob to measure it by."""
     wanted: dict[str, dict[tuple, object]] = {}
     for leaf in where.leaves():
@@ -69,7 +69,7 @@ def measured(view: TableView, where: Clause, sources: Mapping[str, PostingsSourc
     """Rows with at least one of the searched tokens, carrying their measures."""
     names: dict[tuple, str] = {}
     pieces = []
-    for field, wanted in _measures(view, where).items():
+    for field, wanted in token_measures(view, where).items():
         source = sources[field]
         for what in wanted:
             names[what] = f"_x{len(names)}"

@@ -101,13 +101,17 @@ class CorpusFigures:
     """
 
     def __init__(self, view: TableView, where: Clause):
-        pairs = list(dict.fromkeys(p for leaf in where.leaves() for p in _scored_terms(view, leaf)))
         self.scalars: dict[str, Column] = {}
         self._places: dict[tuple, tuple[str, str]] = {}
-        for name in dict.fromkeys(f for f, _ in pairs):
-            terms = [t for f, t in pairs if f == name]
+        for name, terms in self.terms_of(view, where).items():
             self._add(name, terms, self.figures_of(view, name, terms))
 
+    @staticmethod
+    def terms_of(view: TableView, where: Clause) -> dict[str, list[str]]:
+        """The terms that score by rarity, by field."""
+        pairs = list(dict.fromkeys(p for leaf in where.leaves() for p in _scored_terms(view, leaf)))
+        return {name: [t for f, t in pairs if f == name] for name in dict.fromkeys(f for f, _ in pairs)}
+
     def _add(self, name: str, terms: list[str], figures: DataFrame) -> None:
         holder = f"_figures{len(self.scalars)}"
         self.scalars[holder] = figures.select(F.struct("*").alias("figures")).scalar()
@@ -220,10 +224,10 @@ class Scorer:
 
 
 def scored(
-    view: TableView, where: Clause, rounded: bool = False, figures: CorpusFigures | None = None
+    view: TableView, where: Clause, rounded: bool = False, figures: CorpusFigures | None = None, matched: bool = False
 ) -> TableView:
-    """Matching rows with their score in ``_score``."""
-    hits = matching(view, where)
+    """Matching rows with their score in ``_score``; ``matched`` says that all rows of the view match."""
+    hits = view if matched else matching(view, where)
     figures = figures or CorpusFigures(view, where)
     scorer = Scorer(hits, figures, rounded)
     score = scorer.score(where)

@@ -12,6 +12,11 @@ from tarnseek.functions import columns
 from tarnseek.schema import Field, Kind, TableSpec
 
 
+#: A setting of the session: texts are dealt over so many tasks before they are tokenised. Unset, they stay as the scan
+#: splits them, which suits tables of many row groups; a table of one row group would be tokenised by one task.
+TEXT_SPLITS = "spark.tarnseek.textSplits"
+
+
 @dataclass(frozen=True)
 class TableView:
     """``tie`` names columns that identify a row, in insertion order where known.
@@ -51,6 +56,9 @@ class TableView:
         """The view with token columns for these TEXT fields, each worked out once per row."""
         df = self.df
         missing = [f for f in map(self.text_field, dict.fromkeys(names)) if f.token_column not in df.columns]
+        splits = df.sparkSession.conf.get(TEXT_SPLITS, None)
+        if missing and splits:
+            df = df.repartition(int(splits))
         for field in missing:
             df = columns.pin(df, self.spec.analyzer.slots(F.col(field.name)), field.token_column)
         return replace(self, df=df)

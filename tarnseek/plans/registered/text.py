@@ -17,6 +17,7 @@ from tarnseek.operators.postings import (
     term_stats,
 )
 from tarnseek.operators.relevance import scored
+from tarnseek.operators.single_pass import hits_once
 from tarnseek.plans.registered.registry import query
 from tarnseek.plans.registered.tables import table, view
 from tarnseek.plans.search import page_with_total, search_view
@@ -182,6 +183,7 @@ def text_filter_sort_page(spark, sf_dir):
         Equals("lang", "en") & Equals("text", "from"),
         select=["doc_id", "lang", "source", "n_chars"],
         order_by=["n_chars desc"],
+        single_pass=True,
     )
     return page_with_total(found)
 
@@ -266,7 +268,8 @@ def text_postings_phrase(spark, sf_dir):
 def _scores(name: str, where, sql: str, rounded: bool = False) -> None:
     @query(name, f"WITH {BM25_CTE} {sql}")
     def run(spark, sf_dir):
-        hits = scored(view(spark, sf_dir, "documents"), where, rounded)
+        rows, figures, _ = hits_once(view(spark, sf_dir, "documents"), where, ["doc_id"], ranked=True)
+        hits = scored(rows, where, rounded, figures, matched=True)
         return hits.df.select("doc_id", F.round("_score", 6).alias("score"))
 
 
@@ -326,7 +329,7 @@ def bm25_from_postings(spark, sf_dir):
 )
 def relevance_page(spark, sf_dir):
     found = search_view(
-        view(spark, sf_dir, "documents"), MatchAny("text", "from ha"), select=["doc_id", "lang"]
+        view(spark, sf_dir, "documents"), MatchAny("text", "from ha"), select=["doc_id", "lang"], single_pass=True
     )
     return found.rows
 

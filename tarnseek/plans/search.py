@@ -24,6 +24,7 @@ from tarnseek.operators.ordering import (
     sort_keys,
 )
 from tarnseek.operators.relevance import ranks_by_score, scored
+from tarnseek.operators.single_pass import hits_once
 from tarnseek.operators.view import TableView
 from tarnseek.schema import KEY_COLUMNS
 
@@ -83,6 +84,7 @@ def search_view(
     rounded_lengths: bool = False,
     snapshot: int | None = None,
     indexes: Mapping[str, PostingsSource] | None = None,
+    single_pass: bool = False,
 ) -> SearchResult:
     """Search one table.
 
@@ -92,7 +94,8 @@ def search_view(
     key, and hits whose record is gone are left out of the rows, not of the
     total. ``indexes`` are stored postings by TEXT field; they're used where
     they can drive the search. Without a ``size`` all hits are given, in order. ``counted_ranges`` finds a page far in by counting
-    (see ``page_rows``).
+    (see ``page_rows``). ``single_pass`` runs the search at once and reads the table once for rows, total and figures (see
+    ``hits_once``); else each is a query of its own, run when asked for. It doesn't go with stored postings that can drive the search.
     """
     if size is not None:
         check_page(page, size)
@@ -101,17 +104,26 @@ def search_view(
     else:
         in_order = bool(split_order(group_field(view, group_by).name, order_by)[0])
     ranked = not in_order and ranks_by_score(view, where)
-    rows, figures = view, None
+    rows, figures, seen = view, None, None
     if where is not None and set(where.text_fields(view)) <= set(indexes or ()) and needs_token(where, view):
         rows = measured(view, where, indexes)
         figures = IndexFigures(view, where, indexes) if ranked else None
-    hits = scored(rows, where, rounded_lengths, figures) if ranked else matching(rows, where)
+    elif single_pass and where is not None:
+        keep = view.spec.field_names if select is None else select
+        texts_of_rows = [] if records is not None else ["_value"] if missing_as_text or any(not view.spec.has(n) for n in keep) else []
+        rows, figures, seen = hits_once(view, where, [*keep, *texts_of_rows], ranked)
+    if ranked:
+        hits = scored(rows, where, rounded_lengths, figures, seen is not None)
+    else:
+        hits = rows if seen is not None else matching(rows, where)
     if group_by is not None:
         return SearchResult(
             ordered_groups(hits, group_by, order_by), group_total(hits, group_by), snapshot
         )
     # Scores and projected columns are pruned from the count.
     counted = hits.df.agg(F.count(F.lit(1)).alias("total"))
+    if seen is not None:
+        counted = hits.df.sparkSession.range(1).select(F.lit(seen).cast("long").alias("total"))
     keys = sort_keys(hits, order_by)
     if ranked:
         keys = [SortKey(F.col("_score"), True), *keys]

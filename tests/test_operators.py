@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -400,3 +401,51 @@ def test_latest_of_nulls_and_of_a_replayed_log(spark):
     for again in (records, records.repartition(7)):
         got = latest_records(again, ["_name", "_key"], "v").select("_name", "_key", "value", "v").collect()
         assert sorted(map(tuple, got), key=str) == sorted([("a", "1", "w", 2), ("a", None, "null", 3), ("b", "1", "no version", None), (None, None, "none", 1)], key=str)
+
+
+# --- one pass over the table ---------------------------------------------------------------------
+@pytest.mark.parametrize(
+    "where",
+    [
+        Equals("note", "cat"),
+        MatchAny("note", "Red or DOG"),
+        MatchAll("note", "the CAT mat"),
+        Phrase("note", "cat sat on the mat") | Phrase("note", "nowhere to be seen"),
+        Like("note", "?at") | Equals("note", "dog"),
+        Equals("city", "hz") & Equals("note", "cat") | Equals("id", 5) | Equals("city", "bj"),
+        Compare("big", ">", 0),
+        Equals("note", "nothing"),
+    ],
+)
+@pytest.mark.parametrize("order_by", [(), ("id desc",)])
+def test_a_single_pass_gives_the_same(view, where, order_by):
+    asked = dict(select=["id", "note", "city"], order_by=order_by, size=10)
+    usual = search_view(view, where, **asked)
+    found = search_view(view, where, single_pass=True, **asked)
+    assert [tuple(r) for r in found.rows.collect()] == [tuple(r) for r in usual.rows.collect()]
+    assert found.total == usual.total
+    narrow = search_view(view, where, select=["id"], order_by=order_by, single_pass=True, rounded_lengths=True)
+    assert [r["id"] for r in narrow.rows.collect()] == [r["id"] for r in search_view(view, where, select=["id"], order_by=order_by, rounded_lengths=True).rows.collect()]
+    grouped = search_view(view, where, group_by="city", single_pass=True)
+    assert [tuple(r) for r in grouped.rows.collect()] == [tuple(r) for r in search_view(view, where, group_by="city").rows.collect()]
+
+
+def test_a_single_pass_reads_the_table_once(view, tmp_path):
+    """The answer's plan reads the written hits, not the table; texts that weren't asked for aren't written."""
+    path = f"{tmp_path}/table"
+    view.df.write.parquet(path)
+    spark = view.df.sparkSession
+    stored = replace(view, df=spark.read.parquet(path))
+    found = search_view(stored, MatchAny("note", "cat dog"), select=["id"], single_pass=True)
+    plan = found.rows._jdf.queryExecution().executedPlan().toString() + found.counted._jdf.queryExecution().executedPlan().toString()
+    assert path not in plan and "regexp_extract_all" not in plan and "note" not in plan.replace("_x", "")
+
+
+def test_texts_are_dealt_over_as_many_tasks_as_the_session_says(spark, view):
+    spark.conf.set("spark.tarnseek.textSplits", "3")
+    try:
+        tokenised = view.with_tokens("note")
+        assert tokenised.df.rdd.getNumPartitions() == 3
+        assert search_view(view, Equals("note", "cat")).total == 3
+    finally:
+        spark.conf.unset("spark.tarnseek.textSplits")
