@@ -136,7 +136,11 @@ def page_rows(
     page is asked for, and only those between the ranges of its first and last row are sorted.
     """
     check_page(page, size)
-    skip = (page - 1) * size
+    return slice_rows(df, keys, (page - 1) * size, size, counted_ranges)
+
+
+def slice_rows(df: DataFrame, keys: Sequence[SortKey], skip: int, size: int, counted_ranges: bool = False) -> DataFrame:
+    """``size`` rows after the first ``skip`` in order."""
     if not counted_ranges:
         return ordered(df, keys).offset(skip).limit(size)
     start = range_holding(df, keys, skip)
@@ -190,8 +194,8 @@ class SortedRange:
         return df.where(earlier if self.high else earlier | _same_row(keys, self.prefix))
 
 
-def range_holding(df: DataFrame, keys: Sequence[SortKey], rank: int) -> SortedRange | None:
-    """A sorted range of few rows that holds the row of this rank (from 0).
+def range_holding(df: DataFrame, keys: Sequence[SortKey], rank: int, weight: Column | None = None) -> SortedRange | None:
+    """A sorted range of few rows that holds the row of this rank (from 0). With a ``weight``, each row counts as so many.
 
     Each round sketches one key over all rows of the part, counts the rows before, at and
     between the sketch's values exactly in one pass, and keeps the part with
@@ -199,7 +203,8 @@ def range_holding(df: DataFrame, keys: Sequence[SortKey], rank: int) -> SortedRa
     split. The sketch decides only where parts end; counts and rows are whole.
     Only split values and one count per part come to the driver.
     """
-    total = df.count()
+    many = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    total = df.agg(many.alias("n")).first()["n"] or 0
     if rank >= total:
         return None
     found = SortedRange((), (), (), 0, total, total)
@@ -210,7 +215,7 @@ def range_holding(df: DataFrame, keys: Sequence[SortKey], rank: int) -> SortedRa
         slot = sum(
             F.when(key.after(s), 2).when(key.same(s), 1).otherwise(0) for s in splits
         )
-        counts = {r["slot"]: r["count"] for r in part.groupBy(slot.alias("slot")).count().collect()}
+        counts = {r["slot"]: r["n"] for r in part.groupBy(slot.alias("slot")).agg(many.alias("n")).collect()}
         before, i = found.before, 0
         while before + counts.get(i, 0) <= rank:
             before += counts.get(i, 0)
@@ -232,6 +237,8 @@ def _split_values(part: DataFrame, key: SortKey) -> list:
     what all of them begin with; a split is the least string at or after each quantile.
     """
     kind = part.select(key.column.alias("k")).schema["k"].dataType.typeName()
+    if kind == "boolean":
+        return _in_order([None, False, True], key.descending)
     shares = [(i + 0.5) / _SPLITS for i in range(_SPLITS)]
     if kind in ("byte", "short", "integer", "long", "float", "double", "timestamp_ntz", "timestamp", "date"):
         row = part.agg(F.percentile_approx(key.column, shares, 1000).alias("q"), F.count_if(key.column.isNull()).alias("nulls")).first()

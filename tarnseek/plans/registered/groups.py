@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tarnseek.operators.clauses import Compare, matching
 from tarnseek.operators.grouping import (
     group_counts,
@@ -85,3 +87,22 @@ def members_page(spark, sf_dir):
             "event_type", "event_id", "value"
         )
     )
+
+
+@query(
+    "group_members_deep_page",
+    """
+    SELECT * FROM (SELECT user_id, event_id, value, 1 AS page FROM events ORDER BY user_id, value DESC, event_id LIMIT 5)
+    UNION ALL
+    SELECT * FROM (SELECT user_id, event_id, value, 1000 AS page FROM events ORDER BY user_id, value DESC, event_id LIMIT 5 OFFSET 4995)
+    """,
+)
+def members_deep_page(spark, sf_dir):
+    """Pages 1 and 1000 by the offsets of the groups: only users on the page are read again."""
+    events = view(spark, sf_dir, "events")
+    pages = [
+        group_members(events, "user_id", ["user_id", "value desc"], page=p, size=5, by_offsets=True)
+        .select("user_id", "event_id", "value", F.lit(p).alias("page"))
+        for p in (1, 1000)
+    ]
+    return pages[0].union(pages[1])

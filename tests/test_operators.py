@@ -449,3 +449,31 @@ def test_texts_are_dealt_over_as_many_tasks_as_the_session_says(spark, view):
         assert search_view(view, Equals("note", "cat")).total == 3
     finally:
         spark.conf.unset("spark.tarnseek.textSplits")
+
+
+# --- group members by offsets ----------------------------------------------------------------------
+@pytest.mark.parametrize("order_by", [(), ("g desc", "v"), ("v desc",), ("s", "g")])
+def test_members_by_offsets(spark, monkeypatch, order_by):
+    """Every page, groups of one to many rows, missing groups and a real zero among them."""
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 7)
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 0, 0, 3, *range(-40, 40)]) if i % 3 else 11, rng.randrange(9), rng.choice("abc")) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g int, v int, s string")
+    members = TableView(df, TableSpec("m", (Field("id", Kind.INT), Field("g", Kind.INT), Field("v", Kind.INT), Field("s", Kind.STRING))), ("id",))
+    asked = dict(group_by="g", order_by=order_by, size=70)
+    for page in (1, 2, 5, 6):
+        usual = group_members(members, page=page, **asked).collect()
+        assert group_members(members, page=page, by_offsets=True, **asked).collect() == usual
+    with pytest.raises(TarnseekError):
+        group_members(members, "g", page=0, by_offsets=True)
+
+
+def test_members_by_offsets_read_the_groups_of_the_page(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 100)
+    df = spark.range(5000).selectExpr("cast(id as int) id", "cast(id div 10 as int) g")
+    df.write.parquet(f"{tmp_path}/rows")
+    members = TableView(spark.read.parquet(f"{tmp_path}/rows"), TableSpec("m", (Field("id", Kind.INT), Field("g", Kind.INT))), ("id",))
+    page = group_members(members, "g", page=100, size=20, by_offsets=True)
+    assert [r["id"] for r in page.collect()] == list(range(1980, 2000))
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan" in plan.split("PushedFilters:")[1].split("]")[0] or "Or(" in plan.split("PushedFilters:")[1].split("]")[0]
