@@ -1,7 +1,7 @@
 """Search and analytics over keyed JSON records, on Spark."""
 
 from tarnseek.errors import TarnseekError
-from tarnseek.functions.analyzers import Analyzer, register_analyzer
+from tarnseek.functions.analyzers import Analyzer, Pipeline, register_analyzer
 from tarnseek.operators.clauses import (
     Between,
     Compare,
@@ -32,6 +32,7 @@ __all__ = [
     "MatchAll",
     "MatchAny",
     "Phrase",
+    "Pipeline",
     "RecordSource",
     "SearchResult",
     "TableSpec",

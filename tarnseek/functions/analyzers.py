@@ -8,7 +8,8 @@ keep their gaps and phrases can be matched on the array.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import unicodedata
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, SparkSession, functions as F
@@ -59,8 +60,57 @@ def words(text: Column, lowercase: bool, max_length: int = MAX_TOKEN_LENGTH) ->
     return let(found, chop)
 
 
+class Tokenizing:
+    """What analyzers of any kind share: tokens and query literals come from the same slots."""
+
+    #: Each token stands in the folded text as it is, so a plain test of the text can come first.
+    stands_in_text = True
+
+    def slots(self, text: Column) -> Column:
+        """One array slot per word; NULL where there is no token."""
+        raise NotImplementedError
+
+    def tokens(self, text: Column) -> Column:
+        """The tokens in order."""
+        return F.filter(self.slots(text), lambda w: w.isNotNull())
+
+    def fold(self, text: Column) -> Column:
+        return text
+
+    def analyze_literal(self, spark: SparkSession, text: str) -> list[tuple[int, str]]:
+        """(position, token) of a query literal, by the same expression as table text."""
+        if (self, text) not in _literals:
+            row = spark.sql("SELECT 1").select(self.slots(F.lit(text)).alias("slots")).first()
+            if len(_literals) >= _KEPT_LITERALS:
+                _literals.clear()
+            _literals[self, text] = [(i, w) for i, w in enumerate(row["slots"]) if w is not None]
+        return list(_literals[self, text])
+
+    def to_dict(self) -> dict:
+        raise NotImplementedError
+
+
 @dataclass(frozen=True)
-class Analyzer:
+class Pipeline(Tokenizing):
+    """An analyzer of one's own: any native expression from a text to an array of tokens, NULL where a word has none.
+
+    Its tokens needn't stand in the text, so texts aren't sifted before they are tokenised. A table keeps the
+    name, under which the pipeline must be registered in every session that opens the table; so give a changed one a name of its own.
+    """
+
+    name: str
+    function: Callable[[Column], Column]
+    stands_in_text = False
+
+    def slots(self, text: Column) -> Column:
+        return self.function(text)
+
+    def to_dict(self) -> dict:
+        return {"pipeline": self.name}
+
+
+@dataclass(frozen=True)
+class Analyzer(Tokenizing):
     """``name`` is for people; the other values are what a table keeps."""
 
     name: str
@@ -87,15 +137,6 @@ class Analyzer:
     def fold(self, text: Column) -> Column:
         return F.lower(text) if self.lowercase else text
 
-    def analyze_literal(self, spark: SparkSession, text: str) -> list[tuple[int, str]]:
-        """(position, token) of a query literal, by the same expression as table text."""
-        if (self, text) not in _literals:
-            row = spark.sql("SELECT 1").select(self.slots(F.lit(text)).alias("slots")).first()
-            if len(_literals) >= _KEPT_LITERALS:
-                _literals.clear()
-            _literals[self, text] = [(i, w) for i, w in enumerate(row["slots"]) if w is not None]
-        return list(_literals[self, text])
-
     def with_stop_words(self, stop_words: Iterable[str]) -> Analyzer:
         return replace(self, name=f"{self.name}+stop", stop_words=tuple(sorted(set(stop_words))))
 
@@ -103,30 +144,49 @@ class Analyzer:
         return {**vars(self), "stop_words": list(self.stop_words)}
 
     @staticmethod
-    def from_dict(raw: dict) -> Analyzer:
+    def from_dict(raw: dict) -> Tokenizing:
+        if "pipeline" in raw:
+            return analyzer_named(raw["pipeline"])
         return Analyzer(**{**raw, "stop_words": tuple(raw["stop_words"])})
 
 
 # Analysed query literals, so that building one query doesn't analyse them repeatedly.
-_literals: dict[tuple[Analyzer, str], list[tuple[int, str]]] = {}
+_literals: dict[tuple[Tokenizing, str], list[tuple[int, str]]] = {}
 _KEPT_LITERALS = 1_000
 
 STANDARD = Analyzer("standard")
 CASE_PRESERVING = Analyzer("case_preserving", lowercase=False)
 
-_registry: dict[str, Analyzer] = {}
+def _unaccented() -> tuple[str, str]:
+    """Latin letters with accents that can be taken off, and the letters without them."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250))]
+    pairs = [(c, base) for c, base in pairs if base != c and base.isascii()]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
+
+
+def without_accents(text: Column) -> Column:
+    """Latin letters without their accents, whether these are part of the letter or follow it."""
+    plain = F.regexp_replace(F.translate(text, *_unaccented()), "[\u0300-\u036f]", "")
+    return F.when(F.char_length(text) == F.octet_length(text), text).otherwise(plain)
+
+
+FOLDED = Pipeline("folded", lambda text: STANDARD.slots(without_accents(text)))
+
+_registry: dict[str, Tokenizing] = {}
 
 
-def register_analyzer(name: str, analyzer: Analyzer) -> None:
-    """Make an analyzer known by a case-insensitive name.
+def register_analyzer(name: str, analyzer: Tokenizing | Callable[[Column], Column]) -> None:
+    """Make an analyzer, or a function from text to tokens (see ``Pipeline``), known by a case-insensitive name.
 
     Tables copy the analyzer's values when created, so a later change of the
     name touches only tables created after it.
     """
+    if not isinstance(analyzer, Tokenizing):
+        analyzer = Pipeline(name.lower(), analyzer)
     _registry[name.lower()] = analyzer
 
 
-def analyzer_named(name: str) -> Analyzer:
+def analyzer_named(name: str) -> Tokenizing:
     try:
         return _registry[name.lower()]
     except KeyError:
@@ -137,6 +197,7 @@ def reset_analyzers() -> None:
     _registry.clear()
     register_analyzer("standard", STANDARD)
     register_analyzer("case_preserving", CASE_PRESERVING)
+    register_analyzer("folded", FOLDED)
 
 
 reset_analyzers()

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tarnseek.errors import TarnseekError
-from tarnseek.functions.analyzers import Analyzer, analyzer_named
+from tarnseek.functions.analyzers import Tokenizing, analyzer_named
 from tarnseek.operators.clauses import Clause
 from tarnseek.operators.view import TableView
 from tarnseek.plans.search import SearchResult, search_view
 from tarnseek.schema import ROW_ID, Field, Kind, RecordSource, TableSpec
-from tarnseek.sources.records import FILE_AGE, FILES_PER_BATCH, stream_records
+from tarnseek.sources.records import ARRIVED, FILE_AGE, FILES_PER_BATCH, current_records, stream_records
 from tarnseek.sources.storage import Folder
 from tarnseek.streaming.feed import REFRESH, TableStore
 from tarnseek.streaming.progress import progress_of
@@ -43,7 +43,7 @@ class Catalog:
         name: str,
         fields: Sequence[Field | tuple],
         source: RecordSource,
-        analyzer: str | Analyzer = "standard",
+        analyzer: str | Tokenizing = "standard",
         start: bool = True,
         **start_options,
     ) -> TableSpec:
@@ -184,15 +184,20 @@ class Catalog:
         token: int = NO_TOKEN,
         wait: bool = False,
         wait_seconds: float = WAIT_SECONDS,
+        fresh: bool = False,
         **options,
     ) -> SearchResult:
         """Search a table (see ``search_view`` for the options).
 
         A running table gives a snapshot token with the result; passing it back
         pages through the same rows. ``wait`` makes rows that have arrived at
-        the source by now visible first, within ``wait_seconds``.
+        the source by now visible first, within ``wait_seconds``. ``fresh`` reads the values of the page from the
+        table's own source as they are there now: of several records under a key that of the newest file; hits whose record is
+        gone are left out of the rows.
         """
         store = self.store(name)
+        if fresh:
+            options |= {"records": current_records(self.spark, store.spec.source), "version": ARRIVED}
         query = self.running_query(name)
         snapshot = None
         up_to = None

@@ -116,6 +116,28 @@ def stream_ingest_prefix(spark, sf_dir):
     return _shown(feed.catalog.store("events").rows())
 
 
+@query(
+    "stream_fresh_page",
+    "SELECT event_id, value + 1000 AS value, 'again' AS note FROM events WHERE event_type = 'view' "
+    "ORDER BY events.value DESC, event_id LIMIT 40",
+)
+def stream_fresh_page(spark, sf_dir):
+    """A page by the indexed values, its records read from the table's own source, where they have been put again since."""
+    feed = _Feed(spark, sf_dir, "stream_fresh_page")
+    members = ("event_id", "ts", "user_id", "event_type", "value", "props")
+    events = table(spark, sf_dir, "events")
+    put = [(events, members), (events.where("event_type = 'view'").withColumns({"value": F.col("value") + 1000, "note": F.lit("again")}), (*members, "note"))]
+    source = RecordSource("hash", f"{feed.folder}/source", "view", by_name=True)
+    for lot, (rows, names) in enumerate(put):
+        pairs = to_records(rows, F.col("event_type"), F.col("event_id"), *names)
+        pairs.write.mode("append").partitionBy("_name").parquet(f"{feed.folder}/source")
+        if not lot:
+            feed.catalog.create_table("events", SPECS["events"][0], source, start=False)
+            feed.drain()
+    asked = {"select": ["event_id", "value", "note"], "order_by": ["value desc", "event_id"], "size": 40}
+    return feed.catalog.search("events", fresh=True, **asked).rows
+
+
 @query("live_scan", 'SELECT event_type, count(*) AS "count" FROM events GROUP BY event_type')
 def live_scan(spark, sf_dir):
     """Group counts asked of a running table as soon as the last lot has arrived."""

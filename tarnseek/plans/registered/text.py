@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from tarnseek.functions.analyzers import CASE_PRESERVING, ENGLISH_STOP_WORDS, STANDARD
+from tarnseek.functions.analyzers import CASE_PRESERVING, ENGLISH_STOP_WORDS, FOLDED, STANDARD
 from tarnseek.operators.clauses import Compare, Equals, Like, MatchAll, MatchAny, Phrase, matching
 from tarnseek.operators.postings import (
     build_postings,
@@ -103,6 +105,7 @@ _CUSTOM = ("de", "la", "el", "der", "die", "und", "le", "les", "the")
 _token_lines("tokenize_case_preserving", CASE_PRESERVING, "text", ENGLISH_STOP_WORDS)
 _token_lines("tokenize_custom_stopwords", STANDARD.with_stop_words(_CUSTOM), "lower(text)", _CUSTOM)
 _token_lines("tokenize_no_stopwords", STANDARD.with_stop_words(()), "lower(text)", ())
+_token_lines("tokenize_folded", FOLDED, "lower(strip_accents(text))", ENGLISH_STOP_WORDS)
 
 
 # --- token filters ----------------------------------------------------------------
@@ -200,6 +203,21 @@ def text_two_part_key(spark, sf_dir):
     return matching(view(spark, sf_dir, "conversations"), where).df.select("conv_id", "turn", "role")
 
 
+@query(
+    "text_folded",
+    f"""
+    SELECT doc_id, lang FROM (
+        SELECT doc_id, lang, {_words_sql("lower(strip_accents(text))")} AS w FROM documents
+    ) WHERE list_contains(w, 'fur') OR len(list_filter(w, lambda x: regexp_matches(x, '^.*tes$'))) > 0
+    """,
+)
+def text_folded(spark, sf_dir):
+    """An analyzer of one's own, whose tokens don't stand in the texts: accents are taken off both sides."""
+    docs = view(spark, sf_dir, "documents")
+    folded = replace(docs, spec=replace(docs.spec, analyzer=FOLDED))
+    return matching(folded, MatchAny("text", "für") | Like("text", "*tes")).df.select("doc_id", "lang")
+
+
 # --- postings ----------------------------------------------------------------------
 _POSTINGS = f"WITH {_WORD_CTE}"
 

@@ -7,14 +7,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tarnseek.errors import TarnseekError
 from tarnseek.functions.jsonvals import decode_object, member, member_or_null_text, result_json
 from tarnseek.operators.clauses import Clause, matching
 from tarnseek.operators.indexed import IndexFigures, PostingsSource, measured, needs_token
 from tarnseek.operators.grouping import group_field, group_total, ordered_groups, split_order
-from tarnseek.operators.lookup import fetch_records
+from tarnseek.operators.lookup import fetch_records, latest_records
 from tarnseek.operators.ordering import (
     DEFAULT_PAGE_SIZE,
     SortKey,
@@ -27,6 +27,8 @@ from tarnseek.operators.relevance import ranks_by_score, scored
 from tarnseek.operators.single_pass import hits_once
 from tarnseek.operators.view import TableView
 from tarnseek.schema import KEY_COLUMNS
+from tarnseek.sources.decode import typed
+from tarnseek.sources.storage import work_folder
 
 
 @dataclass(frozen=True)
@@ -80,6 +82,7 @@ def search_view(
     size: int | None = DEFAULT_PAGE_SIZE,
     counted_ranges: bool = False,
     records: DataFrame | None = None,
+    version: str | None = None,
     missing_as_text: bool = False,
     rounded_lengths: bool = False,
     snapshot: int | None = None,
@@ -92,7 +95,8 @@ def search_view(
     means all declared fields. Without ``order_by`` hits are ranked by score.
     ``records`` is the current record store: values are then fetched from it by
     key, and hits whose record is gone are left out of the rows, not of the
-    total. ``indexes`` are stored postings by TEXT field; they're used where
+    total; with ``version``, a column of it, the newest record of a key counts. A page with values to fetch is worked
+    out at once, so that its keys reach the scan of the values. ``indexes`` are stored postings by TEXT field; they're used where
     they can drive the search. Without a ``size`` all hits are given, in order. ``counted_ranges`` finds a page far in by counting
     (see ``page_rows``). ``single_pass`` runs the search at once and reads the table once for rows, total and figures (see
     ``hits_once``); else each is a query of its own, run when asked for. It doesn't go with stored postings that can drive the search.
@@ -110,8 +114,7 @@ def search_view(
         figures = IndexFigures(view, where, indexes) if ranked else None
     elif single_pass and where is not None:
         keep = view.spec.field_names if select is None else select
-        texts_of_rows = [] if records is not None else ["_value"] if missing_as_text or any(not view.spec.has(n) for n in keep) else []
-        rows, figures, seen = hits_once(view, where, [*keep, *texts_of_rows], ranked)
+        rows, figures, seen = hits_once(view, where, keep, ranked)
     if ranked:
         hits = scored(rows, where, rounded_lengths, figures, seen is not None)
     else:
@@ -132,7 +135,7 @@ def search_view(
     if records is None and not dynamic and not missing_as_text:
         found = _page(hits.df, keys, page, size, counted_ranges).select(*names)
     else:
-        found = _fetched_page(hits, keys, page, size, counted_ranges, names, records, missing_as_text)
+        found = _fetched_page(view, hits, keys, page, size, counted_ranges, names, records, version, missing_as_text)
     return SearchResult(found, counted, snapshot, size)
 
 
@@ -140,27 +143,58 @@ def _page(df: DataFrame, keys, page: int, size: int | None, counted_ranges: bool
     return ordered(df, keys) if size is None else page_rows(df, keys, page, size, counted_ranges)
 
 
-def _fetched_page(hits, keys, page, size, counted_ranges, names, records, missing_as_text) -> DataFrame:
+#: Keys of a page that are given to the scan of its values one by one; with more, the join alone picks them.
+KEYS_PUSHED = 1_000
+
+
+def _of_page(raw: DataFrame, page: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``raw`` without rows that can't be the page's, by its keys as literals. The page is a written table of its size."""
+    keys = page.select(*on).distinct().limit(KEYS_PUSHED + 1).collect()
+    if len(keys) > KEYS_PUSHED:
+        return raw
+    for column in on:
+        raw = raw.where(F.col(column).isin(sorted({k[column] for k in keys if k[column] is not None})))
+    return raw
+
+
+def _fetched_page(view, hits, keys, page, size, counted_ranges, names, records, version, missing_as_text) -> DataFrame:
     """Sort narrow rows first, then fetch the JSON values of the page alone."""
     if records is None:
-        if "_value" not in hits.df.columns:
+        if "_value" not in view.df.columns:
             raise TarnseekError("the table keeps no JSON values, so only declared fields can be read")
-        raw, on = hits.df.select(*hits.tie, "_value"), list(hits.tie)
+        raw, on = view.df.select(*hits.tie, "_value"), list(hits.tie)
     else:
         on = [c for c in KEY_COLUMNS if c in records.columns]
-        raw = records.select(*on, F.col("value").alias("_value"))
+        raw = records.select(*on, F.col("value").alias("_value"), *([version] if version else []))
     declared = [] if missing_as_text else [n for n in names if hits.spec.has(n)]
+    if version:
+        # What the record has now counts, also for declared fields.
+        declared = []
     narrow = dict.fromkeys([*on, *declared])
     sorting = [k.column.alias(f"_k{i}") for i, k in enumerate(keys)]
     order = [SortKey(F.col(f"_k{i}"), k.descending) for i, k in enumerate(keys)]
     one_page = _page(hits.df.select(*narrow, *sorting), order, page, size, counted_ranges)
+    if size is not None:
+        path = work_folder(one_page.sparkSession, "page")
+        one_page.write.parquet(path)
+        one_page = one_page.sparkSession.read.schema(one_page.schema).parquet(path)
+        raw = _of_page(raw, one_page, on)
+    if version:
+        raw = latest_records(raw, on, version).drop(version)
     found = fetch_records(one_page, raw, on)
     members = decode_object(F.col("_value"))
     read = member_or_null_text if missing_as_text else member
-    shown = [F.col(n) if n in declared else read(members, n).alias(n) for n in names]
+    shown = [F.col(n) if n in declared else _shown(hits.spec, members, n, read, version) for n in names]
     return ordered(found, order).select(*shown)
 
 
+def _shown(spec, members, name: str, read, version) -> Column:
+    """A member of the record; that of a declared field as its type, if the record is a current one."""
+    if version and spec.has(name) and read is member:
+        return typed(member(members, name), spec.field(name)).alias(name)
+    return read(members, name).alias(name)
+
+
 def page_with_total(result: SearchResult) -> DataFrame:
     """The page with the total beside each row, as one query."""
     return result.rows.withColumn("total", result.counted.scalar())

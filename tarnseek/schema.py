@@ -13,7 +13,7 @@ from enum import Enum
 from pyspark.sql import types as T
 
 from tarnseek.errors import TarnseekError
-from tarnseek.functions.analyzers import Analyzer, analyzer_named
+from tarnseek.functions.analyzers import Analyzer, Tokenizing, analyzer_named
 
 KEY_COLUMNS = ("_name", "_key")
 # What tells a stored row from all others, in order of arrival.
@@ -115,7 +115,7 @@ class TableSpec:
     name: str
     fields: tuple[Field, ...]
     source: RecordSource | None = None
-    analyzer: Analyzer = dc_field(default_factory=lambda: analyzer_named("standard"))
+    analyzer: Tokenizing = dc_field(default_factory=lambda: analyzer_named("standard"))
 
     def __post_init__(self):
         object.__setattr__(self, "fields", tuple(self.fields))

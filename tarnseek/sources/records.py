@@ -54,6 +54,12 @@ def read_records(spark: SparkSession, source: RecordSource) -> DataFrame:
     return df.where(name_matches(source.name)).select(*RECORD_SCHEMA.names)
 
 
+def current_records(spark: SparkSession, source: RecordSource) -> DataFrame:
+    """All records of the source with the time of their files, by which newer ones of a key are told from older."""
+    df = spark.read.schema(RECORD_SCHEMA).format(source.format).load(source.path).where(name_matches(source.name))
+    return df.select(*RECORD_SCHEMA.names, F.col("_metadata.file_modification_time").alias(ARRIVED))
+
+
 def stream_records(
     spark: SparkSession, source: RecordSource, files_per_batch: int = FILES_PER_BATCH, file_age: str = FILE_AGE
 ) -> DataFrame:

@@ -116,6 +116,34 @@ def test_analyzer_is_frozen_at_create(spark, made):
         reset_analyzers()
 
 
+def test_an_analyzer_of_ones_own(spark, made):
+    """Any expression from text to tokens; the table keeps its name, and needs it to be opened."""
+    catalog, source, folder = made
+    arrive(spark, folder, [record(70, company="Étés très chauds"), record(71, company="winters")])
+    register_analyzer("stems", lambda text: F.transform(F.split(F.lower(text), " "), lambda w: F.when(F.length(w) > 2, F.regexp_replace(w, "s$", ""))))
+    try:
+        catalog.create_table("t", FIELDS, source, analyzer="stems", start=False)
+        catalog.create_table("f", FIELDS, source, analyzer="folded", start=False)
+        for name in ("t", "f"):
+            drain(catalog, name)
+        for stored in (True, False):
+            if stored:
+                hits = [catalog.search("t", MatchAll("company", "Winter"), ["index"]), catalog.search("t", Like("company", "w*er"), ["index"]),
+                        catalog.search("f", Phrase("company", "ETES tres"), ["index"]), catalog.search("t", MatchAny("company", "chaud"), ["index"])]
+            else:
+                catalog.index_text("t", "company", buckets=4)
+                catalog.index_text("f", "company", buckets=4)
+                hits = [catalog.search("t", MatchAll("company", "Winter"), ["index"]), catalog.search("t", Like("company", "w*er"), ["index"]),
+                        catalog.search("f", Phrase("company", "ETES tres"), ["index"]), catalog.search("t", MatchAny("company", "chaud"), ["index"])]
+            assert [[r["index"] for r in h.rows.collect()] for h in hits] == [[71], [71], [70], [70]]
+        assert catalog.describe("t").analyzer.name == "stems"
+    finally:
+        reset_analyzers()
+    with pytest.raises(TarnseekError):
+        catalog.describe("t")
+    assert catalog.describe("f").analyzer.name == "folded"
+
+
 def test_search_a_stopped_table(spark, made):
     catalog, source, _ = made
     catalog.create_table("t", FIELDS, source, start=False)
@@ -151,6 +179,25 @@ def test_current_records_are_fetched_by_key(spark, made):
     assert [tuple(r) for r in found.rows.collect()] == [("0", "moved"), ("2", "moved"), ("4", "moved")]
 
 
+def test_fresh_records_come_from_the_tables_own_source(spark, made):
+    catalog, source, folder = made
+    catalog.create_table("t", FIELDS, source, start=False)
+    drain(catalog)
+    time.sleep(1.1)
+    arrive(spark, folder, [record(i, city="moved", extra=i) for i in range(0, 20, 2)])
+    asked = dict(order_by=["index"], size=4, select=["index", "city", "extra"])
+    assert [tuple(r) for r in catalog.search("t", **asked).rows.collect()] == [(i, "hangzhou", None) for i in range(4)]
+    found = catalog.search("t", fresh=True, **asked)
+    assert [tuple(r) for r in found.rows.collect()] == [(0, "moved", "0"), (1, "hangzhou", None), (2, "moved", "2"), (3, "hangzhou", None)]
+    assert found.total == 20
+    # The page's keys are in the scan of the records, and the hits aren't joined to themselves.
+    plan = found.rows._jdf.queryExecution().executedPlan().toString()
+    assert "_key#" in plan and "IN (0,1,2,3)" in plan.replace(", ", ",").replace(" IN ", " IN ")
+    own = catalog.search("t", Equals("city", "hangzhou"), order_by=["index"], size=2, select=["extra"]).rows
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "city" not in plan and "_batch_id" in plan.split("PartitionFilters")[1]
+
+
 # --- exactly once -----------------------------------------------------------------------
 def test_resume_takes_each_record_once(spark, made):
     catalog, source, folder = made
