@@ -162,6 +162,18 @@ class Catalog:
         folder.put_new("buckets", str(buckets))
         return TextIndex(store, field, int(folder.text("buckets"))).update()
 
+    def compact(self, name: str, batches: int = 100) -> int:
+        """Rewrite a table's small batches, and the parts of its text indexes, to large files; tokens stay valid.
+
+        Returns the last batch rewritten (see ``TableStore.compact``). The table may be running.
+        """
+        store = self.store(name)
+        for field in store.spec.fields:
+            folder = store.folder.child(f"index/{field.name}")
+            if folder.exists("updates"):
+                TextIndex(store, field.name, int(folder.text("buckets"))).merge()
+        return store.compact(batches)
+
     def _indexes(self, store: TableStore, where: Clause | None, view: TableView, up_to: int) -> dict:
         found = {}
         for field in where.text_fields(view) if where is not None else ():

@@ -262,3 +262,31 @@ def stream_wildcard_search(spark, sf_dir):
     catalog.index_text("documents", "text", buckets=64)
     where = (Like("text", "con*er") | Like("text", "?at") | Like("text", "*ung")) & Compare("n_chars", ">", 300)
     return page_with_total(catalog.search("documents", where, ["doc_id", "lang"], size=None))
+
+
+@query(
+    "stream_compacted",
+    """
+    SELECT event_id, value, (SELECT count(*) FROM events WHERE day(ts) <= 20) AS total FROM events WHERE day(ts) <= 20
+    ORDER BY value DESC, event_id LIMIT 30 OFFSET 60
+    """,
+)
+def stream_compacted(spark, sf_dir):
+    """A page under an old token, after many small batches have been rewritten, those of the token and later ones together."""
+    feed = _Feed(spark, sf_dir, "stream_compacted")
+    feed.arrive(0)
+    feed.create(start=False)
+    feed.catalog.start("events", refresh=None, files_per_batch=1).awaitTermination()
+    feed.arrive(1)
+    catalog = feed.catalog
+    catalog.start("events", refresh="100 milliseconds", files_per_batch=1)
+    try:
+        asked = {"select": ["event_id", "value"], "order_by": ["value desc", "event_id"], "size": 30}
+        first = catalog.search("events", wait=True, **asked)
+        feed.arrive(2)
+        catalog.wait_for_arrived("events")
+        for _ in range(2):
+            catalog.compact("events", batches=1)
+        return page_with_total(catalog.search("events", token=first.snapshot, page=3, **asked))
+    finally:
+        catalog.stop("events")

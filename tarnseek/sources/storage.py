@@ -44,7 +44,7 @@ class Folder:
         if not fs.exists(path):
             return []
         found = [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(path)]
-        return sorted(e for e in found if not e[0].startswith((".", "_tmp")))
+        return sorted(e for e in found if not e[0].startswith((".", "_tmp", "_SUCCESS")))
 
     def put_new(self, name: str, text: str = "") -> bool:
         """Write a small file that must not exist yet; False if it does."""

@@ -17,6 +17,12 @@ from tarnseek.operators.relevance import slot_count
 from tarnseek.operators.view import TableView
 from tarnseek.schema import ROW_ID
 from tarnseek.streaming.feed import TableStore
+from tarnseek.streaming.ranges import FAN, Range, Ranges
+
+
+def _part(merged: Range) -> int:
+    """The number of a merged part; updates have those of their batches, which are smaller."""
+    return (merged.tier << 40) + merged.upto
 
 
 class TextIndex:
@@ -24,6 +30,7 @@ class TextIndex:
         self.store, self.field = store, field
         self._folder = store.folder.child(f"index/{field}")
         self._notes = self._folder.child("updates")
+        self.ranges = Ranges(self._folder.child("merges"))
         self._terms = PostingsTable(f"{self._folder.path}/terms", buckets, salts)
         self._dictionary = TermDictionary(f"{self._folder.path}/dictionary")
         self._sizes = f"{self._folder.path}/sizes"
@@ -36,15 +43,44 @@ class TextIndex:
         """The last batch in the index, -1 if there is none."""
         return max(self.noted(), default=-1)
 
+    def live(self) -> list[int]:
+        """The parts to read: merged ones, and updates since."""
+        ranges = self.ranges.live()
+        done = max((r.upto for r in ranges), default=-1)
+        return [_part(r) for r in ranges] + [n for n in self.noted() if n > done]
+
     def _drop_orphans(self) -> None:
-        """Remove parts that an update wrote without coming to note them."""
-        noted = {f"_upto={n}" for n in self.noted()}
+        """Remove parts that an update wrote without coming to note them, and those that have been merged."""
+        live = {f"_upto={n}" for n in self.live()}
+        self.ranges.forget()
         for name in ("terms", "dictionary", "sizes"):
             folder = self._folder.child(name)
             for part in folder.names():
-                if part.startswith("_upto=") and part not in noted:
+                if part.startswith("_upto=") and part not in live:
                     folder.child(part).remove()
 
+    def merge(self, updates: int = FAN, fan: int = FAN) -> int:
+        """Rewrite the parts of updates to one, once there are so many, and parts of a tier to one of the next; returns the parts left.
+
+        What is replaced is removed by the next update or merge.
+        """
+        self._drop_orphans()
+        done, noted = self.ranges.covered(), self.noted()
+        fresh = [n for n in noted if n > done]
+        if len(fresh) >= updates:
+            self._rewrite(Range(1, done, fresh[-1]), fresh)
+        while ranges := self.ranges.to_merge(fan):
+            self._rewrite(Range(ranges[0].tier + 1, ranges[0].after, ranges[-1].upto), [_part(r) for r in ranges])
+        return len(self.live())
+
+    def _rewrite(self, new: Range, parts: list[int]) -> None:
+        spark, part = self.store.spark, f"_upto={_part(new)}"
+        self._terms.write(self._terms.read(spark).where(F.col("_upto").isin(parts)).drop("_upto"), ROW_ID, part)
+        self._dictionary.write(self._terms.part(spark, part), part)
+        sizes = spark.read.option("basePath", self._sizes).parquet(self._sizes).where(F.col("_upto").isin(parts)).drop("_upto")
+        sizes.coalesce(1).write.mode("overwrite").parquet(f"{self._sizes}/{part}")
+        self.ranges.note(new)
+
     def update(self) -> int:
         """Index the batches committed since the last update (one updater at a time)."""
         done, latest = self.covered(), self.store.snapshots.latest()
@@ -77,8 +113,8 @@ class _Snapshot(PostingsSource):
 
     def __init__(self, index: TextIndex, up_to: int):
         self._index, self._up_to = index, up_to
-        self._noted = index.noted()
-        self._covered = min(max(self._noted, default=-1), up_to)
+        self._covered = min(index.covered(), up_to)
+        self._noted = index.live()
 
     def _stored(self, df: DataFrame) -> DataFrame:
         # Only noted updates, only rows of the snapshot.

@@ -30,6 +30,7 @@ from tarnseek.sources.decode import decode_records
 from tarnseek.sources.records import hash_range, list_range, name_matches, read_records, stream_records
 from tarnseek.sources.storage import Folder, work_folder
 from tarnseek.streaming.feed import TableStore
+from tarnseek.streaming.text_index import TextIndex
 
 FIELDS = [("index", "int"), ("city", "string"), ("company", "text"), ("time", "date", "uuuu-MM-dd'T'HH:mm:ss.SSSSSS"),
           ("timestamp", "long")]
@@ -706,3 +707,65 @@ def test_only_folders_of_matching_names_are_read(spark, tmp_path):
     catalog = Catalog(spark, f"{tmp_path}/tables-2-True")
     drain(catalog)
     assert sorted(r["_name"] for r in catalog.view("t").df.collect()) == ["list:b", "list_a", "list_z"]
+
+
+# --- rewriting of small batches ----------------------------------------------------------------
+def test_many_batches_are_rewritten_and_tokens_stay_valid(spark, tmp_path):
+    catalog = Catalog(spark, f"{tmp_path}/tables", search_expired=600)
+    (tmp_path / "source").mkdir()
+    catalog.create_table("t", FIELDS, RecordSource("list", f"{tmp_path}/source", "list*"), start=False)
+    store = catalog.store("t")
+    schema = "_name string, _key string, value string"
+    seen = []
+    for batch in range(60):
+        rows = [story(2 * batch), story(2 * batch + 1)] + ([("listTest", "bad", "{")] if batch % 7 == 0 else [])
+        store.append(spark.createDataFrame(rows, schema).coalesce(1), batch)
+        if batch in (3, 11, 29):
+            catalog.index_text("t", "company", buckets=2)
+            TextIndex(store, "company", 2).merge(updates=2, fan=2)
+        if batch % 4 == 3:
+            store.compact(4, fan=3)
+        if batch % 13 == 0:
+            seen.append((batch, keys(store.rows())))
+    store.compact(4, fan=3)
+    names = store.folder.child("data").names() + store.folder.child("compact").names()
+    assert len(names) <= 8 and store.ranges.live()[0].tier >= 2
+    for batch, before in seen:
+        assert keys(store.rows(up_to=batch)) == before == list(range(2 * batch + 2))
+    assert keys(store.rows()) == list(range(120)) and store.quarantine().count() == 9
+    assert store.rows().select("_batch_id", "_row").distinct().count() == 120
+    index = TextIndex(store, "company", 2)
+    assert len(index.live()) <= 2 and index.covered() == 29
+    for where in (MatchAny("company", "cat power"), Like("company", "?at"), Phrase("company", "red cat")):
+        for up_to in (17, 59):
+            view = catalog.view("t", up_to)
+            plain = search_view(view, where, ["index"], size=None)
+            found = search_view(view, where, ["index"], size=None, indexes=catalog._indexes(store, where, view, up_to))
+            assert [tuple(r) for r in found.rows.collect()] == [tuple(r) for r in plain.rows.collect()]
+            assert found.total == plain.total > 0
+
+
+def test_an_interrupted_rewriting_changes_nothing(spark, made, monkeypatch):
+    catalog, source, folder = made
+    catalog.create_table("t", FIELDS, source, start=False)
+    drain(catalog)
+    arrive(spark, folder, [record(i) for i in range(20, 30)])
+    drain(catalog)
+    store = catalog.store("t")
+
+    def die(self, new):
+        raise _Interrupted
+
+    with monkeypatch.context() as patched:
+        patched.setattr("tarnseek.streaming.ranges.Ranges.note", die)
+        with pytest.raises(_Interrupted):
+            catalog.compact("t", batches=1)
+    assert keys(store.rows()) == list(range(30))
+    arrive(spark, folder, [record(i) for i in range(30, 35)])
+    drain(catalog)
+    assert catalog.compact("t", batches=1) == 2 and catalog.compact("t", batches=1) == 2
+    assert keys(store.rows()) == list(range(35)) and keys(store.rows(up_to=0)) == list(range(20))
+    assert store.folder.child("data").names() == []
+    arrive(spark, folder, [record(35)])
+    drain(catalog)
+    assert keys(store.rows()) == list(range(36))
