@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnseek.llm.common import shared_folder, written
+from tarnseek.llm.schemas import fits
 
 #: Columns of an event table. kind is message, call or result; arguments is JSON text; after names calls of the conversation.
 EVENT = "conv_id, turn, part, kind, role, call_id, name, arguments, after, content"
@@ -61,35 +62,15 @@ def turns_as_calls(conversations: DataFrame) -> DataFrame:
 
 ANSWER_TOOL = {"answer": {"properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["prompt", "turn"], "additionalProperties": False}}
 
-#: How a JSON type shows in the schema of a parsed value.
-_SHOWS = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DECIMAL.*|DOUBLE|FLOAT)", "boolean": "BOOLEAN", "object": "OBJECT<.*", "array": "ARRAY<.*", "null": "VOID"}
-
-
-def _fits(schema: dict, args: Column, text: Column) -> Column:
-    """Whether parsed arguments fit one schema: an object with the required members, of the named types, and no others if it says so."""
-    fits = F.schema_of_variant(args).startswith("OBJECT")
-    properties = schema.get("properties", {})
-    keys = F.json_object_keys(text)
-    for name in schema.get("required", []):
-        fits = fits & F.array_contains(keys, name)
-    for name, rule in properties.items():
-        value = F.variant_get(args, f"$['{name}']", "variant")
-        shown = F.schema_of_variant(value).rlike("^" + _SHOWS[rule["type"]] + "$") if "type" in rule else F.lit(True)
-        if "enum" in rule:
-            shown = shown & F.variant_get(args, f"$['{name}']", "string").isin(rule["enum"])
-        fits = fits & F.when(F.array_contains(keys, name), F.coalesce(shown, F.lit(False))).otherwise(F.lit(True))
-    if schema.get("additionalProperties") is False:
-        allowed = F.array(*[F.lit(n) for n in properties]).cast("array<string>")
-        fits = fits & (F.size(F.array_except(keys, allowed)) == 0)
-    return fits
-
-
 def valid_arguments(tools: dict[str, dict], name: Column, arguments: Column) -> Column:
-    """True if the arguments are JSON that fits the tool's schema; false for an unknown tool or broken JSON."""
+    """True if the arguments are a JSON object that fits the tool's schema; false for an unknown tool or broken JSON.
+
+    Schemas with keywords that ``fits`` doesn't know raise ValueError here, when the query is built.
+    """
     args = F.try_parse_json(arguments)
     out = F
     for tool, schema in tools.items():
-        out = out.when(name == tool, _fits(schema, args, F.to_json(args)))
+        out = out.when(name == tool, fits({"type": "object"}, args) & fits(schema, args))
     found = F.lit(False) if out is F else out.otherwise(F.lit(False))
     return F.coalesce(args.isNotNull() & found, F.lit(False))
 

@@ -275,7 +275,8 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    Only labelled texts are counted to learn from; those of all rows are counted once, where the list is applied. Texts aren't shuffled.
+    Only labelled texts are counted to learn from; those of all rows are counted once, where the list is applied.
+    Texts are shuffled only to meet labels that are too many to broadcast.
     """
     known = labels.where("quality in (0, 1)").select("doc_id").distinct()
     rules = learn_from_labels(counted(docs.select("doc_id", "text").join(known, "doc_id", "left_semi")), labels)

@@ -74,6 +74,37 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "kind", "call_id", "status", "valid", *whole, "json")
 
 
+#: A tool with nested arguments.
+NOTE_TOOL = {
+    "note": {
+        "type": "object", "required": ["body", "size"], "additionalProperties": False,
+        "properties": {
+            "body": {"type": "string", "minLength": 40, "pattern": "[a-z]"},
+            "size": {"type": "integer", "minimum": 0, "maximum": 400},
+            "about": {
+                "type": "object", "required": ["who"],
+                "properties": {"who": {"enum": ["user", "system", 3, None]}, "marks": {"type": "array", "items": {"type": ["integer", "null"], "exclusiveMaximum": 5}, "maxItems": 3}},
+            },
+        },
+    }
+}
+
+
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls written as JSON in the texts of turns, and their results in the turns after them, against a nested schema."""
+    turns = _table(spark, sf_dir, "conversations")
+    size, turn = F.char_length("text"), F.col("turn").cast("long")
+    marks = F.transform(F.sequence(F.lit(1), F.lit(1) + (turn % 4).cast("int")), lambda i: F.when(i != 2, i + size % 3))
+    arguments = F.to_json(F.struct(F.col("text").alias("body"), size.alias("size"), F.struct(F.col("role").alias("who"), marks.alias("marks")).alias("about")), {"ignoreNullFields": "false"})
+    call = F.struct(F.concat(F.lit("c"), turn).alias("id"), F.lit("note").alias("name"), arguments.alias("arguments"))
+    is_call = turn % 2 == 0
+    told = F.struct(F.concat(F.lit("c"), turn - 1).alias("tool_call_id"), F.col("text").alias("content"))
+    said = F.when(is_call, F.to_json(F.struct(F.array(call).alias("tool_calls")))).otherwise(F.to_json(told))
+    written_out = turns.select("conv_id", turn.alias("turn"), F.when(is_call, "assistant").otherwise("tool").alias("role"), said.alias("text"))
+    rows = chat.link(chat.events_of(written_out), NOTE_TOOL)
+    return rows.select("conv_id", "turn", "kind", "call_id", "status", "valid")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for each document, learned from the labelled ones that aren't held out."""
     return toxicity.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -154,6 +185,7 @@ QUERIES: dict[str, Query] = {
     "op11_periodic_runs": op11_periodic_runs,
     "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_spelling_variants": op13_spelling_variants,
+    "chat_tool_calls": chat_tool_calls,
 }
 
 _ITEM_WORDS = r"""[x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -211,6 +243,18 @@ SELECT e.conv_id, e.turn, kind, e.call_id,
     WHEN 'result' THEN '{"call_id":"' || e.call_id || '","content":' || text || ',"role":"assistant"}'
     ELSE '{"content":' || text || ',"role":' || to_json(role) || '}' END AS json
 FROM e LEFT JOIN levels l USING (conv_id, call_id) LEFT JOIN answered a USING (conv_id, call_id)
+""",
+    "chat_tool_calls": """
+WITH e AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text, length(text) AS size FROM conversations),
+c AS (SELECT conv_id, turn FROM e WHERE turn % 2 = 0), r AS (SELECT conv_id, turn FROM e WHERE turn % 2 = 1)
+SELECT e.conv_id, e.turn, CASE WHEN e.turn % 2 = 0 THEN 'call' ELSE 'result' END AS kind,
+  'c' || (e.turn - e.turn % 2) AS call_id,
+  CASE WHEN e.turn % 2 = 0 THEN CASE WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END
+    ELSE CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'linked' END END AS status,
+  CASE WHEN e.turn % 2 = 0 THEN size >= 40 AND regexp_matches(text, '[a-z]') AND size <= 400 AND role IN ('user', 'system')
+    AND e.turn % 4 < 3 AND len(list_filter(range(1, 2 + e.turn % 4), lambda i: i <> 2 AND i + size % 3 >= 5)) = 0 END AS valid
+FROM e LEFT JOIN r ON e.conv_id = r.conv_id AND r.turn = e.turn + 1 AND e.turn % 2 = 0
+  LEFT JOIN c ON e.conv_id = c.conv_id AND c.turn = e.turn - 1 AND e.turn % 2 = 1
 """,
     "op5_line_dedup": r"""
 WITH l AS (

@@ -127,3 +127,52 @@ def test_nulls_broken_texts_and_repeats(spark):
 
 def test_empty_table(spark):
     assert linked(spark, []).count() == 0
+
+
+NESTED = {
+    "t": {
+        "required": ["it's"], "additionalProperties": {"type": "integer"},
+        "properties": {
+            "it's": {"type": ["string", "null"], "pattern": "^a.*z$", "minLength": 3},
+            "n": {"type": "integer", "minimum": -1, "exclusiveMaximum": 10, "multipleOf": 2},
+            "e": {"enum": ["1", 2, None, [1, {"x": True}]]},
+            "c": {"const": {"k": [1, "a"]}},
+            "deep": {"type": "object", "required": ["l"], "additionalProperties": False, "properties": {"l": {"type": "array", "items": {"type": "object", "properties": {"v": {"maximum": 3}}}, "minItems": 1, "uniqueItems": True}}},
+            "any": {"anyOf": [{"type": "string"}, {"type": "number", "minimum": 5}], "not": {"const": "no"}},
+            "one": {"oneOf": [{"type": "integer"}, {"minimum": 3}]},
+        },
+    }
+}
+
+
+@pytest.mark.parametrize(
+    "more, valid",
+    [
+        ({}, True), ({"it's": None}, True), ({"it's": "a.z"}, True), ({"it's": "az"}, False), ({"it's": "abc"}, False), ({"it's": 3}, False),
+        ({"n": 4}, True), ({"n": 4.0}, True), ({"n": 3}, False), ({"n": -2}, False), ({"n": 10}, False), ({"n": 10**20}, False), ({"n": "4"}, False), ({"n": 2.5}, False),
+        ({"e": "1"}, True), ({"e": 1}, False), ({"e": 2.0}, True), ({"e": None}, True), ({"e": [1, {"x": True}]}, True), ({"e": [1, {"x": 1}]}, False), ({"e": [1]}, False),
+        ({"c": {"k": [1, "a"]}}, True), ({"c": {"k": [1, "a"], "z": 0}}, False), ({"c": {"k": ["a", 1]}}, False), ({"c": {}}, False),
+        ({"deep": {"l": [{"v": 3}, {"v": 2}]}}, True), ({"deep": {"l": [{"v": 4}]}}, False), ({"deep": {"l": []}}, False), ({"deep": {"l": [{}, {}]}}, False),
+        ({"deep": {"l": [1]}}, False), ({"deep": {}}, False), ({"deep": {"l": [{}], "m": 1}}, False), ({"deep": [1]}, False),
+        ({"any": "yes"}, True), ({"any": "no"}, False), ({"any": 5}, True), ({"any": 4}, False), ({"any": None}, False),
+        ({"one": 1}, True), ({"one": 4}, False), ({"one": 4.5}, True), ({"one": 2.5}, False), ({"other": 10**20}, True), ({"other": 1.0}, True), ({"other": "x"}, False),
+    ],
+)
+def test_nested_schemas(spark, more, valid):
+    args = {"it's": "a quiz"} | more
+    rows = spark.createDataFrame([("t", json.dumps(args))], "name string, arguments string")
+    assert rows.select(chat.valid_arguments(NESTED, rows["name"], rows["arguments"])).first()[0] is valid
+
+
+@pytest.mark.parametrize("schema", [{"propertyNames": {}}, {"properties": {"a": {"if": {}}}}, {"items": {"contains": {}}}, {"type": "text"}])
+def test_unknown_schema_keywords_are_refused(spark, schema):
+    rows = spark.createDataFrame([("t", "{}")], "name string, arguments string")
+    with pytest.raises(ValueError):
+        rows.select(chat.valid_arguments({"t": schema}, rows["name"], rows["arguments"]))
+
+
+def test_calls_written_as_json_against_sql(spark):
+    path = f"{TESTDATA}/sf0.01"
+    df = QUERIES["chat_tool_calls"](spark, path)
+    assert differences(df, connect(path), SQL["chat_tool_calls"]) == []
+    assert {r["valid"] for r in df.collect()} == {True, False, None}
