@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnseek.llm import toxicity as tox
 from tarnseek.llm.registered import QUERIES
@@ -81,3 +83,32 @@ def test_awkward_rows_and_no_labels(spark):
     odd = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, None), (4, 0), (9, 7)], "doc_id long, toxic int")
     assert tox.assess(df, odd).count() == df.count()
     assert tox.assess(empty(spark), odd).count() == 0
+
+
+def slow_matched(model, folded):
+    """Every entry tried at every word; then every exception phrase at every place."""
+    starts = [i for i, c in enumerate(folded[:-1]) if c == " "]
+    found = {s: max((w for e, w in model.weights.items() if folded.startswith(e, s)), default=0.0) for s in starts}
+    for phrase in model.exceptions:
+        for s in starts:
+            if folded.startswith(phrase, s):
+                for t in starts:
+                    if s <= t < s + len(phrase) - 1:
+                        found[t] = 0.0
+    return sum(found.values())
+
+
+def test_matches_against_trying_every_entry_at_every_word(spark):
+    """On the model learned from the table, over whole texts, and on made-up models with entries within entries."""
+    docs, labels = (spark.read.parquet(f"{TESTDATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = tox.learn(tox.sample(docs, labels.where(~tox.held_out(F.col("doc_id")))))
+    assert model.weights
+    rng = random.Random(11)
+    entries = {" " + "".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))) + rng.choice(["", " "]): rng.random() for _ in range(25)}
+    made = tox.Model(entries, [" a b ", " ab ba ", " b a "])
+    texts = [r["text"] for r in docs.select("text").collect()][:400]
+    for m, some in ((model, texts), (made, [" ".join("".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))) for _ in range(12)) for _ in range(300)])):
+        automaton = m.automaton()
+        for text in some:
+            folded = tox.fold(text)
+            assert tox.matched(automaton, folded) == pytest.approx(slow_matched(m, folded))
