@@ -1,15 +1,14 @@
 """Benchmark decontamination: a prefix-filtered join of word shingles, checked word for word.
 
 Each window of an item is a set of shingles. To hold the window, a text must hold all of them,
-so the rarest alone (a prefix of length one in the order of rarity) finds every candidate; it is
-chosen by how often each shingle of the benchmark occurs in the whole corpus. A shingle at word p
-of a text puts the window's start at p less the shingle's offset: the start must not come before
-the text (position) nor the end after it (length). A candidate is a hit if all the window's
-shingles lie at their places, which together spell all its words.
-
-The corpus is read once and never shuffled: its shingles meet the benchmark's in a broadcast join
-that compares their words, and what is left are occurrences. The benchmark side is dealt into
-blocks of a bounded size, with a pass over the corpus for each.
+so the first in the order of rarity (a prefix of length one) finds every candidate. Rarity is counted over all windows of
+the benchmark, ties by hash, so that windows that overlap mostly share their prefix. Only prefixes
+meet the corpus. A shingle at word p of a text puts the window's start at p less the shingle's offset: the start
+must not come before the text (position) nor the end after it (length). A candidate is a hit if the text
+has the window's words there, all of them.
+
+The corpus is read once and never shuffled: bounds and words are compared within the broadcast join, and what it
+gives are occurrences. The benchmark side is dealt into blocks of a bounded size, with a pass over the corpus for each.
 """
 
 from __future__ import annotations
@@ -68,10 +67,17 @@ def _item_shingles(windows: DataFrame) -> DataFrame:
     return rows.select("text", "n", "offset", "k", "hash", F.array_join(F.slice("words", F.col("offset") + 1, F.col("k")), " ").alias("shingle"))
 
 
-def corpus_rows(docs: DataFrame, known: DataFrame, sizes: list[int]) -> DataFrame:
-    """A row for each text, with a null shingle, and one for each place where a shingle of ``known`` (hash, k, shingle) occurs.
+def _prefixes(shingles: DataFrame) -> DataFrame:
+    """(text, n, offset, k, hash): the rarest shingle of each window, by how often the benchmark's windows have it."""
+    counts = shingles.groupBy("shingle").agg(F.count("*").alias("many"))
+    rarest = F.min_by(F.struct("offset", "k", "hash"), F.struct("many", "hash", "offset")).alias("s")
+    return shingles.join(counts, "shingle").groupBy("text", "n").agg(rarest).select("text", "n", "s.*")
 
-    Columns doc_id, row_key, n_words, at and shingle.
+
+def corpus_rows(docs: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataFrame:
+    """A row for each text, with a null window, and one for each place where a window of ``prefixes`` (text, n, offset, k, hash) stands.
+
+    Columns doc_id, row_key, n_words, start, n and text (the window's).
     """
     words = docs.select("doc_id", row_key().alias("row_key"), words_of(text_of()).alias("w"))
 
@@ -86,11 +92,15 @@ def corpus_rows(docs: DataFrame, known: DataFrame, sizes: list[int]) -> DataFram
         base = base + F.greatest(F.size("w") - size + 1, F.lit(0))
         at = F.when(F.col("entry") >= base, F.col("entry") - base).otherwise(at)
     rows = rows.select("doc_id", "row_key", "w", "hash", at.alias("at"))
-    known = known.select(F.col("hash").alias("known_hash"), "k", "shingle")
-    spelt = F.array_join(F.slice("w", F.col("at") + 1, F.col("k")), " ") == F.col("shingle")
-    found = rows.join(F.broadcast(known), (F.col("hash") == F.col("known_hash")) & spelt, "left")
-    found = found.where(F.col("hash").isNull() | F.col("shingle").isNotNull())
-    return found.select("doc_id", "row_key", F.size("w").cast("long").alias("n_words"), "at", "shingle")
+    prefixes = prefixes.select(F.col("hash").alias("known"), "offset", "n", "text")
+    start = F.col("at") - F.col("offset")
+    inside = (start >= 0) & (start + F.col("n") <= F.size("w"))
+    spelt = F.array_join(F.slice("w", start + 1, F.col("n")), " ") == F.col("text")
+    # Bounds first: a slice needs a start within the text.
+    held = F.when(inside, spelt).otherwise(F.lit(False))
+    found = rows.join(F.broadcast(prefixes), (F.col("hash") == F.col("known")) & held, "left")
+    found = found.where(F.col("hash").isNull() | F.col("text").isNotNull())
+    return found.select("doc_id", "row_key", F.size("w").cast("long").alias("n_words"), start.alias("start"), "n", "text")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,30 +112,13 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, D
     windows = item_windows(benchmark)
     items = written(windows.select("text", "item_id").distinct(), "window-items")
     windows = written(windows.select("words", "text", "n").distinct(), "windows")
-    shingles = written(_item_shingles(windows), "window-shingles")
-    known = written(shingles.select("hash", "k", "shingle").distinct(), "shingles")
-    sizes = [r[0] for r in known.select("k").distinct().orderBy("k").collect()]
-    blocks = _blocks(known, F.octet_length("shingle") + 32, "shingle") or [known]
-    passes = [corpus_rows(docs, block, sizes) for block in blocks]
-    first, *others = passes
-    seen = written(reduce(DataFrame.unionByName, [first, *[p.where("shingle is not null") for p in others]]), "corpus-shingles")
-    rows = seen.where("shingle is null").select("doc_id", "row_key", "n_words")
-    seen = seen.where("shingle is not null")
-    # Windows by their rarest shingle. One with a shingle that no text has can't occur: it finds fewer than it has.
-    rarity = written(seen.groupBy("shingle").count(), "rarity")
-    by_rarity = shingles.join(rarity, "shingle").groupBy("text", "n").agg(
-        F.min_by(F.struct("shingle", "offset"), F.struct("count", "offset")).alias("s"), F.count("*").alias("found")
-    )
-    many = F.col("n") - F.least(F.col("n"), F.lit(SHINGLE)) + 1
-    prefixes = written(by_rarity.where(F.col("found") == many).select("text", "n", "s.shingle", "s.offset"), "prefixes")
-    start = F.col("at") - F.col("offset")
-    candidates = seen.join(prefixes, "shingle").where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
-    candidates = candidates.select("doc_id", "row_key", "text", "n", start.alias("start"))
-    wanted = candidates.join(shingles.select("text", "offset", "shingle"), "text").withColumn("place", F.col("start") + F.col("offset"))
-    there = seen.select(F.col("doc_id").alias("d"), F.col("row_key").alias("r"), "at", F.col("shingle").alias("s"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")) & (F.col("place") == F.col("at")) & (F.col("shingle") == F.col("s"))
-    spelt = wanted.join(there, same, "left_semi").groupBy("doc_id", "row_key", "text", "n", "start").agg(F.count_distinct("offset").alias("found"))
-    return written(spelt.where(F.col("found") == many).drop("found"), "occurrences"), items, rows
+    prefixes = written(_prefixes(written(_item_shingles(windows), "window-shingles")), "prefixes")
+    sizes = [r[0] for r in prefixes.select("k").distinct().orderBy("k").collect()]
+    blocks = _blocks(prefixes, F.octet_length("text") + 48, "text") or [prefixes]
+    first, *others = [corpus_rows(docs, block, sizes) for block in blocks]
+    seen = written(reduce(DataFrame.unionByName, [first, *[p.where("text is not null") for p in others]]), "occurrences")
+    rows = seen.where("text is null").select("doc_id", "row_key", "n_words")
+    return seen.where("text is not null").select("doc_id", "row_key", "start", "n", "text").distinct(), items, rows
 
 
 def _covered(spans: Column) -> Column:
