@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tarnseek.functions.globs import glob_match
 from tarnseek.operators.clauses import And, Clause, Equals, Like, MatchAll, MatchAny, Or, Phrase
-from tarnseek.operators.postings import phrase_counts
+from tarnseek.operators.postings import PostingsTable, build_postings, corpus_size, phrase_counts
 from tarnseek.operators.relevance import CorpusFigures
 from tarnseek.operators.view import TableView
 from tarnseek.schema import Kind
@@ -37,6 +37,22 @@ class PostingsSource:
         raise NotImplementedError
 
 
+class StoredPostings(PostingsSource):
+    """Postings of a view's TEXT field, written once to a folder. The view's rows must stay as they are."""
+
+    def __init__(self, view: TableView, field: str, path: str, buckets: int = 256):
+        self._spark, self._sizes = view.df.sparkSession, f"{path}/sizes"
+        self._terms = PostingsTable(f"{path}/terms", buckets)
+        self._terms.write(build_postings(view, field), view.tie)
+        corpus_size(view, field).write.parquet(self._sizes)
+
+    def postings(self, terms):
+        return self._terms.read(self._spark, terms)
+
+    def sizes(self):
+        return self._spark.read.parquet(self._sizes)
+
+
 def needs_token(where: Clause, view: TableView) -> bool:
     """Does every match hold a token of a TEXT field? Only then can postings drive the search."""
     if isinstance(where, And):

@@ -152,6 +152,17 @@ class CorpusFigures:
         return self._at(field, "term", term)
 
 
+class SeenFigures(CorpusFigures):
+    """Corpus figures that are known already, as literals."""
+
+    def __init__(self, values: dict[tuple, int]):
+        self.scalars: dict[str, Column] = {}
+        self._values = values
+
+    def _at(self, *what: str) -> Column:
+        return F.lit(float(self._values[what]))
+
+
 def phrase_frequency(slots: Column, placed: list[tuple[int, str]]) -> Column:
     first, head = placed[0]
 

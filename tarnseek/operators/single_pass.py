@@ -15,23 +15,12 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from tarnseek.functions.globs import glob_match
 from tarnseek.operators.clauses import Clause, has_slot, matching
 from tarnseek.operators.indexed import token_measures
-from tarnseek.operators.relevance import CorpusFigures, phrase_frequency, slot_count, term_frequency
+from tarnseek.operators.relevance import CorpusFigures, SeenFigures, phrase_frequency, slot_count, term_frequency
 from tarnseek.operators.view import TableView
 from tarnseek.schema import Kind
 from tarnseek.sources.storage import work_folder
 
 
-class SeenFigures(CorpusFigures):
-    """Corpus figures that one pass has observed, as literals."""
-
-    def __init__(self, values: dict[tuple, int]):
-        self.scalars: dict[str, Column] = {}
-        self._values = values
-
-    def _at(self, *what: str) -> Column:
-        return F.lit(float(self._values[what]))
-
-
 def _measure(view: TableView, what: tuple, by: object) -> Column:
     """What a row has of a measure, from its tokens."""
     slots = view.token_slots(what[1])

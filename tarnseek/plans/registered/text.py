@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnseek.functions.analyzers import CASE_PRESERVING, ENGLISH_STOP_WORDS, FOLDED, STANDARD
 from tarnseek.operators.clauses import Compare, Equals, Like, MatchAll, MatchAny, Phrase, matching
+from tarnseek.operators.indexed import StoredPostings
 from tarnseek.operators.postings import (
     build_postings,
     corpus_size,
@@ -23,6 +24,7 @@ from tarnseek.operators.single_pass import hits_once
 from tarnseek.plans.registered.registry import query
 from tarnseek.plans.registered.tables import table, view
 from tarnseek.plans.search import page_with_total, search_view
+from tarnseek.sources.storage import work_folder
 
 # --- SQL for words and tokens ----------------------------------------------------
 _LETTERS = r"\p{L}[\p{L}\p{M}]*"
@@ -352,6 +354,23 @@ def relevance_page(spark, sf_dir):
     return found.rows
 
 
+@query(
+    "relevance_page_bounded",
+    f"""
+    WITH {BM25_CTE}, hit AS (
+        SELECT doc_id, lang, sum(s) AS s FROM part JOIN documents USING (doc_id) WHERE t IN ('haon', 'en') GROUP BY doc_id, lang
+    )
+    SELECT doc_id, lang, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY s DESC, doc_id LIMIT 15 OFFSET 15
+    """,
+)
+def relevance_page_bounded(spark, sf_dir):
+    """A ranked page of a rare and a common word: rows with the common one alone can't reach it and are never joined or scored."""
+    docs = view(spark, sf_dir, "documents")
+    index = {"text": StoredPostings(docs, "text", work_folder(spark, "postings"), buckets=64)}
+    where = MatchAny("text", "haon en")
+    return page_with_total(search_view(docs, where, ["doc_id", "lang"], page=2, size=15, indexes=index, score_bounds=True))
+
+
 @query(
     "group_count_by_relevance",
     f"""

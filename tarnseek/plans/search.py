@@ -24,6 +24,7 @@ from tarnseek.operators.ordering import (
     sort_keys,
 )
 from tarnseek.operators.relevance import ranks_by_score, scored
+from tarnseek.operators.score_bounds import bounded
 from tarnseek.operators.single_pass import hits_once
 from tarnseek.operators.view import TableView
 from tarnseek.schema import KEY_COLUMNS
@@ -88,6 +89,7 @@ def search_view(
     snapshot: int | None = None,
     indexes: Mapping[str, PostingsSource] | None = None,
     single_pass: bool = False,
+    score_bounds: bool = False,
 ) -> SearchResult:
     """Search one table.
 
@@ -99,7 +101,8 @@ def search_view(
     out at once, so that its keys reach the scan of the values. ``indexes`` are stored postings by TEXT field; they're used where
     they can drive the search. Without a ``size`` all hits are given, in order. ``counted_ranges`` finds a page far in by counting
     (see ``page_rows``). ``single_pass`` runs the search at once and reads the table once for rows, total and figures (see
-    ``hits_once``); else each is a query of its own, run when asked for. It doesn't go with stored postings that can drive the search.
+    ``hits_once``); else each is a query of its own, run when asked for. It doesn't go with stored postings that can drive the search. With those, ``score_bounds`` finds at once which
+    rows can reach a ranked page, and only they are joined and scored (see ``score_bounds.bounded``); the total still counts all.
     """
     if size is not None:
         check_page(page, size)
@@ -108,10 +111,12 @@ def search_view(
     else:
         in_order = bool(split_order(group_field(view, group_by).name, order_by)[0])
     ranked = not in_order and ranks_by_score(view, where)
-    rows, figures, seen = view, None, None
+    rows, figures, seen, reach = view, None, None, None
     if where is not None and set(where.text_fields(view)) <= set(indexes or ()) and needs_token(where, view):
         rows = measured(view, where, indexes)
         figures = IndexFigures(view, where, indexes) if ranked else None
+        if score_bounds and ranked and size is not None and group_by is None:
+            reach = bounded(view, where, indexes, page * size, rounded_lengths)
     elif single_pass and where is not None:
         keep = view.spec.field_names if select is None else select
         rows, figures, seen = hits_once(view, where, keep, ranked)
@@ -127,6 +132,9 @@ def search_view(
     counted = hits.df.agg(F.count(F.lit(1)).alias("total"))
     if seen is not None:
         counted = hits.df.sparkSession.range(1).select(F.lit(seen).cast("long").alias("total"))
+    if reach is not None:
+        sources, known = reach
+        hits = scored(measured(view, where, sources), where, rounded_lengths, known)
     keys = sort_keys(hits, order_by)
     if ranked:
         keys = [SortKey(F.col("_score"), True), *keys]

@@ -26,7 +26,9 @@ from tests.compare import TESTDATA
 from tarnseek.operators import ordering
 from tarnseek.operators.clauses import matching
 from tarnseek.operators.grouping import count_name, group_heads, group_members, ordered_groups
+from tarnseek.operators.indexed import StoredPostings
 from tarnseek.operators.lookup import fetch_records, latest_records
+from tarnseek.operators.score_bounds import Bounds, bounded
 from tarnseek.operators.postings import PostingsTable, build_postings, rows_with_all, term_stats
 from tarnseek.operators.relevance import rounded_length
 
@@ -477,3 +479,58 @@ def test_members_by_offsets_read_the_groups_of_the_page(spark, tmp_path, monkeyp
     assert [r["id"] for r in page.collect()] == list(range(1980, 2000))
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan" in plan.split("PushedFilters:")[1].split("]")[0] or "Or(" in plan.split("PushedFilters:")[1].split("]")[0]
+
+
+# --- pages by score bounds ---------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def ranked_texts(spark, tmp_path_factory):
+    """3,000 texts: a word in nearly all, one in a third, rare ones, ties, nulls and empty texts."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(3000):
+        words = ["common"] * rng.randrange(4) + ["third"] * (rng.random() < 0.33) * rng.randrange(1, 3)
+        words += ["rare"] * (i % 60 == 0) * rng.randrange(1, 5) + ["scarce"] * (i % 100 == 7) + ["filler"] * rng.choice([0, 3, 3, 40])
+        rng.shuffle(words)
+        rows.append((i, None if i % 500 == 3 else " ".join(words)))
+    df = spark.createDataFrame(rows, "id int, note string").repartition(5)
+    texts = TableView(df, TableSpec("r", (Field("id", Kind.INT), Field("note", Kind.TEXT))), ("id",))
+    return texts, {"note": StoredPostings(texts, "note", f"{tmp_path_factory.mktemp('postings')}/index", buckets=4)}
+
+
+@pytest.mark.parametrize(
+    "where, rounded",
+    [
+        (MatchAny("note", "rare common"), True),
+        (MatchAny("note", "common third rare scarce rare nowhere"), False),
+        (MatchAny("note", "rare third") | Equals("note", "common") | MatchAny("note", "third"), False),
+        (MatchAny("note", "nowhere"), False),
+        (MatchAny("note", "rare common") & Compare("id", ">", 1000), False),
+    ],
+)
+def test_a_page_by_bounds_is_that_of_the_full_ranking(ranked_texts, where, rounded):
+    texts, index = ranked_texts
+    for page, size in ((3, 10), (1, 200)):
+        asked = dict(select=["id"], page=page, size=size, indexes=index, rounded_lengths=rounded)
+        usual, found = search_view(texts, where, **asked), search_view(texts, where, score_bounds=True, **asked)
+        assert found.rows.collect() == usual.rows.collect()
+    assert found.total == usual.total
+
+
+def test_bounds_leave_out_what_cannot_reach_the_page(ranked_texts):
+    texts, index = ranked_texts
+    where = MatchAny("note", "rare common")
+    sources, _ = bounded(texts, where, index, 10)
+    hits = search_view(texts, where, indexes=index).total
+    left = sources["note"].postings(["rare", "common"]).select("id").distinct().count()
+    assert hits > 2000 and 10 <= left <= 50
+    # A page longer than any one term's postings tells nothing.
+    assert bounded(texts, where, index, 5000)[0] == index
+    assert bounded(texts, MatchAll("note", "rare common"), index, 10) is None
+    assert bounded(texts, Equals("note", "rare") | Equals("id", 3), index, 10) is None
+
+
+def test_bounds_by_hand():
+    found = Bounds({"a": 5.0, "b": 1.0, "c": 0.5}, 3.0)
+    assert found.searched() == ["a"] and found.least("a") == 1.5 and found.prune()
+    assert Bounds({"a": 5.0, "b": 2.6, "c": 0.5}, 3.0).searched() == ["a", "b"]
+    assert not Bounds({"a": 5.0, "b": 5.0}, 0.0).prune() and not Bounds({"a": 0.0}, 0.0).prune()

@@ -460,6 +460,8 @@ def test_index_spares_the_token_arrays(spark, indexed):
     plan = found.rows._jdf.queryExecution().executedPlan().toString()
     assert "company__tokens" not in plan
     assert found.total > 0
+    bounded = indexed.search("t", MatchAny("company", "cat power"), ["index"], size=2, score_bounds=True)
+    assert bounded.rows.collect() == found.rows.collect()[:2] and bounded.total == found.total
     with pytest.raises(TarnseekError):
         indexed.index_text("t", "city")
 
