@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tarnseek.errors import TarnseekError
-from tarnseek.operators.ordering import SortKey, check_page, ordered, page_rows, parse_order, range_holding, slice_rows, sort_keys
+from tarnseek.operators.ordering import SortKey, check_page, is_deep, ordered, parse_order, range_holding, slice_rows, sort_keys
 from tarnseek.operators.view import TableView
 from tarnseek.schema import ROW_ID, Field
 from tarnseek.sources.storage import work_folder
@@ -92,22 +92,22 @@ def group_heads(view: TableView, group_by: str, order_by: Sequence = ()) -> Data
 
 
 def group_members(
-    view: TableView, group_by: str, order_by: Sequence = (), page: int = 1, size: int = 15, by_offsets: bool = False
+    view: TableView, group_by: str, order_by: Sequence = (), page: int = 1, size: int = 15, by_offsets: bool | None = None
 ) -> DataFrame:
     """Rows laid out group by group, cut into pages that run on across groups.
 
-    A page is one top-k of all rows up to its end. With ``by_offsets`` groups are counted first, and added up in their order
-    to the offsets of the page: only rows of the groups between are read and sorted, in counted ranges where a group is large.
-    That runs when the page is asked for; the counts are a table in the session's shared folder.
+    A page near the beginning is one top-k of all rows up to its end. Far in (see ``page_rows``), or with ``by_offsets``, groups are
+    counted first, and added up in their order to the offsets of the page: only rows of the groups between are read and sorted,
+    in counted ranges where a group is large. That runs when the page is asked for; the counts are a table in the session's shared folder.
     """
     field = group_field(view, group_by)
     groups, inside = split_order(field.name, order_by)
     of_groups = _group_keys(view, field.name, groups or [(field.name, False)])
     keys = [*of_groups, *sort_keys(view, inside)]
-    if not by_offsets:
-        return page_rows(view.df, keys, page, size)
     check_page(page, size)
     skip = (page - 1) * size
+    if not (is_deep(skip, size) if by_offsets is None else by_offsets):
+        return slice_rows(view.df, keys, skip, size, counted_ranges=False)
     name = count_name([field.name])
     path = work_folder(view.df.sparkSession, "group-counts")
     group_counts(view, field.name).write.parquet(path)

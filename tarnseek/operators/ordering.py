@@ -19,7 +19,7 @@ from tarnseek.operators.view import TableView
 from tarnseek.schema import Kind
 
 DEFAULT_PAGE_SIZE = 15
-# A counted range is split until it has at most this many rows.
+# A counted range is split until it has at most this many rows. Pages that end later are found by counting.
 RANGE_ROWS = 50_000
 _SPLITS = 31
 
@@ -127,21 +127,26 @@ def page_rows(
     keys: Sequence[SortKey],
     page: int = 1,
     size: int = DEFAULT_PAGE_SIZE,
-    counted_ranges: bool = False,
+    counted_ranges: bool | None = None,
 ) -> DataFrame:
     """Page ``page`` (from 1) of ``size`` rows; past the end it is empty.
 
-    A page is one top-k of all rows up to its end. The caller may ask for ``counted_ranges``
-    for pages far in or long: rows are then counted in sorted ranges of exact sizes when the
-    page is asked for, and only those between the ranges of its first and last row are sorted.
+    A page near the beginning is one top-k of all rows up to its end. One that ends after ``RANGE_ROWS`` rows
+    is found by ``counted_ranges``: rows are counted in sorted ranges of exact sizes when the page is asked for, and only those
+    between the ranges of its first and last row are sorted. The caller may ask for either. Both give the same page.
     """
     check_page(page, size)
     return slice_rows(df, keys, (page - 1) * size, size, counted_ranges)
 
 
-def slice_rows(df: DataFrame, keys: Sequence[SortKey], skip: int, size: int, counted_ranges: bool = False) -> DataFrame:
+def is_deep(skip: int, size: int) -> bool:
+    """Are the rows up to the page's end too many for one task?"""
+    return skip + size > RANGE_ROWS
+
+
+def slice_rows(df: DataFrame, keys: Sequence[SortKey], skip: int, size: int, counted_ranges: bool | None = None) -> DataFrame:
     """``size`` rows after the first ``skip`` in order."""
-    if not counted_ranges:
+    if not (is_deep(skip, size) if counted_ranges is None else counted_ranges):
         return ordered(df, keys).offset(skip).limit(size)
     start = range_holding(df, keys, skip)
     if start is None:

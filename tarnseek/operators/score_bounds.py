@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tarnseek.operators.clauses import Clause, Equals, MatchAny, Or
 from tarnseek.operators.indexed import PostingsSource
+from tarnseek.operators.ordering import is_deep
 from tarnseek.operators.relevance import SeenFigures, bm25, idf, rounded_length
 from tarnseek.operators.view import TableView
 from tarnseek.schema import Kind
@@ -121,13 +122,13 @@ def bounded(
 ) -> tuple[dict[str, PostingsSource], SeenFigures] | None:
     """Sources that give only the postings of rows that can be among the best ``k``, and the figures to score them by.
 
-    None if scores aren't sums over terms of one field; such a search is ranked in full. The rows found are written
+    None if scores aren't sums over terms of one field, or the page lies far in; such a search is ranked in full. The rows found are written
     to the session's shared folder, so the planner knows their size when it joins them to the postings. The index is read
     at once, four times at most: batches that it doesn't cover are tokenised each time. Figures and bounds of each term
     come to the driver, nothing else. Of each term the ``k`` best postings pass through one task, as for the page itself.
     """
     summed = summed_terms(view, where)
-    if summed is None:
+    if summed is None or is_deep(0, k):
         return None
     field, weights = summed
     parts = _Parts(sources[field], field, weights, rounded)

@@ -81,7 +81,7 @@ def search_view(
     group_by: str | None = None,
     page: int = 1,
     size: int | None = DEFAULT_PAGE_SIZE,
-    counted_ranges: bool = False,
+    counted_ranges: bool | None = None,
     records: DataFrame | None = None,
     version: str | None = None,
     missing_as_text: bool = False,
@@ -99,8 +99,8 @@ def search_view(
     key, and hits whose record is gone are left out of the rows, not of the
     total; with ``version``, a column of it, the newest record of a key counts. A page with values to fetch is worked
     out at once, so that its keys reach the scan of the values. ``indexes`` are stored postings by TEXT field; they're used where
-    they can drive the search. Without a ``size`` all hits are given, in order. ``counted_ranges`` finds a page far in by counting
-    (see ``page_rows``). ``single_pass`` runs the search at once and reads the table once for rows, total and figures (see
+    they can drive the search. Without a ``size`` all hits are given, in order. ``counted_ranges`` finds a page by counting,
+    as is done for pages far in (see ``page_rows``). ``single_pass`` runs the search at once and reads the table once for rows, total and figures (see
     ``hits_once``); else each is a query of its own, run when asked for. It doesn't go with stored postings that can drive the search. With those, ``score_bounds`` finds at once which
     rows can reach a ranked page, and only they are joined and scored (see ``score_bounds.bounded``); the total still counts all.
     """
@@ -147,7 +147,7 @@ def search_view(
     return SearchResult(found, counted, snapshot, size)
 
 
-def _page(df: DataFrame, keys, page: int, size: int | None, counted_ranges: bool) -> DataFrame:
+def _page(df: DataFrame, keys, page: int, size: int | None, counted_ranges: bool | None) -> DataFrame:
     return ordered(df, keys) if size is None else page_rows(df, keys, page, size, counted_ranges)
 
 

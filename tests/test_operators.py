@@ -464,7 +464,7 @@ def test_members_by_offsets(spark, monkeypatch, order_by):
     members = TableView(df, TableSpec("m", (Field("id", Kind.INT), Field("g", Kind.INT), Field("v", Kind.INT), Field("s", Kind.STRING))), ("id",))
     asked = dict(group_by="g", order_by=order_by, size=70)
     for page in (1, 2, 5, 6):
-        usual = group_members(members, page=page, **asked).collect()
+        usual = group_members(members, page=page, by_offsets=False, **asked).collect()
         assert group_members(members, page=page, by_offsets=True, **asked).collect() == usual
     with pytest.raises(TarnseekError):
         group_members(members, "g", page=0, by_offsets=True)
@@ -534,3 +534,18 @@ def test_bounds_by_hand():
     assert found.searched() == ["a"] and found.least("a") == 1.5 and found.prune()
     assert Bounds({"a": 5.0, "b": 2.6, "c": 0.5}, 3.0).searched() == ["a", "b"]
     assert not Bounds({"a": 5.0, "b": 5.0}, 0.0).prune() and not Bounds({"a": 0.0}, 0.0).prune()
+
+
+def test_pages_far_in_are_counted_unasked(spark, monkeypatch, tmp_path):
+    """A page that ends after ``RANGE_ROWS`` rows reads only the ranges it lies in; earlier ones are a top-k."""
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 100)
+    spark.range(3000).selectExpr("cast(id as int) id", "cast(id div 20 as int) g").write.parquet(f"{tmp_path}/rows")
+    rows = TableView(spark.read.parquet(f"{tmp_path}/rows"), TableSpec("m", (Field("id", Kind.INT), Field("g", Kind.INT))), ("id",))
+
+    def filters(df):
+        return df._jdf.queryExecution().executedPlan().toString().split("PushedFilters:")[1].split("]")[0]
+
+    for page in (lambda p: search_view(rows, None, ["id"], order_by=["id"], page=p, size=20).rows, lambda p: group_members(rows, "g", page=p, size=20)):
+        for p in (1, 5, 6, 90, 151):
+            assert [r["id"] for r in page(p).collect()] == list(range(20 * p - 20, 20 * p))[: 0 if p > 150 else 20]
+        assert "Than" not in filters(page(5)) and "Than" in filters(page(90))
