@@ -38,12 +38,17 @@ class PostingsSource:
 
 
 class StoredPostings(PostingsSource):
-    """Postings of a view's TEXT field, written once to a folder. The view's rows must stay as they are."""
+    """Postings of a view's TEXT field, written once to a folder. The view's rows must stay as they are.
 
-    def __init__(self, view: TableView, field: str, path: str, buckets: int = 256):
+    With ``terms`` only theirs are kept, for searches of those; without ``positions``, phrases can't be searched.
+    """
+
+    def __init__(
+        self, view: TableView, field: str, path: str, buckets: int = 256, terms: list[str] | None = None, positions: bool = True
+    ):
         self._spark, self._sizes = view.df.sparkSession, f"{path}/sizes"
         self._terms = PostingsTable(f"{path}/terms", buckets)
-        self._terms.write(build_postings(view, field), view.tie)
+        self._terms.write(build_postings(view, field, positions, terms), view.tie)
         corpus_size(view, field).write.parquet(self._sizes)
 
     def postings(self, terms):

@@ -366,8 +366,8 @@ def relevance_page(spark, sf_dir):
 def relevance_page_bounded(spark, sf_dir):
     """A ranked page of a rare and a common word: rows with the common one alone can't reach it and are never joined or scored."""
     docs = view(spark, sf_dir, "documents")
-    index = {"text": StoredPostings(docs, "text", work_folder(spark, "postings"), buckets=64)}
     where = MatchAny("text", "haon en")
+    index = {"text": StoredPostings(docs, "text", work_folder(spark, "postings"), terms=list(where.terms(docs)), positions=False)}
     return page_with_total(search_view(docs, where, ["doc_id", "lang"], page=2, size=15, indexes=index, score_bounds=True))
 
 
