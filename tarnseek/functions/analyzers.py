@@ -31,13 +31,15 @@ _UNSPACED = (
     r"\p{IsHan}\p{M}*+|\p{IsHiragana}\p{M}*+|[\p{IsKatakana}ー]++"
     r"|[\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}]++"
 )
-# Block ranges that hold all of them; a cheap test that spares most texts the rewrite.
+# Block ranges that hold all of them; a test that spares most texts the rewrite, itself spared by one range that is cheap to test.
 _MAYBE_UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\uffff\x{10000}-\x{3ffff}]"
+_BEYOND = r"[\u0e00-\x{10ffff}]"
 
 # Unicode word boundaries for the rest: letters may be joined by one of . : ' ’ ·
 # and digits by one of . , ; ' ’; letters, digits and low lines stick together.
-_LETTERS = r"\p{L}[\p{L}\p{M}]*+"
-_DIGITS = r"\p{Nd}[\p{Nd}\p{M}]*+"
+# What follows may be empty, so these runs never give back; written greedy, Java takes them in a tight loop.
+_LETTERS = r"\p{L}[\p{L}\p{M}]*"
+_DIGITS = r"\p{Nd}[\p{Nd}\p{M}]*"
 _PIECE = rf"{_LETTERS}(?:[.:'’·]{_LETTERS})*+|{_DIGITS}(?:[.,;'’]{_DIGITS})*+"
 WORD_PATTERN = rf"(?<!_)_*+(?:{_PIECE})(?:{_PIECE}|_)*+"
 
@@ -45,9 +47,9 @@ WORD_PATTERN = rf"(?<!_)_*+(?:{_PIECE})(?:{_PIECE}|_)*+"
 def words(text: Column, lowercase: bool, max_length: int = MAX_TOKEN_LENGTH) -> Column:
     """All words of a text in order, stop words included."""
     folded = F.lower(text) if lowercase else text
-    spaced = F.when(
-        folded.rlike(_MAYBE_UNSPACED), F.regexp_replace(folded, f"({_UNSPACED})", " $1 ")
-    ).otherwise(folded)
+    # Letters of these scripts have no case, so the text is tested as it is.
+    unspaced = text.rlike(_BEYOND) & text.rlike(_MAYBE_UNSPACED)
+    spaced = F.when(unspaced, F.regexp_replace(folded, f"({_UNSPACED})", " $1 ")).otherwise(folded)
     found = F.regexp_extract_all(spaced, F.lit(WORD_PATTERN), F.lit(0))
 
     def chop(ws: Column) -> Column:

@@ -17,6 +17,7 @@ from tarnseek.functions.globs import glob_match
 from tarnseek.operators.clauses import And, Clause, Equals, Like, MatchAll, MatchAny, Or, Phrase
 from tarnseek.operators.postings import PostingsTable, build_postings, corpus_size, phrase_counts
 from tarnseek.operators.relevance import CorpusFigures
+from tarnseek.operators.sorted_postings import sorted_postings
 from tarnseek.operators.view import TableView
 from tarnseek.schema import Kind
 
@@ -48,7 +49,8 @@ class StoredPostings(PostingsSource):
     ):
         self._spark, self._sizes = view.df.sparkSession, f"{path}/sizes"
         self._terms = PostingsTable(f"{path}/terms", buckets)
-        self._terms.write(build_postings(view, field, positions, terms), view.tie)
+        made = sorted_postings(view, field, positions) if terms is None else build_postings(view, field, positions, terms)
+        self._terms.write(made, view.tie)
         corpus_size(view, field).write.parquet(self._sizes)
 
     def postings(self, terms):

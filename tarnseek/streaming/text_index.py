@@ -14,6 +14,7 @@ from tarnseek.functions.globs import glob_match
 from tarnseek.operators.indexed import PostingsSource
 from tarnseek.operators.postings import PostingsTable, TermDictionary, build_postings
 from tarnseek.operators.relevance import slot_count
+from tarnseek.operators.sorted_postings import sorted_postings
 from tarnseek.operators.view import TableView
 from tarnseek.schema import ROW_ID
 from tarnseek.streaming.feed import TableStore
@@ -88,7 +89,7 @@ class TextIndex:
         if latest > done:
             view = self._view(done, latest)
             part = f"_upto={latest}"
-            self._terms.write(build_postings(view, self.field), ROW_ID, part)
+            self._terms.write(sorted_postings(view, self.field), ROW_ID, part)
             self._dictionary.write(self._terms.part(self.store.spark, part), part)
             self._batch_sizes(view).write.mode("overwrite").parquet(f"{self._sizes}/{part}")
             self._notes.put_new(str(latest))

@@ -29,8 +29,10 @@ from tarnseek.operators.grouping import count_name, group_heads, group_members,
 from tarnseek.operators.indexed import StoredPostings
 from tarnseek.operators.lookup import fetch_records, latest_records
 from tarnseek.operators.score_bounds import Bounds, bounded
+from tarnseek.operators import sorted_postings as stretches
 from tarnseek.operators.postings import PostingsTable, build_postings, rows_with_all, term_stats
 from tarnseek.operators.relevance import rounded_length
+from tarnseek.operators.sorted_postings import sorted_postings
 
 FIELDS = (
     Field("id", Kind.INT),
@@ -360,6 +362,23 @@ def test_hot_buckets_are_split(spark, tmp_path):
     assert files["true"] > 1 and files["false"] > 1, files
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 7])
+def test_postings_to_be_written_come_in_sorted_stretches(spark, monkeypatch, at_once):
+    """The same as those of each row by itself, also with empty slots, rows without any, and rows alike; each stretch by term."""
+    monkeypatch.setattr(stretches, "TOKENS_AT_ONCE", at_once)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "red", "cat", "école", "mat", "zz"]) for _ in range(rng.randrange(9))) for _ in range(60)]
+    rows = [(i % 50 if i % 7 else None, t if i % 5 else None) for i, t in enumerate(texts)]
+    notes = TableView(spark.createDataFrame(rows, "id int, note string"), TableSpec("t", (Field("id", Kind.INT), Field("note", Kind.TEXT))), ("id",))
+    for positions in (True, False):
+        found, plain = sorted_postings(notes, "note", positions), build_postings(notes, "note", positions)
+        assert [(f.name, f.dataType.simpleString()) for f in found.schema] == [(f.name, f.dataType.simpleString()) for f in plain.schema]
+        assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    terms = [r["term"] for r in sorted_postings(replace(notes, df=notes.df.coalesce(1)), "note").collect()]
+    falls = sum(a > b for a, b in zip(terms, terms[1:]))
+    assert falls == 0 if at_once > 100 else 0 < falls < len(terms) / 2
+
+
 def test_postings_table_reads_only_its_buckets(spark, view, tmp_path):
     table = PostingsTable(f"{tmp_path}/postings", buckets=16, salts=2)
     table.write(build_postings(view, "note"), ["id"])
