@@ -153,11 +153,19 @@ def score_postings(
 _EDGES = "\x02", "\x03"
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct runs of three characters of a term with its edges."""
-    whole = F.concat(F.lit(_EDGES[0]), text, F.lit(_EDGES[1]))
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length(whole) - 2, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(whole, i, F.lit(3))))
+def with_trigrams(terms: DataFrame) -> DataFrame:
+    """Each term once for each distinct run of three characters that it has with its edges: ``place``, from 1, and ``gram``."""
+    whole = F.concat(F.lit(_EDGES[0]), F.col("term"), F.lit(_EDGES[1])).alias("_whole")
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("_whole") - 2, F.lit(1)))
+    placed = terms.select("*", whole).select("*", F.explode(starts).alias("place"))
+    rows = placed.withColumn("gram", F.substring("_whole", F.col("place"), F.lit(3)))
+    return rows.where(F.instr(F.col("_whole"), F.col("gram")) == F.col("place")).drop("_whole")
+
+
+def _gram_order(gram: Column) -> Column:
+    """The code points of a trigram as one number, by which rows are sorted without comparing texts."""
+    points = [F.ascii(F.substring(gram, i, 1)).cast("long") for i in (1, 2, 3)]
+    return F.shiftleft(points[0], 42) + F.shiftleft(points[1], 21) + points[2]
 
 
 def glob_trigrams(glob: str) -> list[str]:
@@ -189,10 +197,9 @@ class TermDictionary:
     def write(self, postings: DataFrame, part: str) -> None:
         """The terms of ``postings`` (term, _bucket) as one part, replacing what it held."""
         terms = postings.groupBy("term", F.col("_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
-        rows = terms.select("*", F.posexplode(trigrams(F.col("term"))).alias("place", "gram"))
-        rows = rows.select("term", "bucket", "rows", "gram", (F.col("place") == 0).alias("first"), self._bucket(F.col("gram")).alias("_grams"))
+        rows = with_trigrams(terms).select("term", "bucket", "rows", "gram", (F.col("place") == 1).alias("first"), self._bucket(F.col("gram")).alias("_grams"))
         (
-            rows.hint("rebalance", "_grams").sortWithinPartitions("_grams", "gram", "term")
+            rows.hint("rebalance", "_grams").withColumn("_order", _gram_order(F.col("gram"))).sortWithinPartitions("_grams", "_order").drop("_order")
             .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_grams").parquet(f"{self.path}/{part}")
         )
 

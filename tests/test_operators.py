@@ -30,7 +30,7 @@ from tarnseek.operators.indexed import StoredPostings
 from tarnseek.operators.lookup import fetch_records, latest_records
 from tarnseek.operators.score_bounds import Bounds, bounded
 from tarnseek.operators import sorted_postings as stretches
-from tarnseek.operators.postings import PostingsTable, build_postings, rows_with_all, term_stats
+from tarnseek.operators.postings import PostingsTable, TermDictionary, build_postings, rows_with_all, term_stats
 from tarnseek.operators.relevance import rounded_length
 from tarnseek.operators.sorted_postings import sorted_postings
 
@@ -379,6 +379,22 @@ def test_postings_to_be_written_come_in_sorted_stretches(spark, monkeypatch, at_
     assert falls == 0 if at_once > 100 else 0 < falls < len(terms) / 2
 
 
+def test_dictionary_has_each_trigram_of_a_term_once_and_in_order(spark, tmp_path):
+    terms = ["aaaaaa", "ababab", "x", "ée", "日本", "\U0001f600\U0001f600", "power", "poker"]
+    dictionary = TermDictionary(f"{tmp_path}/dictionary", buckets=4)
+    dictionary.write(spark.createDataFrame([(t, 1) for t in terms * 2], "term string, _bucket int"), "_upto=1")
+    rows = spark.read.parquet(f"{tmp_path}/dictionary/_upto=1").collect()
+    edged = {t: f"\x02{t}\x03" for t in terms}
+    wanted = {(t, w[i : i + 3]) for t, w in edged.items() for i in range(len(w) - 2)}
+    assert sorted((r["term"], r["gram"]) for r in rows) == sorted(wanted) and {r["rows"] for r in rows} == {2}
+    assert sorted((r["term"], r["gram"]) for r in rows if r["first"]) == sorted((t, w[:3]) for t, w in edged.items())
+    for file in {f for b in range(4) for f in (tmp_path / f"dictionary/_upto=1/_grams={b}").glob("*.parquet")}:
+        grams = [r["gram"] for r in spark.read.parquet(str(file)).collect()]
+        assert grams == sorted(grams)
+    assert {r["term"] for r in dictionary.like(spark, "po*er").collect()} == {"power", "poker"}
+    assert {r["term"] for r in dictionary.like(spark, "*").collect()} == set(terms)
+
+
 def test_postings_table_reads_only_its_buckets(spark, view, tmp_path):
     table = PostingsTable(f"{tmp_path}/postings", buckets=16, salts=2)
     table.write(build_postings(view, "note"), ["id"])
